@@ -191,14 +191,14 @@ def request_hash(col: Column) -> Column:
 def json_string(col: Column) -> Column:
     """A text column as a canonical JSON string literal, JVM side.
 
-    Named escapes first, then the rest of U+0000..U+001F, which are rare.
+    The named escapes are plain replacements; other control characters are rare
+    and take the slow branch.
     """
     out = col
     for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"),
                            ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
-    rare = [c for c in range(0x20) if c not in (0x08, 0x09, 0x0A, 0x0C, 0x0D)]
-    full = out
-    for code in rare:
-        full = F.replace(full, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    return F.concat(F.lit('"'), F.when(out.rlike(r"[\x00-\x1f]"), full).otherwise(out), F.lit('"'))
+    spelled = F.array_join(F.transform(F.split(out, ""), lambda ch: F.when(
+        (ch != "") & (F.ascii(ch) < 32), F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(ch)), 2, "0"))))
+        .otherwise(ch)), "")
+    return F.concat(F.lit('"'), F.when(out.rlike(r"[\x00-\x1f]"), spelled).otherwise(out), F.lit('"'))
