@@ -246,19 +246,81 @@ def mask(col: Column) -> Column:
         .otherwise(F.repeat(F.lit("*"), size))
 
 
-def content_text(event: Column, occurred_at: Column, settings: Settings) -> Column:
-    """Canonical content of a validated event (canonical request JSON)."""
+# The members of a submitted event.
+EVENT_MEMBERS = ["stream", "actor", "action", "resource", "before", "after", "data", "metadata", "context", "occurredAt"]
+PARTY_MEMBERS = ["type", "id", "displayName"]
+CONTEXT_MEMBERS = {"requestId": 128, "traceId": 128, "sessionId": 128, "userAgent": 512, "sourceIp": 64}
+REQUEST_OBJECTS = ["actor", "resource", "metadata", "context"]
+REQUEST_TEXTS = ["stream", "action", "occurredAt", *[f"{p}.{m}" for p in ("actor", "resource") for m in PARTY_MEMBERS],
+                 *[f"context.{m}" for m in CONTEXT_MEMBERS]]
+REQUEST_PATHS = [*REQUEST_OBJECTS, *REQUEST_TEXTS]
+_KNOWN = {"actor": PARTY_MEMBERS, "resource": PARTY_MEMBERS, "context": list(CONTEXT_MEMBERS)}
+_SPLIT = [path.rpartition(".")[::2] for path in REQUEST_PATHS]
+
+
+def _members(tree: dict):
+    """(kind letters, texts, unknown names) of a parsed request: o object, s text, x other, - absent."""
+    letters, texts = [], []
+    for owner, name in _SPLIT:
+        node = tree.get(owner) if owner else tree
+        value = node.get(name, _ABSENT) if isinstance(node, dict) else _ABSENT
+        letters.append("-" if value is _ABSENT else "s" if isinstance(value, str) else "o" if isinstance(value, dict) else "x")
+        texts.append(value if isinstance(value, str) else None)
+    unknown = sorted(tree.keys() - EVENT_MEMBERS)
+    for owner, known in _KNOWN.items():
+        if isinstance(tree.get(owner), dict):
+            unknown += [f"{owner}.{name}" for name in sorted(tree[owner].keys() - known)]
+    return "".join(letters), texts[len(REQUEST_OBJECTS):], unknown
+
+
+def read_request(body: Column) -> Column:
+    """One strict parse of a submitted event: canonical text or error, the kinds
+    and texts of the members the rules look at, names no rule knows, and the
+    normalized source address."""
+    fields = [path.replace(".", "_") for path in REQUEST_TEXTS]
+    schema = "canonical string, error string, kinds string, unknown array<string>, ip string, " \
+        + ", ".join(f"{name} string" for name in fields)
+
+    @F.pandas_udf(schema)
+    def run(bodies: pd.Series) -> pd.DataFrame:
+        reader = StrictJson(INGEST)
+        rows = []
+        for body in bodies:
+            canonical = error = kinds = ip = None
+            texts, unknown = [None] * len(fields), []
+            if body is not None:
+                try:
+                    tree, plain = reader.parse(bytes(body))
+                    canonical = reader.encode(tree, plain)
+                    if isinstance(tree, dict):
+                        kinds, texts, unknown = _members(tree)
+                        ip = plain_ip(texts[-1]) if texts[-1] else None
+                except Rejected as err:
+                    error = str(err)
+            rows.append((canonical, error, kinds, unknown, ip, *texts))
+        names = ["canonical", "error", "kinds", "unknown", "ip", *fields]
+        return pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, zip(*rows))}, columns=names)
+
+    return run(body.cast("binary"))
+
+
+def content_text(request: Column, occurred_at: Column, settings: Settings) -> Column:
+    """Canonical content of an event (canonical request JSON); null if it has no usable shape."""
 
     @F.pandas_udf("string")
     def run(events: pd.Series, times: pd.Series) -> pd.Series:
         reader, redaction = StrictJson(INGEST), Redaction(settings)
         out = []
         for raw, time in zip(events, times):
-            out.append(None if raw is None else dump(assemble(reader.parse(raw.encode())[0], time, settings, redaction)))
+            try:
+                tree, plain = reader.parse(raw.encode())
+                out.append(reader.encode(assemble(tree, time, settings, redaction), plain))
+            except (Rejected, AttributeError, KeyError, TypeError):
+                out.append(None)        # validation reports what is wrong with it
         return pd.Series(out, dtype=object)
 
-    return run(event, occurred_at)
+    return run(request, occurred_at)
 
 
 __all__ = ["CHANGE", "Redaction", "assemble", "content_text", "diff", "json_diff", "mask", "mask_text", "plain_ip",
-           "pointer_step", "redact", "redact_changes", "source_ip"]
+           "pointer_step", "read_request", "redact", "redact_changes", "source_ip"]

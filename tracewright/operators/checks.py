@@ -100,6 +100,16 @@ def _shape_error(tree) -> str | None:
     return error
 
 
+_NO_INDEX = (None,) * len(INDEX_COLUMNS)
+
+
+def _index_texts(tree: dict) -> tuple:
+    actor, resource = tree.get("actor") or {}, tree.get("resource") or {}
+    values = (actor.get("type"), actor.get("id"), tree.get("action"), resource.get("type"), resource.get("id"),
+              tree.get("occurredAt"))
+    return tuple(value or "" for value in values)
+
+
 def read_payload(options: VerifyOptions) -> Column:
     """One Arrow pass per record: parse strictly, compare with the canonical
     form, check the content's shape, verify the signature.
@@ -108,12 +118,14 @@ def read_payload(options: VerifyOptions) -> Column:
     """
     tag, signatures = options.tags.event_signature, options.signatures
 
-    @F.pandas_udf("error string, canonical string, shape_error string, signature_ok boolean")
+    @F.pandas_udf("error string, canonical string, shape_error string, signature_ok boolean, "
+                  + ", ".join(f"{name} string" for name in INDEX_COLUMNS))
     def run(contents: pd.Series, digests: pd.Series, keys: pd.Series, marks: pd.Series) -> pd.DataFrame:
         reader = StrictJson(STORED)
-        errors, others, shapes, signed = [], [], [], []
+        errors, others, shapes, signed, indexes = [], [], [], [], []
         for content, digest, key, mark in zip(contents, digests, keys, marks):
             error = other = shape = None
+            index = _NO_INDEX
             if content:
                 raw = bytes(content)
                 try:
@@ -122,15 +134,18 @@ def read_payload(options: VerifyOptions) -> Column:
                     if text.encode() != raw:
                         other = text
                     shape = _shape_error(tree)
+                    if shape is None:
+                        index = _index_texts(tree or {})
                 except Rejected as err:
                     error = str(err)
             errors.append(error)
             others.append(other)
             shapes.append(shape)
+            indexes.append(index)
             signed.append(_verify_hex(tag, digest, key, mark) if signatures and key is not None else None)
-        return pd.DataFrame({"error": pd.Series(errors, dtype=object), "canonical": pd.Series(others, dtype=object),
-                             "shape_error": pd.Series(shapes, dtype=object),
-                             "signature_ok": pd.Series(signed, dtype=object)})
+        columns = {"error": errors, "canonical": others, "shape_error": shapes, "signature_ok": signed,
+                   **dict(zip(INDEX_COLUMNS, zip(*indexes)))}
+        return pd.DataFrame({name: pd.Series(list(values), dtype=object) for name, values in columns.items()})
 
     return run(F.col("content").cast("binary"), F.col("event_hash"), F.col("key_public"), F.col("signature"))
 
@@ -188,15 +203,13 @@ def check_records(records: DataFrame, options: VerifyOptions) -> DataFrame:
                 "the content was modified", F.col("payload_hash"), F.col("_payload_hash")),
     ]
     if options.check_index:
-        signed = index_fields(F.when(intact & F.col("_read.shape_error").isNull(), F.col("_canonical")))
-        read = read.withColumn("_signed", F.struct(*[v.alias(k) for k, v in signed.items()])) \
-            .withColumn("_differing", index_diff(lambda n: F.col(f"_signed.{n}")))
-        first = F.col("_differing")[0]
+        read = read.withColumn("_differing", F.when(intact, index_diff(lambda n: F.col(f"_read.{n}"))))
+        first = F.get("_differing", F.lit(0))
         shaped = F.col("_read.shape_error").isNull()
         checks += [
             finding("payload_invalid", intact & ~shaped, 14,
                     F.concat(F.lit("content does not match the event schema: "), F.col("_read.shape_error"))),
-            finding("indexed_field_mismatch", intact & shaped & (F.size("_differing") > 0), 15,
+            finding("indexed_field_mismatch", intact & shaped & F.coalesce(F.size("_differing") > 0, F.lit(False)), 15,
                     F.concat(F.lit("indexed column(s) ["), F.array_join(F.transform("_differing", lambda d: d["name"]), " "),
                              F.lit("] no longer match the signed content")), first["expected"], first["found"]),
         ]

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracewright.functions.crypto import base64_text
 from tracewright.functions.times import window_bound
 from tracewright.operators.joins import lookup_join
 from tracewright.operators.ordered import newest_per_key
@@ -127,12 +128,12 @@ def render_event(events: DataFrame) -> DataFrame:
     rest = [c for c in ("status", "run_id", "verified_at", "position", "page", "has_more", "next_cursor") if c in events.columns]
     return events.withColumn("_view", view).select(
         "event_id", "stream", "sequence", "recorded_at", "_view.*", "schema_version", "previous_hash", "payload_hash",
-        "event_hash", F.base64("signature").alias("signature"), "key_id", F.lit("Ed25519").alias("algorithm"), *rest)
+        "event_hash", base64_text("signature").alias("signature"), "key_id", F.lit("Ed25519").alias("algorithm"), *rest)
 
 
 def receipts(events: DataFrame) -> DataFrame:
     return events.select("event_id", "stream", "sequence", "recorded_at", "payload_hash", "previous_hash", "event_hash",
-                         F.base64("signature").alias("signature"), "key_id")
+                         base64_text("signature").alias("signature"), "key_id")
 
 
 def chain_records(events: DataFrame, streams: DataFrame, with_content: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewright.config import ID_PATTERN, STREAM_PATTERN
 from tracewright.functions.canon import json_string
+from tracewright.functions.crypto import base64_text
 from tracewright.schemas import STREAM_KEY
 
 
@@ -37,7 +38,7 @@ def record_line(with_content: bool) -> Column:
         _text("stream", "stream"), _plain("sequence", "sequence"), _text("eventId", "event_id"),
         _text("recordedAt", "recorded_at"), _text("previousHash", "previous_hash"), _text("payloadHash", "payload_hash"),
         _text("keyId", "key_id"), _text("eventHash", "event_hash"),
-        F.concat(F.lit('"signature":"'), F.base64("signature"), F.lit('"')),
+        F.concat(F.lit('"signature":"'), base64_text("signature"), F.lit('"')),
         *([F.when(F.length("content") > 0, F.concat(F.lit('"content":'), F.col("content")))] if with_content else []))
     return F.concat(F.lit("{"), body, F.lit("}"))
 
@@ -48,7 +49,7 @@ def checkpoint_line() -> Column:
         _text("tenantId", "tenant_id"), _text("projectId", "project_id"), _text("stream", "stream"),
         _plain("sequence", "sequence"), _text("headHash", "head_hash"), _text("createdAt", "created_at"),
         _text("keyId", "key_id"), _text("checkpointHash", "checkpoint_hash"),
-        F.concat(F.lit('"signature":"'), F.base64("signature"), F.lit('"')))
+        F.concat(F.lit('"signature":"'), base64_text("signature"), F.lit('"')))
     return F.concat(F.lit("{"), body, F.lit("}"))
 
 
@@ -57,7 +58,7 @@ def key_line() -> Column:
         ("tenantId", "tenant_id"), ("projectId", "project_id"), ("status", "status"), ("activatedAt", "activated_at"),
         ("retiredAt", "retired_at"), ("revokedAt", "revoked_at"))]
     body = F.concat_ws(",", _text("keyId", "key_id"), _text("algorithm", "algorithm"),
-                       F.concat(F.lit('"publicKey":"'), F.base64("public_key"), F.lit('"')),
+                       F.concat(F.lit('"publicKey":"'), base64_text("public_key"), F.lit('"')),
                        _text("fingerprint", "fingerprint"), *optional)
     return F.concat(F.lit("{"), body, F.lit("}"))
 
