@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewright.functions.hashing import key_fingerprint, key_id
 from tracewright.functions.times import canonical_time_ok, parse_time
 from tracewright.operators.joins import lookup_join
-from tracewright.operators.ordered import newest_per_key
 
 SCOPE = ["tenant_id", "project_id"]
 
@@ -36,14 +35,16 @@ def split_keys(keys: DataFrame, scope: list[str] | None = None) -> tuple[DataFra
     """(trusted, rejected + reason). Equal copies count once; ids shared by
     different keys are dropped from the trusted set and reported."""
     scope = SCOPE if scope is None else scope
-    checked = keys.withColumn("reason", key_error())
-    usable = checked.where("reason IS NULL").drop("reason")
-    per_id = usable.groupBy(*scope, "key_id").agg(F.countDistinct("public_key").alias("_variants"))
-    one = per_id.where("_variants = 1").drop("_variants")
-    trusted = newest_per_key(usable.join(one, [*scope, "key_id"], "left_semi"), [*scope, "key_id"],
-                             ["activated_at", "retired_at", "revoked_at", "public_key"])
-    rejected = checked.where("reason IS NOT NULL").select(*scope, "key_id", "reason").unionByName(
-        per_id.where("_variants > 1").select(*scope, "key_id", F.lit("conflicting public keys share this id").alias("reason")))
+    place = F.struct("activated_at", "retired_at", "revoked_at", "public_key")
+    columns = [c for c in keys.columns if c not in [*scope, "key_id"]]
+    per_id = keys.withColumn("reason", key_error()).groupBy(*scope, "key_id").agg(
+        F.array_distinct(F.collect_list("reason")).alias("reasons"),
+        F.count_distinct(F.when(F.col("reason").isNull(), F.col("public_key"))).alias("variants"),
+        F.max_by(F.struct(*columns), F.when(F.col("reason").isNull(), place)).alias("_row"))
+    trusted = per_id.where("variants = 1").select(*scope, "key_id", *[F.col(f"_row.{c}").alias(c) for c in columns])
+    clash = F.when(F.col("variants") > 1, F.array(F.lit("conflicting public keys share this id"))) \
+        .otherwise(F.array().cast("array<string>"))
+    rejected = per_id.select(*scope, "key_id", F.explode(F.concat("reasons", clash)).alias("reason"))
     return trusted, rejected
 
 
@@ -62,12 +63,13 @@ def key_usage(recorded_at: Column, skew_seconds: int, activated="activated_at",
             .otherwise(F.lit("valid")))
 
 
-def with_key(records: DataFrame, trusted: DataFrame, scope: list[str], key_scope: list[str]) -> DataFrame:
+def with_key(records: DataFrame, trusted: DataFrame, scope: list[str], key_scope: list[str],
+             small: bool | None = None) -> DataFrame:
     """Records with key_public, key_activated_at, key_retired_at, key_revoked_at; null if untrusted."""
     side = trusted.select(
         *[F.col(k).alias(s) for k, s in zip(key_scope, scope)], "key_id", F.col("public_key").alias("key_public"),
         *[F.col(c).alias(f"key_{c}") for c in ("activated_at", "retired_at", "revoked_at")])
-    return lookup_join(records, side, [*scope, "key_id"], spread="event_hash")
+    return lookup_join(records, side, [*scope, "key_id"], spread="event_hash", small=small)
 
 
 def rotation_timeline(keys: DataFrame) -> DataFrame:
