@@ -1 +1,171 @@
-"""Registered queries."""
+"""Evidence: selections, export row sets, disclosure merges, dataset checks."""
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from tracewright.plans import evidence
+from tracewright.schemas import STREAM_KEY
+from tracewright.session import checkpoint_root, durable
+from tracewright.suite import data
+from tracewright.suite.registry import query
+from tracewright.suite.sql import CHAIN, WITH_AV
+
+_TEXT = "cast(null as string)"
+
+
+def _selections(spark, sf) -> DataFrame:
+    """By sequence for one stream, by time for another, and three that are refused."""
+    base = data.streams(spark, sf).select(*STREAM_KEY)
+    return base.where("stream = 'click'").selectExpr(
+        "'by_sequence' as selection_id", *STREAM_KEY, f"{_TEXT} as since", f"{_TEXT} as until", "61L as from_sequence",
+        "120L as to_sequence").unionByName(base.where("stream = 'view'").selectExpr(
+            "'by_time' as selection_id", *STREAM_KEY, "'2024-01-10T00:00:00.000000Z' as since", "'2024-01-12T00:00:00.000000Z' as until",
+            "cast(null as long) as from_sequence", "cast(null as long) as to_sequence")).unionByName(
+        base.where("stream = 'error'").selectExpr(
+            "'both' as selection_id", *STREAM_KEY, "'2024-01-10T00:00:00.000000Z' as since", f"{_TEXT} as until",
+            "5L as from_sequence", "cast(null as long) as to_sequence")).unionByName(base.where("stream = 'error'").selectExpr(
+                "'empty' as selection_id", *STREAM_KEY, "'2030-01-01T00:00:00.000000Z' as since", f"{_TEXT} as until",
+                "cast(null as long) as from_sequence", "cast(null as long) as to_sequence")).unionByName(
+        base.where("stream = 'signup'").selectExpr(
+            "'open_end' as selection_id", *STREAM_KEY, f"{_TEXT} as since", f"{_TEXT} as until", "20L as from_sequence",
+            "cast(null as long) as to_sequence"))
+
+
+_RANGES = """ranges AS (
+  SELECT 'by_sequence' AS selection_id, 'click' AS stream, 61 AS first_sequence, 120 AS last_sequence, NULL AS error
+  UNION ALL SELECT 'by_time', 'view', min(sequence), max(sequence), NULL FROM av WHERE stream = 'view'
+    AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'
+  UNION ALL SELECT 'both', 'error', NULL, NULL, 'select by time or by sequence, not both'
+  UNION ALL SELECT 'empty', 'error', NULL, NULL, 'the selection contains no events'
+  UNION ALL SELECT 'open_end', 'signup', 20, max(sequence), NULL FROM av WHERE stream = 'signup')"""
+
+
+@query("k08_select_ranges", WITH_AV + ", " + _RANGES + " SELECT * FROM ranges")
+def k08(spark, sf):
+    return evidence.select_ranges(_selections(spark, sf), data.chain(spark, sf), data.streams(spark, sf)).drop("tenant_id", "project_id")
+
+
+def _rows(spark, sf):
+    ranges = durable(evidence.select_ranges(_selections(spark, sf), data.chain(spark, sf), data.streams(spark, sf)))
+    return evidence.export_rows(ranges, data.chain(spark, sf), data.checkpoints(spark, sf), {"actorId": "user_3"})
+
+
+_EXPORT = CHAIN + ", " + _RANGES + """, sel AS (SELECT *, ((first_sequence - 1) // 50) * 50 AS anchor FROM ranges WHERE error IS NULL)"""
+
+
+@query("k09_export_skeleton", _EXPORT + """ SELECT s.selection_id, c.sequence, c.event_hash FROM chain c JOIN sel s ON s.stream = c.stream
+  AND c.sequence > s.anchor AND c.sequence <= s.last_sequence""")
+def k09(spark, sf):
+    return _rows(spark, sf)["chain"].select("selection_id", "sequence", "event_hash")
+
+
+@query("k09_export_disclosed", _EXPORT + """ SELECT s.selection_id, c.sequence, c.content FROM chain c JOIN sel s ON s.stream = c.stream
+  AND c.sequence BETWEEN s.first_sequence AND s.last_sequence WHERE c.actor_id = 'user_3'""")
+def k09_disclosed(spark, sf):
+    return _rows(spark, sf)["events"].select("selection_id", "sequence", "content")
+
+
+@query("k09_export_checkpoints", _EXPORT + """ SELECT s.selection_id, c.sequence FROM chain c JOIN sel s ON s.stream = c.stream
+  AND c.sequence % 50 = 0 AND c.sequence >= s.anchor AND c.sequence <= s.last_sequence""")
+def k09_checkpoints(spark, sf):
+    return _rows(spark, sf)["checkpoints"].select("selection_id", "sequence")
+
+
+def _merge_inputs(spark, sf):
+    """Skeletons of all streams and disclosures with errors by sequence modulo 50."""
+    chain = data.chain(spark, sf).withColumn("line", F.col("sequence"))
+    r = F.col("sequence") % 50
+    skeleton = chain.where(r != 17).withColumn("content", F.lit(None).cast("string"))
+    disclosed = chain.where(F.col("sequence") > 20) \
+        .withColumn("recorded_at", F.when(r == 11, F.lit("2024-01-01T00:00:00.000000Z")).otherwise(F.col("recorded_at"))) \
+        .withColumn("content", F.when(r == 13, F.lit(None).cast("string")).otherwise(F.col("content")))
+    return skeleton, disclosed
+
+
+_MERGE = WITH_AV + """, d AS (SELECT stream, sequence, CASE WHEN sequence % 50 = 17 THEN 'orphan' WHEN sequence % 50 = 11 THEN 'header'
+  WHEN sequence % 50 = 13 THEN 'empty' WHEN sequence <= 30 THEN 'outside' END AS problem FROM av WHERE sequence > 20)"""
+
+
+@query("c28_disclosure_mismatch", _MERGE + """ SELECT stream, sequence, 'disclosure_mismatch' AS code FROM d WHERE problem IN ('orphan', 'header', 'empty')""")
+def c28(spark, sf):
+    return _merge_findings(spark, sf).where("code = 'disclosure_mismatch'")
+
+
+@query("c29_selection_mismatch", _MERGE + " SELECT stream, sequence, 'selection_mismatch' AS code FROM d WHERE problem = 'outside'")
+def c29(spark, sf):
+    return _merge_findings(spark, sf).where("code = 'selection_mismatch'")
+
+
+def _merge_findings(spark, sf):
+    merged = evidence.merge_disclosed(*_merge_inputs(spark, sf), STREAM_KEY, F.lit(31), F.lit(1 << 40))
+    return merged.select("stream", evidence.disclosure_findings().alias("f")).where("f IS NOT NULL").select(
+        "stream", "f.sequence", "f.code")
+
+
+@query("j10_merge_disclosed", _MERGE + """ SELECT a.stream, a.sequence, a.sequence > 20 AND a.sequence % 50 <> 17 AS disclosed,
+    CASE WHEN a.sequence > 20 AND d.problem IS NULL THEN a.content END AS content FROM av a LEFT JOIN d USING (stream, sequence)
+    WHERE a.sequence % 50 <> 17 OR a.sequence > 20""")
+def j10(spark, sf):
+    merged = evidence.merge_disclosed(*_merge_inputs(spark, sf), STREAM_KEY, F.lit(31), F.lit(1 << 40))
+    return merged.select("stream", "sequence", "disclosed", "content")
+
+
+@query("j11_manifest_files", """SELECT path, code FROM (SELECT 'chain/part-' || c_custkey AS path, CASE c_custkey % 5
+    WHEN 0 THEN 'package_digest_mismatch' WHEN 1 THEN 'package_digest_mismatch' WHEN 2 THEN 'package_digest_mismatch'
+    WHEN 3 THEN 'package_malformed' END AS code FROM customer) WHERE code IS NOT NULL""")
+def j11(spark, sf):
+    # One file per customer: altered, missing, unlisted, listed twice, or fine.
+    k = F.col("c_custkey")
+    files = data.raw(spark, sf, "customer").select(
+        k, F.concat(F.lit("chain/part-"), k.cast("string")).alias("path"), F.sha2("c_name", 256).alias("sha256"),
+        F.length("c_name").cast("long").alias("size"))
+    listed = files.where("c_custkey % 5 <> 2").unionByName(files.where("c_custkey % 5 = 3"))
+    actual = files.where("c_custkey % 5 <> 1").withColumn("sha256", F.when(k % 5 == 0, F.reverse("sha256")).otherwise(F.col("sha256")))
+    return evidence.file_findings(listed.drop("c_custkey"), actual.drop("c_custkey")).select("path", "code")
+
+
+@query("c27_package_unanchored", """SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 'genesis' WHEN 2 THEN 'missing' WHEN 3 THEN 'position'
+    WHEN 4 THEN 'type' END AS problem FROM customer""")
+def c27(spark, sf):
+    k = F.col("c_custkey")
+    rows = data.raw(spark, sf, "customer").select(
+        k, F.when(k % 5 == 4, F.lit("other")).when(k % 5 <= 1, F.lit("genesis")).otherwise(F.lit("checkpoint")).alias("type"),
+        F.when(k % 5 == 0, F.lit(1)).otherwise(F.lit(21)).cast("long").alias("first_sequence"), F.lit("chk").alias("checkpoint_id"),
+        F.when(k % 5 == 3, F.lit(19)).when(k % 5 == 2, F.lit(None)).otherwise(F.lit(20)).cast("long").alias("checkpoint_sequence"))
+    p = evidence.anchor_problem()
+    return rows.select("c_custkey", F.when(p.contains("genesis"), F.lit("genesis")).when(p.contains("not included"), F.lit("missing"))
+                       .when(p.contains("is at sequence"), F.lit("position")).when(p.contains("unknown"), F.lit("type")).alias("problem"))
+
+
+def _dataset(spark, sf, filters) -> str:
+    path = f"{checkpoint_root(spark)}/evidence-{uuid.uuid4().hex}"
+    selection = _selections(spark, sf).where("selection_id = 'by_sequence'")
+    evidence.export_evidence(
+        spark, path, selection=selection, events=data.chain(spark, sf), streams=data.streams(spark, sf),
+        checkpoints=data.checkpoints(spark, sf), keys=data.keys(spark),
+        package=evidence.Package("exp_1", data.NOW, filters=filters), seeds=data.SEEDS, key_id=data.KEY["b"])
+    return path
+
+
+@query("k10_verify_evidence", WITH_AV + """ SELECT 'click' AS stream, 70 AS events_checked, count(*) AS payloads_checked, 51 AS first_sequence,
+  120 AS last_sequence, 0 AS failure_count, 'valid' AS package, 2 AS checkpoints_verified FROM av
+  WHERE stream = 'click' AND sequence BETWEEN 61 AND 120 AND actor_id = 'user_3'""")
+def k10(spark, sf):
+    # Export with a filter, then verify what was written, with pinned keys.
+    path = _dataset(spark, sf, {"actorId": "user_3"})
+    result = evidence.verify_evidence(spark, path, data.keys(spark))
+    return result.verification.reports().select(
+        F.col("ctx_stream").alias("stream"), "events_checked", "payloads_checked", "first_sequence", "last_sequence",
+        "failure_count", "package", "checkpoints_verified")
+
+
+@query("s12_read_evidence_files", """SELECT part, true AS listed FROM (VALUES ('chain'), ('checkpoints'), ('events'), ('public-keys')) t(part)
+  WHERE (SELECT count(*) FROM events) > 0""")
+def s12(spark, sf):
+    path = _dataset(spark, sf, {})
+    listed = spark.read.schema(evidence.MANIFEST_SCHEMA).json(f"{path}/manifest").select(F.explode("files").alias("e")).select("e.*")
+    actual = evidence.digests(spark, path)
+    both = actual.join(listed.select("path", F.col("sha256").alias("claimed")), "path").where("sha256 = claimed")
+    return both.select(F.substring_index("path", "/", 1).alias("part")).distinct().withColumn("listed", F.lit(True))
