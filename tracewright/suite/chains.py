@@ -505,3 +505,13 @@ def k14(spark, sf):
 def k07(spark, sf):
     return checkpoint_streams(data.streams(spark, sf), data.checkpoints(spark, sf), data.SEEDS, data.KEY["b"], data.NOW,
                               min_events=1, max_age_seconds=3600).select("stream", "sequence", "head_hash", "created_at")
+
+
+@query("k15_throughput", """SELECT 'orders' AS stream, count(*) AS events_checked, 0 AS failures_before, 1 AS failures_after,
+  'payload_hash_mismatch' AS first_code, 501 AS first_sequence FROM orders""")
+def k15(spark, sf):
+    # The whole path on requests with before and after states, all in one stream.
+    from tracewright.plans.throughput import throughput
+    requests = data.requests(spark, sf).withColumn("arrival", F.col("o_orderkey"))
+    return throughput(requests, data.keys(spark), data.SEEDS, tenant_id=data.TENANT, project_id=data.PROJECT,
+                      key_id=data.KEY["b"], recorded_at=data.NOW, tamper_at=501)
