@@ -14,7 +14,7 @@ DEFAULT_CLOCK_SKEW_SECONDS = 300
 # A broken link is explained from the hashes of this many preceding records.
 LINK_MEMORY = 4096
 # Rows of one stream that one ordered task handles (see operators/ordered.py).
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 
 # Patterns of the record format.
 ID_PATTERN = r"^[a-z]{2,8}_[0-9A-Za-z]{10,64}\z"
