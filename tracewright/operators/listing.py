@@ -65,7 +65,7 @@ def page_with_cursor(events: DataFrame, limit: int = 50) -> DataFrame:
     """A page plus has_more and, on its last row, the next cursor: one row of look-ahead."""
     ahead = newest_first(events, limit + 1)
     place = Window.orderBy(F.desc("recorded_at"), F.desc("event_id"))    # at most limit + 1 rows
-    numbered = ahead.withColumn("position", F.row_number().over(place)) \
+    numbered = ahead.withColumn("position", F.row_number().over(place).cast("long")) \
         .withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > limit)
     last = F.col("has_more") & (F.col("position") == limit)
     return numbered.where(F.col("position") <= limit) \

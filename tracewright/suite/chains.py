@@ -141,7 +141,7 @@ _check("c08_indexed_field_mismatch", "indexed_field_mismatch", _found("indexed_f
 _check("c09_event_hash_mismatch", "event_hash_mismatch", _found("event_hash_mismatch", "r IN (13, 17, 23, 47, 59) OR swapped"))
 _check("c10_unknown_signing_key", "unknown_signing_key", _found("unknown_signing_key", "r = 23"))
 _check("c11_signature_invalid", "signature_invalid", _found("signature_invalid", "r = 19"))
-_check("c12_signing_key_invalid", "signing_key_invalid", "WITH " + PRESENT + """ SELECT stream, 0 AS sequence,
+_check("c12_signing_key_invalid", "signing_key_invalid", "WITH " + PRESENT + """ SELECT stream, CAST(0 AS BIGINT) AS sequence,
   CAST(NULL AS VARCHAR) AS event_id, 'signing_key_invalid' AS code, 'error' AS severity FROM heads""")
 _check("c13_signing_key_revoked", "signing_key_revoked", _found(
     "signing_key_revoked", f"key_id = '{data.KEY['b']}' AND recorded_at > '2024-01-25T00:05:00.000000Z' AND {_LATE}"))
@@ -175,7 +175,7 @@ def c15_values(spark, sf):
 
 
 @query("c18_anchor_mismatch", WITH_AV + """ SELECT stream, 41 AS sequence, 'anchor_mismatch' AS code
-  FROM av GROUP BY stream HAVING max(sequence) > 40""")
+  FROM av GROUP BY stream HAVING max(sequence) > 40""", longs="sequence")
 def c18(spark, sf):
     # Segments from record 41 on, anchored at a position whose hash is wrong.
     events = data.chain(spark, sf).where("sequence > 40")
@@ -187,7 +187,7 @@ def c18(spark, sf):
 
 
 @query("k04_verify_segment", WITH_AV + """ SELECT stream, count(*) - 50 AS events_checked, 51 AS first_sequence,
-  max(sequence) AS last_sequence, 0 AS failure_count, true AS valid FROM av GROUP BY stream HAVING max(sequence) > 50""")
+  max(sequence) AS last_sequence, 0 AS failure_count, true AS valid FROM av GROUP BY stream HAVING max(sequence) > 50""", longs="first_sequence failure_count")
 def k04(spark, sf):
     # Anchored at the checkpoint of record 50; the checkpoint describes the anchor itself.
     cps = data.checkpoints(spark, sf)
@@ -218,7 +218,7 @@ _COUNTS = PRESENT + f""", found AS (
     'payload_hash_mismatch' AS first_failure_code
   FROM (SELECT stream, count(*) AS events_checked, count(*) FILTER (WHERE r <> 29) AS payloads_checked,
           min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM present GROUP BY stream) p
-  JOIN (SELECT stream, count(*) AS failure_count FROM found GROUP BY stream) f USING (stream)""")
+  JOIN (SELECT stream, count(*) AS failure_count FROM found GROUP BY stream) f USING (stream)""", longs="first_failure_sequence")
 def k03(spark, sf):
     return data.tampered_verification(spark, sf).reports().select(
         F.col("ctx_stream").alias("stream"), "events_checked", "payloads_checked", "first_sequence", "last_sequence",
@@ -230,7 +230,7 @@ def k03(spark, sf):
   0 AS warning_count, count(*) FILTER (WHERE sequence % 50 = 0) AS checkpoints_verified, 'valid' AS hash_chain,
   'valid' AS payload_hashes, 'valid' AS signatures, 'valid' AS ordering,
   CASE WHEN count(*) >= 50 THEN 'valid' ELSE 'skipped' END AS checkpoints,
-  'valid' AS stream_head, 'skipped' AS package, 'valid' AS result FROM av GROUP BY stream""")
+  'valid' AS stream_head, 'skipped' AS package, 'valid' AS result FROM av GROUP BY stream""", longs="failure_count warning_count")
 def k03_clean(spark, sf):
     return data.clean_verification(spark, sf).reports().select(
         F.col("ctx_stream").alias("stream"), "events_checked", "failure_count", "warning_count", "checkpoints_verified",
@@ -238,7 +238,7 @@ def k03_clean(spark, sf):
 
 
 @query("k03_verify_many_streams", """SELECT count(DISTINCT conv_id) AS streams, count(*) AS events_checked,
-  0 AS failures, count(DISTINCT conv_id) AS valid FROM conversations""")
+  0 AS failures, count(DISTINCT conv_id) AS valid FROM conversations""", longs="failures")
 def k03_short(spark, sf):
     chain = data.short_chains(spark, sf)
     out = plan.verify_streams(chain, data.keys(spark), options=VerifyOptions(signatures=False)).reports()
@@ -303,7 +303,7 @@ def a16(spark, sf):
 
 
 @query("k06_verify_projects", f"""SELECT 'prj_' || lpad(CAST(user_id % 7 AS VARCHAR), 10, '0') AS project_id, count(DISTINCT event_type) AS streams_checked,
-  count(*) AS events_checked, 0 AS failure_count, 'valid' AS result FROM events GROUP BY 1""")
+  count(*) AS events_checked, 0 AS failure_count, 'valid' AS result FROM events GROUP BY 1""", longs="failure_count")
 def k06(spark, sf):
     # Seven projects, every stream of every project in one job; unsigned, so keys play no part.
     rows = data.submitted(spark, sf).withColumn("project_id", F.concat(F.lit("prj_"), F.lpad(
@@ -378,7 +378,7 @@ def j12(spark, sf):
 
 
 @query("k05_verify_events", "WITH " + PRESENT + """ SELECT event_id AS target_id,
-  CASE r WHEN 60 THEN 2 ELSE 1 END AS failure_count FROM present WHERE r IN (3, 19, 38, 60) AND sequence < last""")
+  CASE r WHEN 60 THEN 2 ELSE 1 END AS failure_count FROM present WHERE r IN (3, 19, 38, 60) AND sequence < last""", longs="failure_count")
 def k05(spark, sf):
     # Records 3 and 19 fail on their own, 38 lacks its predecessor, 60 has a
     # predecessor stored under another tenant (its header and its hash differ).
@@ -392,9 +392,10 @@ def k05(spark, sf):
 
 # ---- guards ----------------------------------------------------------------
 
-@query("g01_link_guard", "WITH " + PRESENT + """ SELECT stream, sequence, violation FROM (SELECT stream, sequence,
+@query("g01_link_guard", "WITH " + PRESENT + """ SELECT stream, sequence, violation FROM (SELECT p.stream, p.sequence,
   CASE WHEN r = 38 THEN 'predecessor_missing' WHEN r = 17 OR swapped OR r = 45 THEN 'hash_mismatch'
-  WHEN r = 13 THEN 'time_decreases' WHEN r = 47 THEN 'time_decreases' END AS violation FROM present WHERE copy = 1)
+  WHEN r = 13 OR (r = 47 AND p.recorded_at < b.recorded_at) THEN 'time_decreases' END AS violation
+  FROM present p LEFT JOIN av b ON b.stream = p.stream AND b.sequence = p.sequence - 1 WHERE copy = 1)
   WHERE violation IS NOT NULL""")
 def g01(spark, sf):
     rows = data.tampered(spark, sf).withColumn("tenant_id", F.col("ctx_tenant_id")).dropDuplicates([*STREAM_KEY, "sequence"])
@@ -455,7 +456,7 @@ def g06(spark, sf):
 
 
 @query("g06_uniqueness", "WITH " + PRESENT + f""" SELECT unnest(['id', 'stream_sequence']) AS rule, unnest([event_id,
-  tenant_id || '/' || project_id || '/' || stream || '/' || sequence]) AS value, 2 AS copies FROM present WHERE copy = 2""")
+  tenant_id || '/' || project_id || '/' || stream || '/' || sequence]) AS value, 2 AS copies FROM present WHERE copy = 2""", longs="copies")
 def g06_unique(spark, sf):
     return guards.event_uniqueness(data.tampered(spark, sf)).where("rule <> 'event_hash'")
 
@@ -508,7 +509,7 @@ def k07(spark, sf):
 
 
 @query("k15_throughput", """SELECT 'orders' AS stream, count(*) AS events_checked, 0 AS failures_before, 1 AS failures_after,
-  'payload_hash_mismatch' AS first_code, 501 AS first_sequence FROM orders""")
+  'payload_hash_mismatch' AS first_code, 501 AS first_sequence FROM orders""", longs="failures_before failures_after first_sequence")
 def k15(spark, sf):
     # The whole path on requests with before and after states, all in one stream.
     from tracewright.plans.throughput import throughput

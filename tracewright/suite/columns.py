@@ -95,7 +95,7 @@ def p08(spark, sf):
     return data.tampered(spark, sf).select("stream", "sequence", hashing.header_error().alias("error")).where("error IS NOT NULL")
 
 
-@query("p09_sign_hashes", CHAIN + " SELECT event_id, true AS verifies, 64 AS bytes FROM chain")
+@query("p09_sign_hashes", CHAIN + " SELECT event_id, true AS verifies, 64 AS bytes FROM chain", longs="bytes")
 def p09(spark, sf):
     signed = data.chain(spark, sf).withColumn("mark", crypto.sign_hashes(
         F.col("payload_hash"), F.col("key_id"), data.SEEDS, data.TAGS.manifest_signature))
@@ -242,7 +242,7 @@ def p21(spark, sf):
     return prep.prepare(data.requests(spark, sf), Settings(retain_states="diff")).select(F.col("o_orderkey").alias("k"), "content")
 
 
-@query("k01_prepare", f"WITH {_PAIRS} SELECT k, 'orders' AS stream, 'customer' AS actor_type, 'c' || c AS actor_id, 'order' AS resource_type, 'o' || k AS resource_id, 0 AS errors FROM pairs")
+@query("k01_prepare", f"WITH {_PAIRS} SELECT k, 'orders' AS stream, 'customer' AS actor_type, 'c' || c AS actor_id, 'order' AS resource_type, 'o' || k AS resource_id, 0 AS errors FROM pairs", longs="errors")
 def k01(spark, sf):
     return prep.prepare(data.requests(spark, sf)).select(
         F.col("o_orderkey").alias("k"), "stream", "actor_type", "actor_id", "resource_type", "resource_id", F.size("errors").cast("long").alias("errors"))
@@ -276,7 +276,7 @@ def p26(spark, sf):
                                                               F.col("actor.id").alias("actor_id"), "data")
 
 
-@query("p27_receipts", CHAIN + " SELECT event_id, sequence, payload_hash, event_hash, key_id, 88 AS signature_length FROM chain")
+@query("p27_receipts", CHAIN + " SELECT event_id, sequence, payload_hash, event_hash, key_id, 88 AS signature_length FROM chain", longs="signature_length")
 def p27(spark, sf):
     return listing.receipts(data.chain(spark, sf)).select("event_id", "sequence", "payload_hash", "event_hash", "key_id",
                                                           F.length("signature").cast("long").alias("signature_length"))

@@ -151,7 +151,7 @@ def _dataset(spark, sf, filters) -> str:
 
 @query("k10_verify_evidence", WITH_AV + """ SELECT 'click' AS stream, 70 AS events_checked, count(*) AS payloads_checked, 51 AS first_sequence,
   120 AS last_sequence, 0 AS failure_count, 'valid' AS package, 2 AS checkpoints_verified FROM av
-  WHERE stream = 'click' AND sequence BETWEEN 61 AND 120 AND actor_id = 'user_3'""")
+  WHERE stream = 'click' AND sequence BETWEEN 61 AND 120 AND actor_id = 'user_3'""", longs="events_checked first_sequence last_sequence failure_count checkpoints_verified")
 def k10(spark, sf):
     # Export with a filter, then verify what was written, with pinned keys.
     path = _dataset(spark, sf, {"actorId": "user_3"})

@@ -10,7 +10,7 @@ from tracewright.suite.sql import WITH_AV
 
 
 @query("flagship_tamper_and_verify", WITH_AV + """ SELECT stream, count(*) AS events_checked, 1 AS failure_count,
-  'payload_hash_mismatch' AS first_failure_code, 37 AS first_failure_sequence, false AS valid FROM av GROUP BY stream""")
+  'payload_hash_mismatch' AS first_failure_code, 37 AS first_failure_sequence, false AS valid FROM av GROUP BY stream""", longs="failure_count first_failure_sequence")
 def tamper_and_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = data.chain(spark, sf_dir)
     altered = chain.withColumn("content", F.when(F.col("sequence") == 37, F.replace(

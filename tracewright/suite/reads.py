@@ -100,7 +100,7 @@ def s14(spark, sf):
 
 @query("s14_record_stream_results", "WITH " + PRESENT + ", " + FIRST_BAD + """ SELECT 'vrf_1' AS run_id, stream, true AS valid, 1 AS first_sequence,
     head_sequence AS last_sequence, NULL AS first_failure_sequence FROM heads
-  UNION ALL SELECT 'vrf_2', stream, false, 1, last_sequence, first_failure_sequence FROM first_bad""")
+  UNION ALL SELECT 'vrf_2', stream, false, 1, last_sequence, first_failure_sequence FROM first_bad""", longs="first_sequence first_failure_sequence")
 def s14_streams(spark, sf):
     return data.run_tables(spark, sf)[1].select("run_id", "stream", "valid", "first_sequence", "last_sequence",
                                                 "first_failure_sequence")
@@ -156,7 +156,7 @@ for _status in ("verified", "failed", "unverified"):
         return rows.where(F.col("status") == status).select("event_id", "stream", "sequence")
 
 
-@query("f06_tenant_scope", WITH_AV + " SELECT count(*) AS own, 0 AS foreign_rows FROM av")
+@query("f06_tenant_scope", WITH_AV + " SELECT count(*) AS own, 0 AS foreign_rows FROM av", longs="foreign_rows")
 def f06(spark, sf):
     rows = data.chain(spark, sf)
     own = listing.of_tenant(rows, data.TENANT, data.PROJECT).agg(F.count(F.lit(1)).alias("own"))
@@ -224,7 +224,7 @@ def j01_salted(spark, sf):
 
 
 @query("j02_latest_verification", "WITH " + PRESENT + ", " + FIRST_BAD + """ SELECT stream, 'vrf_2' AS run_id, false AS valid,
-  last_sequence, first_failure_sequence FROM first_bad""")
+  last_sequence, first_failure_sequence FROM first_bad""", longs="first_failure_sequence")
 def j02(spark, sf):
     return listing.latest_verifications(data.run_tables(spark, sf)[1]).select("stream", "run_id", "valid", "last_sequence",
                                                                                "first_failure_sequence")
@@ -289,7 +289,7 @@ def j14(spark, sf):
 # ---- statistics ------------------------------------------------------------
 
 @query("a01_project_stats", "WITH " + HEADS + f""" SELECT sum(head_sequence) AS events_total, count(*) AS streams,
-  count(*) FILTER (WHERE head_recorded_at >= '2024-01-21T12:00:00.000000Z') AS active_streams, max(head_recorded_at) AS last_event_at FROM heads""")
+  count(*) FILTER (WHERE head_recorded_at >= '2024-01-21T12:00:00.000000Z') AS active_streams, max(head_recorded_at) AS last_event_at FROM heads""", longs="events_total")
 def a01(spark, sf):
     return stats.project_stats(data.streams(spark, sf), NOW).drop("tenant_id", "project_id")
 
@@ -317,12 +317,12 @@ def a07(spark, sf):
     return stats.stream_limit(data.short_chains(spark, sf)).select("streams", "at_limit")
 
 
-@query("a09_stream_health", "WITH " + HEADS + " SELECT 0 AS passing, count(*) AS failing, 0 AS unverified, 'failing' AS state FROM heads")
+@query("a09_stream_health", "WITH " + HEADS + " SELECT 0 AS passing, count(*) AS failing, 0 AS unverified, 'failing' AS state FROM heads", longs="passing unverified")
 def a09(spark, sf):
     return stats.stream_health(data.streams(spark, sf), data.run_tables(spark, sf)[1]).select("passing", "failing", "unverified", "state")
 
 
-@query("a09_stream_health_before_failure", "WITH " + HEADS + " SELECT count(*) AS passing, 0 AS failing, 0 AS unverified, 'healthy' AS state FROM heads")
+@query("a09_stream_health_before_failure", "WITH " + HEADS + " SELECT count(*) AS passing, 0 AS failing, 0 AS unverified, 'healthy' AS state FROM heads", longs="failing unverified")
 def a09_healthy(spark, sf):
     return stats.stream_health(data.streams(spark, sf), data.run_tables(spark, sf)[1].where("run_id = 'vrf_1'")).select(
         "passing", "failing", "unverified", "state")
@@ -334,7 +334,7 @@ def a17(spark, sf):
 
 
 @query("a17_runs_by_scope", """SELECT 'project' AS scope, unnest(['passed', 'failed']) AS status, 1 AS runs
-  FROM (SELECT count(*) AS n FROM events) WHERE n > 0""")
+  FROM (SELECT count(*) AS n FROM events) WHERE n > 0""", longs="runs")
 def a17_runs(spark, sf):
     return stats.runs_by_scope(data.run_tables(spark, sf)[0])
 
@@ -372,7 +372,7 @@ def l05(spark, sf):
 
 
 @query("l06_streams_by_name", "WITH " + PRESENT + ", " + FIRST_BAD + """ SELECT h.stream, h.head_sequence, 'failed' AS status,
-  f.first_failure_sequence FROM heads h JOIN first_bad f USING (stream) ORDER BY h.stream""")
+  f.first_failure_sequence FROM heads h JOIN first_bad f USING (stream) ORDER BY h.stream""", longs="first_failure_sequence")
 def l06(spark, sf):
     return listing.list_streams(data.streams(spark, sf), data.run_tables(spark, sf)[1]).select(
         "stream", "head_sequence", "status", "first_failure_sequence")
@@ -413,7 +413,7 @@ def k11_failed(spark, sf):
 @query("k12_overview", "WITH " + HEADS + f""", d AS (SELECT count(*) AS busy FROM (SELECT DISTINCT CAST(ts AS DATE) AS x FROM events
     WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-29'))
   SELECT (SELECT sum(head_sequence) FROM heads) AS events_total, (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '{_DAY}') AS events_today,
-  14 AS days, (SELECT count(*) FROM heads) AS failing, 8 AS recent""")
+  14 AS days, (SELECT count(*) FROM heads) AS failing, 8 AS recent""", longs="events_total days recent")
 def k12(spark, sf):
     parts = view.overview(data.chain(spark, sf), data.streams(spark, sf), data.run_tables(spark, sf)[1], NOW)
     # Five one-row summaries side by side.

@@ -9,7 +9,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, longs: str = ""):
+    """Register a query; ``longs`` names result columns the SQL has to widen to 64 bits."""
+    if sql is not None and longs:
+        casts = ", ".join(f"CAST({column} AS BIGINT) AS {column}" for column in longs.split())
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
     def register(function):
         QUERIES[name] = function
         if sql is not None:
