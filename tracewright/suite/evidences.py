@@ -5,12 +5,16 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from tracewright.operators.keys import events_per_key
+from tracewright.operators.ordered import newest_per_key
 from tracewright.plans import evidence
 from tracewright.schemas import STREAM_KEY
 from tracewright.session import checkpoint_root, durable
+from tracewright.sources.readers import read_keys, read_record_jsonl, read_witnesses
+from tracewright.sources.sinks import anchor_checkpoints, checkpoint_line, key_line, record_line
 from tracewright.suite import data
 from tracewright.suite.registry import query
-from tracewright.suite.sql import CHAIN, WITH_AV
+from tracewright.suite.sql import CHAIN, WITH_AV, tagged
 
 _TEXT = "cast(null as string)"
 
@@ -169,3 +173,95 @@ def s12(spark, sf):
     actual = evidence.digests(spark, path)
     both = actual.join(listed.select("path", F.col("sha256").alias("claimed")), "path").where("sha256 = claimed")
     return both.select(F.substring_index("path", "/", 1).alias("part")).distinct().withColumn("listed", F.lit(True))
+
+
+# ---- files -----------------------------------------------------------------
+
+def _place(spark, name: str) -> str:
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s05_read_record_jsonl", CHAIN + " SELECT stream, sequence, event_id, event_hash, content FROM chain")
+def s05(spark, sf):
+    path = _place(spark, "records")
+    data.chain(spark, sf).select(record_line(True).alias("value")).write.text(path)
+    return read_record_jsonl(spark, path).where("error IS NULL").select("stream", "sequence", "event_id", "event_hash", "content")
+
+
+@query("s05_bad_lines", WITH_AV + """, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE sequence % 10 = 1) AS bad,
+  count(*) FILTER (WHERE sequence % 10 = 2) AS cut, count(*) FILTER (WHERE sequence % 10 = 3) AS blank FROM av)
+  SELECT n - bad - cut - blank AS records, bad + cut AS errors FROM n""")
+def s05_bad(spark, sf):
+    # A repeated member, a cut line and a blank line in every ten.
+    path = _place(spark, "bad-records")
+    r = F.col("sequence") % 10
+    line = record_line(False)
+    broken = F.when(r == 1, F.concat(F.lit('{"stream":"x",'), F.substr(line, F.lit(2)))) \
+        .when(r == 2, F.substring(line, 1, 40)).when(r == 3, F.lit("  ")).otherwise(line)
+    data.chain(spark, sf).select(broken.alias("value")).write.text(path)
+    return read_record_jsonl(spark, path).agg(F.count_if(F.col("error").isNull()).alias("records"),
+                                              F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+@query("s06_read_keys", WITH_AV + " SELECT key_id, count(*) AS event_count FROM av GROUP BY key_id")
+def s06(spark, sf):
+    path = _place(spark, "keys")
+    listed = data.keys(spark).agg(F.array_sort(F.collect_list(key_line())).alias("k"))      # keys of one project
+    listed.select(F.concat(F.lit('{"keys":['), F.array_join("k", ","), F.lit("]}"))).write.text(path)
+    return events_per_key(data.chain(spark, sf), read_keys(spark, path)).where("event_count > 0").select("key_id", "event_count")
+
+
+@query("s07_read_witnesses", CHAIN + """ SELECT stream, max(sequence) AS sequence, max_by(event_hash, sequence) AS head_hash FROM chain
+  WHERE stream = 'click' AND sequence % 50 = 0 GROUP BY stream""")
+def s07(spark, sf):
+    # The newest checkpoint of each stream, a file each; kept for one stream.
+    path = _place(spark, "witnesses")
+    newest = newest_per_key(data.checkpoints(spark, sf), STREAM_KEY, ["sequence"])
+    newest.select(checkpoint_line().alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return read_witnesses(spark, path, "click").select("stream", "sequence", "head_hash")
+
+
+@query("s11_write_evidence", WITH_AV + """ SELECT 'chain' AS part, 70 AS lines FROM av GROUP BY 1 UNION ALL SELECT 'checkpoints', 2 FROM av GROUP BY 1
+  UNION ALL SELECT 'events', count(*) FROM av WHERE stream = 'click' AND sequence BETWEEN 61 AND 120 AND actor_id = 'user_3'""", longs="lines")
+def s11(spark, sf):
+    path = _dataset(spark, sf, {"actorId": "user_3"})
+    parts = [spark.read.text(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("lines"))
+             for p in ("chain", "checkpoints", "events")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s13_anchor_checkpoints", WITH_AV + """ SELECT stream, sequence, 'anchored' AS first_status, 'failed' AS second_status FROM av WHERE sequence % 50 = 0""")
+def s13(spark, sf):
+    # Publishing twice: the second time every entry is there and stays as it is.
+    path, cps = _place(spark, "anchors"), data.checkpoints(spark, sf)
+    first = anchor_checkpoints(cps, path).select("checkpoint_id", F.col("status").alias("first_status"))
+    second = anchor_checkpoints(cps, path).select("checkpoint_id", F.col("status").alias("second_status"))
+    return cps.select("checkpoint_id", "stream", "sequence").join(first, "checkpoint_id").join(second, "checkpoint_id").drop("checkpoint_id")
+
+
+@query("p33_manifest_hash", WITH_AV + f" SELECT event_id, {tagged(data.TAGS.manifest, 'content')} AS manifest_hash FROM av")
+def p33(spark, sf):
+    # The hash is over the canonical form, so it does not depend on how the document is written.
+    text = F.concat(F.lit(" "), F.replace("content", F.lit(","), F.lit(" , ")))
+    return data.submitted(spark, sf).select("event_id", evidence.manifest_hash(text, data.TAGS).alias("manifest_hash"))
+
+
+@query("c24_package_malformed", """SELECT 'chain/part-' || c_custkey AS path, 'package_malformed' AS code FROM customer WHERE c_custkey % 5 = 3""")
+def c24(spark, sf):
+    return j11(spark, sf).where("code = 'package_malformed'")
+
+
+@query("c25_package_digest_mismatch", """SELECT 'chain/part-' || c_custkey AS path, 'package_digest_mismatch' AS code FROM customer WHERE c_custkey % 5 < 3""")
+def c25(spark, sf):
+    return j11(spark, sf).where("code = 'package_digest_mismatch'")
+
+
+@query("c26_manifest_signature_invalid", WITH_AV + f""" SELECT 'manifest_signature_invalid' AS code, 1 AS findings FROM av GROUP BY 1
+  UNION ALL SELECT 'checkpoint_invalid', 2 FROM av GROUP BY 1
+  UNION ALL SELECT 'unknown_signing_key', count(*) FROM av WHERE stream = 'click' AND sequence BETWEEN 51 AND 120 AND key_id = '{data.KEY["b"]}'
+    HAVING count(*) > 0""", longs="findings")
+def c26(spark, sf):
+    # Verified by someone who trusts only the older key.
+    path = _dataset(spark, sf, {})
+    found = evidence.verify_evidence(spark, path, data.keys(spark).where(F.col("key_id") == data.KEY["a"])).findings()
+    return found.where("severity = 'error'").groupBy("code").agg(F.count(F.lit(1)).alias("findings"))
