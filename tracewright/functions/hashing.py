@@ -21,32 +21,44 @@ def payload_hash(content: Column, tags: Tags) -> Column:
     return tagged_hash(tags.payload, content)
 
 
-def _member(name: str, value: Column) -> Column:
-    quoted = F.when(value.rlike(_PLAIN), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(json_string(value))
-    return F.concat(F.lit(f'"{name}":'), quoted)
+_BEFORE_LINK = ("event_id", "key_id", "payload_hash")
+_AFTER_LINK = ("project_id", "recorded_at", "stream", "tenant_id")
 
 
-def _number(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f'"{name}":'), value.cast("string"))
+def _escaping(c, names, build) -> Column:
+    """build(quote) with plain quotes where no text needs escaping - one test for
+    all of them - and with full escaping otherwise."""
+    plain = F.concat(*[c(n) for n in names]).rlike(_PLAIN)
+    simple = build(lambda n: F.concat(F.lit('"'), c(n), F.lit('"')))
+    return F.when(plain, simple).otherwise(build(lambda n: json_string(c(n))))
+
+
+def _before(c, q) -> list:
+    return [F.lit('{"eventId":'), q("event_id"), F.lit(',"keyId":'), q("key_id"), F.lit(',"payloadHash":'),
+            q("payload_hash"), F.lit(',"previousHash":"')]
+
+
+def _after(c, q) -> list:
+    return [F.lit('","projectId":'), q("project_id"), F.lit(',"recordedAt":'), q("recorded_at"),
+            F.lit(',"schemaVersion":'), c("schema_version").cast("string"), F.lit(',"sequence":'),
+            c("sequence").cast("string"), F.lit(',"stream":'), q("stream"), F.lit(',"tenantId":'), q("tenant_id"), F.lit("}")]
 
 
 def header_before_link(c=F.col) -> Column:
     """Canonical header text up to the previous hash."""
-    return F.concat(F.lit("{"), _member("eventId", c("event_id")), F.lit(","), _member("keyId", c("key_id")),
-                    F.lit(","), _member("payloadHash", c("payload_hash")), F.lit(',"previousHash":"'))
+    return _escaping(c, _BEFORE_LINK, lambda q: F.concat(*_before(c, q)))
 
 
 def header_after_link(c=F.col) -> Column:
     """Canonical header text after the previous hash."""
-    return F.concat(F.lit('",'), _member("projectId", c("project_id")), F.lit(","),
-                    _member("recordedAt", c("recorded_at")), F.lit(","),
-                    _number("schemaVersion", c("schema_version")), F.lit(","),
-                    _number("sequence", c("sequence")), F.lit(","), _member("stream", c("stream")), F.lit(","),
-                    _member("tenantId", c("tenant_id")), F.lit("}"))
+    return _escaping(c, _AFTER_LINK, lambda q: F.concat(*_after(c, q)))
 
 
 def header_canonical(c=F.col) -> Column:
-    return F.concat(header_before_link(c), c("previous_hash"), header_after_link(c))
+    names = (*_BEFORE_LINK, "previous_hash", *_AFTER_LINK)
+    return _escaping(c, names, lambda q: F.concat(
+        *_before(c, q)[:-1], F.lit(',"previousHash":'), q("previous_hash"), F.lit(',"projectId":'),
+        *_after(c, q)[1:]))
 
 
 def event_hash(tags: Tags, c=F.col) -> Column:
@@ -54,12 +66,12 @@ def event_hash(tags: Tags, c=F.col) -> Column:
 
 
 def checkpoint_canonical(c=F.col) -> Column:
-    return F.concat(
-        F.lit("{"), _member("checkpointId", c("checkpoint_id")), F.lit(","),
-        _member("createdAt", c("created_at")), F.lit(","), _member("headHash", c("head_hash")), F.lit(","),
-        _member("keyId", c("key_id")), F.lit(","), _member("projectId", c("project_id")), F.lit(","),
-        _number("schemaVersion", c("schema_version")), F.lit(","), _number("sequence", c("sequence")), F.lit(","),
-        _member("stream", c("stream")), F.lit(","), _member("tenantId", c("tenant_id")), F.lit("}"))
+    names = ("checkpoint_id", "created_at", "head_hash", "key_id", "project_id", "stream", "tenant_id")
+    return _escaping(c, names, lambda q: F.concat(
+        F.lit('{"checkpointId":'), q("checkpoint_id"), F.lit(',"createdAt":'), q("created_at"), F.lit(',"headHash":'),
+        q("head_hash"), F.lit(',"keyId":'), q("key_id"), F.lit(',"projectId":'), q("project_id"), F.lit(',"schemaVersion":'),
+        c("schema_version").cast("string"), F.lit(',"sequence":'), c("sequence").cast("string"), F.lit(',"stream":'),
+        q("stream"), F.lit(',"tenantId":'), q("tenant_id"), F.lit("}")))
 
 
 def checkpoint_hash(tags: Tags, c=F.col) -> Column:

@@ -13,7 +13,6 @@ from tracewright.functions import hashing
 from tracewright.functions.canon import Rejected, StrictJson, dump
 from tracewright.functions.crypto import _verify_hex
 from tracewright.functions.times import canonical_time_ok
-from tracewright.operators.keys import key_usage
 from tracewright.schemas import CONTEXT_KEY, INDEX_COLUMNS
 
 # Finding codes and the category each belongs to.
@@ -186,8 +185,10 @@ def check_records(records: DataFrame, options: VerifyOptions) -> DataFrame:
         .withColumn("_payload_hash", hashing.payload_hash(F.col("_canonical"), options.tags)) \
         .withColumn("_event_hash", hashing.event_hash(options.tags)) \
         .withColumn("_time_ok", canonical_time_ok(F.col("recorded_at"))) \
-        .withColumn("_usage", key_usage(F.col("recorded_at"), options.clock_skew_seconds, "key_activated_at",
-                                        "key_retired_at", "key_revoked_at"))
+        .withColumn("_usage", F.when(~F.col("_time_ok"), F.lit(None))
+                    .when(F.col("recorded_at") > F.col("key_unrevoked_until"), F.lit("after_revocation"))
+                    .when(F.col("recorded_at") < F.col("key_valid_from"), F.lit("before_activation"))
+                    .when(F.col("recorded_at") > F.col("key_valid_until"), F.lit("after_retirement")))
     valid = supported & has_content & F.col("_read.error").isNull()
     intact = valid & F.col("_payload_hash").eqNullSafe(F.col("payload_hash"))
     checks = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.hashing import key_fingerprint, key_id
-from tracewright.functions.times import canonical_time_ok, parse_time
+from tracewright.functions.times import canonical_time_ok, format_time, parse_time
 from tracewright.operators.joins import lookup_join
 
 SCOPE = ["tenant_id", "project_id"]
@@ -64,11 +64,17 @@ def key_usage(recorded_at: Column, skew_seconds: int, activated="activated_at",
 
 
 def with_key(records: DataFrame, trusted: DataFrame, scope: list[str], key_scope: list[str],
-             small: bool | None = None) -> DataFrame:
-    """Records with key_public, key_activated_at, key_retired_at, key_revoked_at; null if untrusted."""
+             small: bool | None = None, skew_seconds: int = 300) -> DataFrame:
+    """Records with the columns of their key, null if it is untrusted: key_public,
+    key_activated_at, key_retired_at, key_revoked_at, and the last and first
+    times (key_valid_*) a record may bear. The bounds are worked out per key, not per record."""
+    skew = F.expr(f"INTERVAL '{int(skew_seconds)}' SECOND")
     side = trusted.select(
         *[F.col(k).alias(s) for k, s in zip(key_scope, scope)], "key_id", F.col("public_key").alias("key_public"),
-        *[F.col(c).alias(f"key_{c}") for c in ("activated_at", "retired_at", "revoked_at")])
+        *[F.col(c).alias(f"key_{c}") for c in ("activated_at", "retired_at", "revoked_at")],
+        format_time(parse_time(F.col("activated_at")) - skew).alias("key_valid_from"),
+        format_time(parse_time(F.col("retired_at")) + skew).alias("key_valid_until"),
+        format_time(parse_time(F.col("revoked_at")) + skew).alias("key_unrevoked_until"))
     return lookup_join(records, side, [*scope, "key_id"], spread="event_hash", small=small)
 
 

@@ -15,7 +15,7 @@ from tracewright.config import BUCKET_ROWS, SCHEMA_VERSION, ZERO_HASH, Tags
 from tracewright.functions.crypto import sign_hashes
 from tracewright.functions.hashing import header_after_link, header_before_link, payload_hash
 from tracewright.operators.ordered import newest_per_key, number_rows, running_max, spread_bucket
-from tracewright.schemas import EVENTS, STREAM_KEY
+from tracewright.schemas import EVENTS, INDEX_COLUMNS, STREAM_KEY
 from tracewright.session import durable
 
 SEGMENT_ROWS = 20_000_000
@@ -93,16 +93,20 @@ def seal(prepared: DataFrame, seeds: dict[str, bytes] | None, *, heads: DataFram
     """Chain records of prepared events.
 
     ``prepared``: stream key, event_id, arrival (integer order), recorded_at
-    (canonical text), key_id, content and the index columns. ``seeds`` maps key
-    ids to Ed25519 seeds; None leaves the signature null.
+    (canonical text), key_id, content and the index columns. Event ids are unique
+    and the input gives the same rows when read again: write it first when
+    preparing it was costly. ``seeds`` maps key ids to Ed25519 seeds; None leaves
+    the signature null.
     """
-    # The numbered rows feed the chain and are joined to it again, and the
-    # numbering is several shuffles: keep it once, durably.
-    rows = durable(number_and_clamp(prepared, heads, arrival=arrival, bucket_rows=bucket_rows)
-                   .withColumn("schema_version", F.lit(SCHEMA_VERSION))
-                   .withColumn("payload_hash", payload_hash(F.col("content"), tags)))
-    linked = link(rows, heads, tags, segment_rows)
-    sealed = rows.join(linked, [*STREAM_KEY, "sequence"])
+    # Numbering and linking take several shuffles, so they see narrow rows only,
+    # kept once, durably. The content is read twice and shuffled once.
+    narrow = prepared.select(*STREAM_KEY, arrival, "event_id", "recorded_at", "key_id",
+                             payload_hash(F.col("content"), tags).alias("payload_hash"))
+    rows = durable(number_and_clamp(narrow, heads, arrival=arrival, bucket_rows=bucket_rows)
+                   .withColumn("schema_version", F.lit(SCHEMA_VERSION)))
+    headers = rows.join(link(rows, heads, tags, segment_rows), [*STREAM_KEY, "sequence"])
+    place = [*STREAM_KEY, arrival, "event_id"]
+    sealed = headers.join(prepared.select(*place, "content", *INDEX_COLUMNS), place)
     signature = F.lit(None).cast("binary") if seeds is None else sign_hashes(
         F.col("event_hash"), F.col("key_id"), seeds, tags.event_signature)
     return sealed.withColumn("signature", signature).select(*EVENTS.fieldNames())
