@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewright.config import MAX_SEQUENCE, SCHEMA_VERSION, STORED, ZERO_HASH, VerifyOptions
 from tracewright.functions import hashing
 from tracewright.functions.canon import Rejected, StrictJson, dump
-from tracewright.functions.crypto import _verify_hex
+from tracewright.functions.crypto import verify_hex
 from tracewright.functions.times import canonical_time_ok
 from tracewright.schemas import CONTEXT_KEY, INDEX_COLUMNS
 
@@ -141,7 +141,7 @@ def read_payload(options: VerifyOptions) -> Column:
             others.append(other)
             shapes.append(shape)
             indexes.append(index)
-            signed.append(_verify_hex(tag, digest, key, mark) if signatures and key is not None else None)
+            signed.append(verify_hex(tag, digest, key, mark) if signatures and key is not None else None)
         columns = {"error": errors, "canonical": others, "shape_error": shapes, "signature_ok": signed,
                    **dict(zip(INDEX_COLUMNS, zip(*indexes)))}
         return pd.DataFrame({name: pd.Series(list(values), dtype=object) for name, values in columns.items()})

@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.config import SCHEMA_VERSION, Tags
+from tracewright.config import BUCKET_ROWS, SCHEMA_VERSION, ZERO_HASH, Tags
 from tracewright.functions.crypto import sign_hashes
 from tracewright.functions.hashing import checkpoint_hash
 from tracewright.operators.listing import streams_needing_checkpoint
+from tracewright.operators.ordered import with_previous
 from tracewright.schemas import CHECKPOINTS, STREAM_KEY
 
 
@@ -23,7 +24,7 @@ def checkpoint_streams(streams: DataFrame, existing: DataFrame, seeds: dict[str,
                        tags: Tags = Tags(), limit: int = 100) -> DataFrame:
     """New checkpoints of streams that are due; one that exists at a sequence is kept.
 
-    ``limit`` is the reference behaviour of one run: the most overdue streams first.
+    ``limit`` bounds one run on purpose: the most overdue streams come first, the rest in the next run.
     """
     due = streams_needing_checkpoint(streams, min_events, max_age_seconds, now, limit)
     made = checkpoint_id if checkpoint_id is not None else F.concat(
@@ -34,26 +35,37 @@ def checkpoint_streams(streams: DataFrame, existing: DataFrame, seeds: dict[str,
     return sign_checkpoints(fresh, seeds, tags)
 
 
-def newest_at_or_before(positions: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """For each (stream key, from_sequence): the newest checkpoint at or before
-    from_sequence - 1, or genesis.
+def newest_at_or_before(positions: DataFrame, checkpoints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """For each row with a stream key and from_sequence: the newest checkpoint
+    at or before from_sequence - 1, or genesis.
 
-    The range condition rides on an equality of the stream; checkpoints are
-    reduced to one per position by a partial aggregate.
+    Positions and checkpoints are put in one order per stream and the last
+    checkpoint is carried along, bucket by bucket: no position meets more than
+    the one checkpoint it is looking for.
     """
-    from tracewright.config import ZERO_HASH
-    side = checkpoints.select(*STREAM_KEY, F.struct("sequence", "checkpoint_id", "head_hash").alias("_cp"))
-    near = positions.join(side, STREAM_KEY, "left")
-    usable = F.when(F.col("_cp.sequence") < F.col("from_sequence"), F.col("_cp"))
-    found = near.groupBy(*positions.columns).agg(F.max(usable).alias("_a"))
+    side = checkpoints.select(*STREAM_KEY, "sequence", F.lit(1).alias("_kind"),
+                              F.struct("sequence", "checkpoint_id", "head_hash").alias("cp"))
+    # A position sorts before a checkpoint of the same number.
+    rows = positions.withColumn("sequence", F.col("from_sequence")).withColumn("_kind", F.lit(0))
+    both = rows.withColumn("_row", F.struct(*positions.columns)).select(*STREAM_KEY, "sequence", "_kind", "_row") \
+        .unionByName(side, allowMissingColumns=True)
+    found = with_previous(both, both.select(*STREAM_KEY, "sequence", "_kind", "cp"), STREAM_KEY, ["sequence", "_kind"],
+                          ["sequence"], "cp", bucket_rows).where("_kind = 0")
     return found.select(
-        *positions.columns, F.when(F.col("_a").isNull(), F.lit("genesis")).otherwise(F.lit("checkpoint")).alias("anchor_type"),
-        F.col("_a.checkpoint_id").alias("anchor_checkpoint_id"),
-        F.coalesce("_a.sequence", F.lit(0)).cast("long").alias("anchor_sequence"),
-        F.coalesce("_a.head_hash", F.lit(ZERO_HASH)).alias("anchor_hash"))
+        *[F.col(f"_row.{c}").alias(c) for c in positions.columns],
+        F.when(F.col("prev_cp").isNull(), F.lit("genesis")).otherwise(F.lit("checkpoint")).alias("anchor_type"),
+        F.col("prev_cp.checkpoint_id").alias("anchor_checkpoint_id"),
+        F.coalesce("prev_cp.sequence", F.lit(0)).cast("long").alias("anchor_sequence"),
+        F.coalesce("prev_cp.head_hash", F.lit(ZERO_HASH)).alias("anchor_hash"))
 
 
-def checkpoints_in_range(ranges: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Checkpoints with anchor_sequence < sequence <= to_sequence of each range (stream key + both bounds)."""
-    return checkpoints.join(ranges, STREAM_KEY).where(
-        (F.col("sequence") > F.col("anchor_sequence")) & (F.col("sequence") <= F.col("to_sequence")))
+def checkpoints_in_range(ranges: DataFrame, checkpoints: DataFrame, span: int = 100_000) -> DataFrame:
+    """Checkpoints with anchor_sequence < sequence <= to_sequence of each range (stream key + both bounds).
+
+    A range is cut into spans of sequences, so a range and a checkpoint only
+    meet where they can match, and a hot stream is spread over its spans.
+    """
+    cut = ranges.withColumn("_span", F.explode(F.sequence(
+        F.floor((F.col("anchor_sequence") + 1) / span), F.floor(F.greatest("to_sequence", F.col("anchor_sequence") + 1) / span))))
+    return checkpoints.withColumn("_span", F.floor(F.col("sequence") / span)).join(cut, [*STREAM_KEY, "_span"]).where(
+        (F.col("sequence") > F.col("anchor_sequence")) & (F.col("sequence") <= F.col("to_sequence"))).drop("_span")

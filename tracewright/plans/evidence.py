@@ -371,7 +371,7 @@ def verify_evidence(spark: SparkSession, path: str, trusted_keys: DataFrame | No
     signature = one(spark.read.schema("keyId string, algorithm string, manifestHash string, signature string")
                     .json(f"{path}/signature")).join(one(manifest), "_one") \
         .withColumn("actual", manifest_hash(F.col("text"), tags)) \
-        .join(F.broadcast(trusted.select(F.col("key_id").alias("keyId"), "public_key")), "keyId", "left") \
+        .join(bounded(trusted.select(F.col("key_id").alias("keyId"), "public_key")), "keyId", "left") \
         .withColumn("ok", verify_signatures(F.col("actual"), F.col("public_key"), base64_strict(F.col("signature")),
                                             tags.manifest_signature))
     bad_signature = early(signature, F.coalesce(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewright.config import ZERO_HASH, VerifyOptions
 from tracewright.operators import guards, keys as key_ops
+from tracewright.operators.joins import lookup_join
 from tracewright.operators.ordered import number_rows, running_max, spread_bucket, with_previous
 from tracewright.plans import verify as plan
 from tracewright.plans.checkpointing import checkpoint_streams
@@ -286,13 +287,12 @@ def a14(spark, sf):
 
 @query("a15_failure_sequences", "WITH " + PRESENT + """, s AS (SELECT DISTINCT stream, sequence FROM present
   WHERE r IN (3, 7, 11, 13, 17, 19, 23, 29, 31, 38, 41, 45, 47, 59) OR copy = 2 OR swapped)
-  SELECT stream, sequence FROM s WHERE sequence <= 60""")
+  SELECT stream, sequence FROM s""")
 def a15(spark, sf):
     # Findings of the records alone: no key, head or checkpoint findings share the list.
     out = plan.verify_streams(data.tampered(spark, sf), data.keys(spark), options=VerifyOptions(max_failures=1_000_000))
     listed = plan.failure_sequences(out)
-    return listed.select(F.col("ctx_stream").alias("stream"), F.explode("failure_sequences").alias("sequence")) \
-        .where("sequence <= 60")
+    return listed.select(F.col("ctx_stream").alias("stream"), F.explode("failure_sequences").alias("sequence"))
 
 
 @query("a16_project_rollup", "WITH " + _COUNTS + f""" SELECT '{data.PROJECT}' AS project_id, (SELECT count(*) FROM heads) AS streams_checked,
@@ -384,7 +384,7 @@ def k05(spark, sf):
     # predecessor stored under another tenant (its header and its hash differ).
     chain = data.tampered(spark, sf)
     ends = data.streams(spark, sf).select(F.col("stream").alias("ctx_stream"), (F.col("head_sequence") - 3).alias("last"))
-    targets = chain.join(F.broadcast(ends), "ctx_stream").where(
+    targets = lookup_join(chain, ends, ["ctx_stream"], "inner").where(
         (F.col("sequence") % 100).isin(3, 19, 38, 60) & (F.col("sequence") < F.col("last")))
     out = plan.verify_events(targets, chain, data.keys(spark), streams=data.streams(spark, sf))
     return out.reports().select("target_id", "failure_count")
@@ -443,7 +443,7 @@ def g04(spark, sf):
 def g05(spark, sf):
     old = data.chain(spark, sf).select("stream", "sequence", "event_id", "content")
     ends = data.streams(spark, sf).select("stream", (F.col("head_sequence") - 3).alias("last"))
-    new = old.join(F.broadcast(ends), "stream").where("sequence <= last AND sequence % 100 <> 37").withColumn(
+    new = lookup_join(old, ends, ["stream"], "inner").where("sequence <= last AND sequence % 100 <> 37").withColumn(
         "content", F.when(F.col("sequence") % 100 == 3, F.lit("{}")).otherwise(F.col("content")))
     return guards.append_only_guard(old, new.drop("last")).select("stream", "sequence", "event_id")
 
