@@ -26,6 +26,42 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tracewright.llm import byte_bpe
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    back = byte_bpe.decode(byte_bpe.encode(docs, *vocab).drop("text"), *vocab)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import language_id
+    docs = table(spark, sf_dir, "documents")
+    known = language_id.learn(docs.filter(~language_id.held_out()))
+    rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.identify(rows, known).drop("text")
+
+
+#: A conversation whose texts are the markers of a common chat template.
+CONTROL_STRINGS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op6_chat_format")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import chat
+    from tracewright.llm.common import written
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROL_STRINGS, "conv_id long, turn long, role string, text string"))
+    formatted = written(chat.render(chat.fold(chat.log_of(rows))), "chat")
+    return chat.digests(formatted)
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import packing
