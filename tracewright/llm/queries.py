@@ -26,6 +26,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_posting_lists")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import ann
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
