@@ -45,6 +45,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op4_ngram_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import ngram_join
+    return ngram_join.components_of(table(spark, sf_dir, "documents"))
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import language_id
