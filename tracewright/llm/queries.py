@@ -26,6 +26,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import secret_scan
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(secret_scan.planted_findings(docs)))
+    return found.select("doc_id", "start", F.char_length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+                        F.round("score", 6).alias("score"), "secret")
+
+
 @query("op2_posting_lists")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import ann
