@@ -41,14 +41,17 @@ def groups(rows: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A bucketed table below `path`; opening a path again continues the index found there."""
+    """A bucketed table below `path`; opening a path again, with as many buckets, continues the index found there.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
+    Fewer buckets than the session's shuffle partitions would make Spark shuffle the index too.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"digest_index_{uuid.uuid4().hex}"
         self.path = path or f"{checkpoint_root(spark)}/{self.name}"
         spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, chars BIGINT, group_size BIGINT) USING parquet "
-                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

@@ -90,17 +90,25 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame):
-    """A forest from labelled findings: value, left, right, path, label (1: a secret). At most LABELLED_ROWS rows are used."""
+    """A forest from labelled findings: value, left, right, path, label (1: a secret). At most LABELLED_ROWS rows are used.
+
+    None where there are not both kinds to learn from; nothing counts as a secret then.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     rows = written(labelled.select("value", "left", "right", "path", F.col("label").cast("double").alias("label"))
                    .orderBy(F.xxhash64("value", "left")).limit(LABELLED_ROWS), "labelled")
+    if rows.select("label").distinct().count() < 2:
+        return None
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(_assembled(rows))
 
 
 def scan(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """Findings: doc_id, start, value, score, secret. The score is the forest's share of votes for a secret."""
     from pyspark.ml.functions import vector_to_array
-    judged = forest.transform(_assembled(with_candidates(docs, id_col, text_col, path_col)))
+    found = with_candidates(docs, id_col, text_col, path_col)
+    if forest is None:
+        return found.select("doc_id", "start", "value", F.lit(0.0).alias("score"), F.lit(False).alias("secret"))
+    judged = forest.transform(_assembled(found))
     score = vector_to_array("probability")[1]
     return judged.select("doc_id", "start", "value", score.alias("score"), (score >= THRESHOLD).alias("secret"))
 
