@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Words kept by a worker, about 200 bytes each.
-CACHE_WORDS = 400_000
+#: Words of each of a cache's two generations, about 200 bytes each.
+CACHE_WORDS = 300_000
 #: A space that is no border between words: before white space or at the end.
 _UNUSUAL = re.compile(r" (?=\s|$|[\x1c-\x1f])")
 _BORDER = re.compile(r" (?=\S)")
@@ -26,22 +27,47 @@ def split_words(text: str) -> list[str]:
 
 
 class WordCache:
-    """bytes of the ids of a text, from those of its words. encode_words: words (with their spaces) -> bytes of ids each."""
+    """bytes of the ids of a text, from those of its words. encode_words: words (with their spaces) -> bytes of ids each.
+
+    When the young generation is full it becomes the old one, and words that are met again come back from there.
+    """
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], limit: int = CACHE_WORDS):
-        self.encode_words, self.limit, self.known = encode_words, limit, {}
+        self.encode_words, self.limit, self.young, self.old = encode_words, limit, {}, {}
+
+    def _add(self, words: set[str]) -> None:
+        if len(self.young) + len(words) > self.limit:
+            self.old, self.young = self.young, {}
+        kept = words & self.old.keys()
+        self.young.update((w, self.old[w]) for w in kept)
+        new = list(words - kept)
+        # a key that starts with a space is a first word: it has none before it
+        self.young.update(zip(new, self.encode_words([w[1:] if w[0] == " " else " " + w for w in new])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [split_words(t) for t in texts]
-        known, firsts = self.known, {p[0] for p in parts}
-        new = set().union(*(p[1:] for p in parts)).difference(known)
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = set().union(*(p[1:] for p in parts))
-        words = list(new)
-        known.update(zip(words, self.encode_words([" " + w for w in words])))
-        starts = dict(zip(firsts, self.encode_words(list(firsts))))
-        return [starts[p[0]] + b"".join(map(known.__getitem__, p[1:])) for p in parts]
+        out: list[bytes] = []
+        missing: list[tuple[int, list[str]]] = []
+        get = self.young.get
+        for i, text in enumerate(texts):
+            parts = split_words(text)
+            parts[0] = " " + parts[0]
+            ids = list(map(get, parts))
+            if None in ids:
+                missing.append((i, parts))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if missing:
+            young = self.young
+            new: set[str] = set()
+            for _, parts in missing:
+                new.update(parts)
+            wanted = new.difference(young)
+            self._add(wanted)
+            known = self.young if self.young is young else {**{w: young[w] for w in new - wanted}, **self.young}
+            for i, parts in missing:
+                out[i] = b"".join(map(known.__getitem__, parts))
+        return out
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,32 +77,45 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The split pattern of byte-level vocabularies (fixed value), used on words of Latin letters only.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LATIN = re.compile("[\\x00-\u024f]*")
+
+
 class LibraryEncoder:
-    """Words -> little-endian ids by tokenizers.Tokenizer; one object per worker and file."""
+    """Words -> little-endian ids by the model of a tokenizers.Tokenizer; one object per worker and file.
+
+    Letters of a word are one piece and their marks others, so most pieces of a new word are known. Words with rare
+    characters, which libraries may class differently, go through the tokenizer whole.
+    """
     _made: dict[tuple, WordCache] = {}
 
-    def __init__(self, vocab_path: str, dtype: str):
+    def __init__(self, vocab_path: str, dtype: str, limit: int = CACHE_WORDS // 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocab_path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.dtype, self.letters = self.tokenizer.model, np.dtype(dtype), _byte_letters()
+        self.model, self.kind, self.letters = self.tokenizer.model, {2: "H", 4: "I"}[np.dtype(dtype).itemsize], _byte_letters()
+        self.split, self.limit, self.pieces = regex.compile(_PIECES).findall, limit, {}
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self.pieces[piece] = array(self.kind, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return ids
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        tokenize, dtype, letters = self.model.tokenize, self.dtype, self.letters
-        out: list[bytes | None] = []
-        mixed = []
-        for i, w in enumerate(words):
-            if w[1:].isalpha() and w[0] == " ":  # letters alone are one piece; the model needs no splitting
-                piece = w.encode().decode("latin-1").translate(letters)
-                out.append(np.array([t.id for t in tokenize(piece)], dtype).tobytes())
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        get, piece, split = self.pieces.get, self._piece, self.split
+        out = []
+        for w in words:
+            if w[1:].isalpha() and w[0] == " ":
+                out.append(get(w) or piece(w))
+            elif _LATIN.fullmatch(w):
+                out.append(b"".join([get(p) or piece(p) for p in split(w)]))
             else:
-                out.append(None)
-                mixed.append(i)
-        for at in range(0, len(mixed), 1000):
-            some = mixed[at:at + 1000]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-                out[i] = np.array(e.ids, dtype).tobytes()
+                out.append(array(self.kind, self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes())
         return out
 
     @classmethod
