@@ -73,9 +73,9 @@ def run(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     timed("verify_without_signatures", lambda: verify_streams(
         chain, keys, streams=streams, options=VerifyOptions(signatures=False)).reports().collect())
     results = data.run_tables(spark, sf_dir)[1]
-    timed("list_page", lambda: view.list_events(chain, results, stream="click").collect())
-    timed("list_failed", lambda: view.list_events(chain, results, status="failed").collect())
-    timed("overview", lambda: [df.collect() for df in view.overview(chain, streams, results, data.NOW).values()])
+    timed("list_page", lambda: view.list_events(chain, results, data.SCOPE, stream="click").collect())
+    timed("list_failed", lambda: view.list_events(chain, results, data.SCOPE, status="failed").collect())
+    timed("overview", lambda: [df.collect() for df in view.overview(chain, streams, results, data.SCOPE, data.NOW).values()])
     timed("prepare_orders", lambda: drain(prepare(data.requests(spark, sf_dir))))
     return took
 

@@ -9,10 +9,9 @@ from dataclasses import dataclass, field
 SCHEMA_VERSION = 1
 MAX_SEQUENCE = 1 << 53
 ZERO_HASH = "0" * 64
-DEFAULT_MAX_FAILURES = 100
+# Findings of a kind that a report lists per chain; None: all of them.
+DEFAULT_MAX_FAILURES = None
 DEFAULT_CLOCK_SKEW_SECONDS = 300
-# A broken link is explained from the hashes of this many preceding records.
-LINK_MEMORY = 4096
 # Rows of one stream that one ordered task handles (see operators/ordered.py).
 BUCKET_ROWS = 10_000
 
@@ -90,7 +89,7 @@ class VerifyOptions:
     require_canonical: bool = True
     check_index: bool = True
     clock_skew_seconds: int = DEFAULT_CLOCK_SKEW_SECONDS
-    max_failures: int = DEFAULT_MAX_FAILURES
+    max_failures: int | None = DEFAULT_MAX_FAILURES
     explain_links: bool = True
     bucket_rows: int = BUCKET_ROWS
     # Records are read in this column's order; line ordinals show duplicates and

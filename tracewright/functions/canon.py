@@ -67,7 +67,7 @@ class StrictJson:
         raise Rejected(f"invalid literal {name}")
 
     def _whole(self, literal):
-        if self.profile.safe_numbers and abs(int(literal[:40])) > _SAFE:
+        if self.profile.safe_numbers and (len(literal) > 40 or abs(int(literal)) > _SAFE):
             raise Rejected(f"integer {literal} cannot be represented exactly; send it as a string")
         return self._keep(float(literal), literal)
 
@@ -85,7 +85,8 @@ class StrictJson:
             raise Rejected(f"number {literal} is outside the binary64 range")
         if value.is_integer() and -_SAFE <= value <= _SAFE:
             return int(value)
-        if not 1e-4 <= abs(value) < 1e16:
+        # the C encoder writes integral floats with a fraction and exponents its own way
+        if value.is_integer() or not 1e-4 <= abs(value) < 1e16:
             self._plain = False
         return value
 

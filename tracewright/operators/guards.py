@@ -80,8 +80,9 @@ def checkpoint_guard(checkpoints: DataFrame, events: DataFrame) -> DataFrame:
 
 def key_guard(old: DataFrame, new: DataFrame) -> DataFrame:
     """Two snapshots of the keys: material is immutable, status only moves on, times are set once."""
-    fixed = ["tenant_id", "project_id", "algorithm", "public_key", "fingerprint", "activated_at"]
-    both = old.alias("o").join(new.alias("n"), F.col("o.key_id") == F.col("n.key_id"), "left")
+    fixed = ["algorithm", "public_key", "fingerprint", "activated_at"]
+    same = reduce(lambda a, b: a & b, [F.col(f"o.{c}") == F.col(f"n.{c}") for c in ("tenant_id", "project_id", "key_id")])
+    both = old.alias("o").join(new.alias("n"), same, "left")
     differs = reduce(lambda a, b: a | b, [~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in fixed])
     o, n = F.col("o.status"), F.col("n.status")
 
@@ -93,7 +94,7 @@ def key_guard(old: DataFrame, new: DataFrame) -> DataFrame:
              ("retired_key_reactivated", (o == "retired") & (n == "active")),
              ("retired_at_changed", reset("retired_at")), ("revoked_at_changed", reset("revoked_at"))]
     first = F.coalesce(*[F.when(when, F.lit(name)) for name, when in rules])
-    return both.select(F.col("o.key_id").alias("key_id"), first.alias("violation")).where("violation IS NOT NULL")
+    return both.select("o.tenant_id", "o.project_id", F.col("o.key_id").alias("key_id"), first.alias("violation")).where("violation IS NOT NULL")
 
 
 def append_only_guard(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -90,43 +90,47 @@ def rotation_timeline(keys: DataFrame) -> DataFrame:
 
 
 def events_per_key(events: DataFrame, keys: DataFrame) -> DataFrame:
-    counts = events.groupBy("key_id").agg(F.count(F.lit(1)).alias("event_count"))
-    return keys.join(counts, "key_id", "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
+    """Per project and key; a key id of another project is another key."""
+    counts = events.groupBy(*SCOPE, "key_id").agg(F.count(F.lit(1)).alias("event_count"))
+    return keys.join(counts, [*SCOPE, "key_id"], "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
 
 
 def newest_event_per_key(events: DataFrame) -> DataFrame:
-    return events.groupBy("key_id").agg(F.max("recorded_at").alias("newest_recorded_at"))
+    return events.groupBy(*SCOPE, "key_id").agg(F.max("recorded_at").alias("newest_recorded_at"))
 
 
-def _new_key(tenant_id: Column, project_id: Column, public: bytes, at: Column) -> list[Column]:
-    key = F.lit(bytearray(public))
-    return [tenant_id.alias("tenant_id"), project_id.alias("project_id"), key_id(key).alias("key_id"),
-            F.lit("Ed25519").alias("algorithm"), key.alias("public_key"), key_fingerprint(key).alias("fingerprint"),
-            F.lit("active").alias("status"), at.alias("activated_at"),
+def _new_key(at: Column) -> list[Column]:
+    key = F.col("_public")
+    return [*SCOPE, key_id(key).alias("key_id"), F.lit("Ed25519").alias("algorithm"), key.alias("public_key"),
+            key_fingerprint(key).alias("fingerprint"), F.lit("active").alias("status"), at.alias("activated_at"),
             F.lit(None).cast("string").alias("retired_at"), F.lit(None).cast("string").alias("revoked_at")]
 
 
-def close_key_window(keys: DataFrame, events: DataFrame, at: str, new_public: bytes) -> DataFrame:
-    """Rotate: the active key retires at the later of ``at`` and its newest event;
-    the new key starts exactly there."""
-    newest = newest_event_per_key(events)
-    joined = keys.join(newest, "key_id", "left")
-    active = F.col("status") == "active"
-    end = F.greatest(F.lit(at), F.coalesce("newest_recorded_at", F.lit(at)))
+def close_key_window(keys: DataFrame, events: DataFrame, rotations: DataFrame) -> DataFrame:
+    """Rotate the active keys of the projects in ``rotations`` (tenant_id, project_id, at, public_key; one row a project).
+
+    An active key retires at the later of ``at`` and its newest event; the
+    project's new key starts exactly there. Other projects are left alone.
+    """
+    asked = rotations.select(*SCOPE, F.col("at").alias("_at"), F.col("public_key").alias("_public"))
+    joined = keys.join(newest_event_per_key(events), [*SCOPE, "key_id"], "left").join(asked, SCOPE, "left")
+    active = (F.col("status") == "active") & F.col("_at").isNotNull()
+    end = F.greatest("_at", F.coalesce("newest_recorded_at", "_at"))
     closed = joined.withColumn("retired_at", F.when(active, end).otherwise(F.col("retired_at"))) \
         .withColumn("status", F.when(active, F.lit("retired")).otherwise(F.col("status")))
-    opened = joined.where(active).select(*_new_key(F.col("tenant_id"), F.col("project_id"), new_public, end))
-    return closed.select(*keys.columns).unionByName(opened.select(*keys.columns))
+    return closed.select(*keys.columns).unionByName(joined.where(active).select(*_new_key(end)).select(*keys.columns))
 
 
-def revoke_key(keys: DataFrame, target: str, at: str, replacement_public: bytes) -> DataFrame:
-    """Revoke one key; when it was the active one, a replacement starts at ``at``."""
-    hit = (F.col("key_id") == target) & (F.col("status") != "revoked")
-    changed = keys.select(*[
+def revoke_key(keys: DataFrame, revocations: DataFrame) -> DataFrame:
+    """Revoke the keys in ``revocations`` (tenant_id, project_id, key_id, at, public_key); where one was active, its
+    project's replacement ``public_key`` starts at ``at``."""
+    asked = revocations.select(*SCOPE, "key_id", F.col("at").alias("_at"), F.col("public_key").alias("_public"))
+    joined = keys.join(asked, [*SCOPE, "key_id"], "left")
+    hit = F.col("_at").isNotNull() & (F.col("status") != "revoked")
+    changed = joined.select(*[
         F.when(hit, F.lit("revoked")).otherwise(F.col(c)).alias(c) if c == "status"
-        else F.when(hit, F.lit(at)).otherwise(F.col(c)).alias(c) if c == "revoked_at"
-        else F.when(hit, F.coalesce(F.col(c), F.lit(at))).otherwise(F.col(c)).alias(c) if c == "retired_at"
+        else F.when(hit, F.col("_at")).otherwise(F.col(c)).alias(c) if c == "revoked_at"
+        else F.when(hit, F.coalesce(F.col(c), "_at")).otherwise(F.col(c)).alias(c) if c == "retired_at"
         else F.col(c) for c in keys.columns])
-    opened = keys.where(hit & (F.col("status") == "active")) \
-        .select(*_new_key(F.col("tenant_id"), F.col("project_id"), replacement_public, F.lit(at)))
+    opened = joined.where(hit & (F.col("status") == "active")).select(*_new_key(F.col("_at")))
     return changed.unionByName(opened.select(*keys.columns))

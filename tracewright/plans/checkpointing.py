@@ -21,12 +21,9 @@ def sign_checkpoints(bodies: DataFrame, seeds: dict[str, bytes], tags: Tags = Ta
 
 def checkpoint_streams(streams: DataFrame, existing: DataFrame, seeds: dict[str, bytes], key_id: str, now: str, *,
                        min_events: int, max_age_seconds: int, checkpoint_id: Column | None = None,
-                       tags: Tags = Tags(), limit: int = 100) -> DataFrame:
-    """New checkpoints of streams that are due; one that exists at a sequence is kept.
-
-    ``limit`` bounds one run on purpose: the most overdue streams come first, the rest in the next run.
-    """
-    due = streams_needing_checkpoint(streams, min_events, max_age_seconds, now, limit)
+                       tags: Tags = Tags()) -> DataFrame:
+    """New checkpoints of all streams that are due; one that exists at a sequence is kept."""
+    due = streams_needing_checkpoint(streams, min_events, max_age_seconds, now)
     made = checkpoint_id if checkpoint_id is not None else F.concat(
         F.lit("chk_"), F.upper(F.substring(F.sha2(F.concat_ws("/", *STREAM_KEY, "head_sequence", "head_hash"), 256), 1, 26)))
     bodies = due.select(*STREAM_KEY, F.col("head_sequence").alias("sequence"), "head_hash", made.alias("checkpoint_id"),
@@ -35,6 +32,13 @@ def checkpoint_streams(streams: DataFrame, existing: DataFrame, seeds: dict[str,
     return sign_checkpoints(fresh, seeds, tags)
 
 
+def against_records(checkpoints: DataFrame, events: DataFrame) -> DataFrame:
+    """Each checkpoint with whether the record at its sequence has the hash it names."""
+    records = events.select(*STREAM_KEY, "sequence", "event_hash")
+    return checkpoints.select(*STREAM_KEY, "sequence", "head_hash").join(records, [*STREAM_KEY, "sequence"], "left") \
+        .withColumn("matches", F.col("head_hash").eqNullSafe(F.col("event_hash")))
+
+
 def newest_at_or_before(positions: DataFrame, checkpoints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """For each row with a stream key and from_sequence: the newest checkpoint
     at or before from_sequence - 1, or genesis.

@@ -1,7 +1,7 @@
 """Append-only and write-once outputs."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.config import ID_PATTERN, STREAM_PATTERN
 from tracewright.functions.canon import json_string
@@ -66,8 +66,8 @@ def key_line() -> Column:
 def anchor_checkpoints(checkpoints: DataFrame, path: str, existing: DataFrame | None = None) -> DataFrame:
     """Publish checkpoints write-once below tenant/project/stream; return receipts.
 
-    A checkpoint already there is left alone and reported as failed, as is one
-    whose identifiers are not safe in a path.
+    A checkpoint already there, also one that the same call brings twice, is left
+    alone and reported as failed, as is one whose identifiers are not safe in a path.
     """
     spark = checkpoints.sparkSession
     if existing is None:
@@ -83,10 +83,13 @@ def anchor_checkpoints(checkpoints: DataFrame, path: str, existing: DataFrame |
     named = checkpoints.withColumn("entry", entry).withColumn("safe", safe)
     keys = [*STREAM_KEY, "entry"]
     there = existing.select(*keys).distinct().withColumn("there", F.lit(True))
-    judged = named.join(there, keys, "left").withColumn("status", F.when(
-        F.col("safe") & F.col("there").isNull(), F.lit("anchored")).otherwise(F.lit("failed"))).withColumn(
-        "error", F.when(~F.col("safe"), F.lit("refusing to build a path from invalid identifiers"))
-        .when(F.col("there"), F.lit("already exists")))
+    # copies of one checkpoint inside the batch: the first by its text is anchored, the others find it there
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in ("checkpoint_hash", "head_hash", "created_at") if c in checkpoints.columns]))
+    judged = named.withColumn("copy", copy).join(there, keys, "left").withColumn(
+        "there", F.coalesce("there", F.col("copy") > 1)).withColumn("status", F.when(
+            F.col("safe") & ~F.col("there"), F.lit("anchored")).otherwise(F.lit("failed"))).withColumn(
+        "error", F.when(~F.col("safe"), F.lit("identifiers are not fit for a path"))
+        .when(F.col("there"), F.lit("there is one already")))
     from tracewright.session import durable
     judged = durable(judged)                      # decided once, before the write changes the answer
     judged.where("status = 'anchored'").select(*keys, checkpoint_line().alias("document")) \

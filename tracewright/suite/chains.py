@@ -4,16 +4,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.config import ZERO_HASH, VerifyOptions
-from tracewright.operators import guards, keys as key_ops
+from tracewright.operators import guards, keys as key_ops, listing
 from tracewright.operators.joins import lookup_join
 from tracewright.operators.ordered import number_rows, running_max, spread_bucket, with_previous
 from tracewright.plans import verify as plan
 from tracewright.plans.checkpointing import checkpoint_streams
+from tracewright.functions.times import format_time
 from tracewright.plans.seal import number_and_clamp, seal
 from tracewright.schemas import CONTEXT_KEY, STREAM_KEY
 from tracewright.suite import data
 from tracewright.suite.registry import query
-from tracewright.suite.sql import CHAIN, HEADS, PRESENT, STAMP, WITH_AV
+from tracewright.suite.sql import CHAIN, HEADS, KEY_OF, PRESENT, STAMP, WITH_AV
 
 # A small bucket makes even the small test tables cross bucket borders.
 SMALL = 512
@@ -350,11 +351,7 @@ def u01(spark, sf):
   LEFT JOIN av p ON p.stream = a.stream AND p.sequence = a.sequence - 1 AND p.sequence % 10 <> 4
   LEFT JOIN av n ON n.stream = a.stream AND n.sequence = a.sequence + 1 AND n.sequence % 10 <> 4 WHERE a.sequence % 10 <> 4""")
 def j08(spark, sf):
-    # Neighbours by number, not by order: one may be missing.
-    rows = data.chain(spark, sf).where("sequence % 10 <> 4").select("stream", "sequence", "event_id")
-    before = rows.select("stream", (F.col("sequence") + 1).alias("sequence"), F.col("event_id").alias("before_id"))
-    after = rows.select("stream", (F.col("sequence") - 1).alias("sequence"), F.col("event_id").alias("after_id"))
-    return rows.join(before, ["stream", "sequence"], "left").join(after, ["stream", "sequence"], "left").drop("event_id")
+    return listing.neighbours(data.chain(spark, sf).where("sequence % 10 <> 4")).select("stream", "sequence", "before_id", "after_id")
 
 
 @query("j09_link_explanation", "WITH " + PRESENT + """ SELECT stream, sequence,
@@ -368,13 +365,13 @@ def j09(spark, sf):
                         F.regexp_extract("message", r"at sequence ([0-9]+) instead", 1).cast("long").alias("named"))
 
 
-@query("j12_head_against_tail", "WITH " + PRESENT + """ SELECT stream, n AS head_sequence, tail AS last_sequence, n - tail AS missing FROM tails""")
+@query("j12_head_against_tail", "WITH " + PRESENT + """ SELECT stream, CASE WHEN stream = 'click' THEN 'skipped' ELSE 'invalid' END AS stream_head,
+  CASE WHEN stream = 'click' THEN 0 ELSE tail + 1 END AS missing_from FROM tails""")
 def j12(spark, sf):
-    ends = data.tampered_verification(spark, sf).ends
-    heads = data.streams(spark, sf).select(*[F.col(k).alias(c) for k, c in zip(STREAM_KEY, CONTEXT_KEY)], "head_sequence")
-    both = heads.join(ends, CONTEXT_KEY, "full_outer")
-    return both.select(F.col("ctx_stream").alias("stream"), "head_sequence", "last_sequence",
-                       (F.col("head_sequence") - F.col("last_sequence")).alias("missing"))
+    # The last records are gone everywhere; one stream has lost its registry row too, so there is nothing to compare it with.
+    out = plan.verify_streams(data.tampered(spark, sf), data.keys(spark), streams=data.streams(spark, sf).where("stream <> 'click'"))
+    found = out.findings().where("code = 'head_mismatch'").select("ctx_stream", F.col("sequence").alias("missing_from"))
+    return out.reports().join(found, "ctx_stream", "left").select(F.col("ctx_stream").alias("stream"), "stream_head", F.coalesce("missing_from", F.lit(0)).alias("missing_from"))
 
 
 @query("k05_verify_events", "WITH " + PRESENT + """ SELECT event_id AS target_id,
@@ -429,13 +426,14 @@ def j13(spark, sf):
     return guards.dangling_heads(data.streams(spark, sf), rows).select("stream", F.col("sequence").alias("head_sequence"))
 
 
-@query("g04_key_guard", WITH_AV + f""" SELECT key_id, CASE key_id WHEN '{data.KEY["a"]}' THEN 'retired_key_reactivated'
-  ELSE 'material_changed' END AS violation FROM av GROUP BY key_id""")
+@query("g04_key_guard", "SELECT c_custkey, 'retired_key_reactivated' AS violation FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0 "
+       "UNION ALL SELECT c_custkey, 'material_changed' FROM customer WHERE c_custkey % 5 = 0")
 def g04(spark, sf):
-    used = key_ops.events_per_key(data.chain(spark, sf), data.keys(spark)).where("event_count > 0").drop("event_count")
-    new = used.withColumn("status", F.when(F.col("key_id") == data.KEY["a"], F.lit("active")).otherwise(F.col("status"))) \
-        .withColumn("fingerprint", F.when(F.col("key_id") == data.KEY["b"], F.lit("0" * 64)).otherwise(F.col("fingerprint")))
-    return guards.key_guard(used, new)
+    # Two keys of a third of the customers, one of the others; some old ones come back, some new ones change.
+    old, n = data.customer_keys(spark, sf), F.substring("project_id", 5, 10).cast("long")
+    new = old.withColumn("fingerprint", F.when((F.col("status") == "active") & (n % 5 == 0), F.lit("0" * 64)).otherwise(F.col("fingerprint"))) \
+        .withColumn("status", F.when((F.col("status") == "retired") & (n % 2 == 0), F.lit("active")).otherwise(F.col("status")))
+    return guards.key_guard(old, new).select(n.cast("long").alias("c_custkey"), "violation")
 
 
 @query("g05_append_only_guard", "WITH " + PRESENT + """ SELECT stream, sequence, event_id FROM av a WHERE a.sequence > (SELECT h.head_sequence - 3
@@ -455,20 +453,38 @@ def g06(spark, sf):
     return guards.event_checks(data.tampered(spark, sf)).select("stream", "sequence", "violation")
 
 
-@query("g06_uniqueness", "WITH " + PRESENT + f""" SELECT unnest(['id', 'stream_sequence']) AS rule, unnest([event_id,
-  tenant_id || '/' || project_id || '/' || stream || '/' || sequence]) AS value, 2 AS copies FROM present WHERE copy = 2""", longs="copies")
+@query("g06_uniqueness", "WITH " + PRESENT + """, twice AS (SELECT tenant_id || '/' || project_id || '/' || stream || '/' || sequence AS place, event_id FROM present WHERE copy = 2)
+  SELECT 'id' AS rule, event_id AS value, 2 AS copies FROM twice UNION ALL SELECT 'stream_sequence', place, 2 FROM twice""", longs="copies")
 def g06_unique(spark, sf):
     return guards.event_uniqueness(data.tampered(spark, sf)).where("rule <> 'event_hash'")
 
 
+@query("g06_unique_hashes", "WITH " + PRESENT + " SELECT event_id AS value, 2 AS copies FROM present WHERE copy = 2", longs="copies")
+def g06_hashes(spark, sf):
+    # The hashes themselves are long to compute in SQL; each is named by its record.
+    rows = data.tampered(spark, sf)
+    found = guards.event_uniqueness(rows).where("rule = 'event_hash'")
+    names = rows.select(F.col("event_hash").alias("value"), "event_id").distinct()
+    return found.join(names, "value").select(F.col("event_id").alias("value"), "copies")
+
+
+@query("g06_one_active_key", """SELECT lpad(CAST(c_nationkey AS VARCHAR), 10, '0') AS project, count(*) AS copies FROM customer
+  WHERE c_custkey % 2 = 0 GROUP BY 1 HAVING count(*) > 1""")
+def g06_active(spark, sf):
+    keys = data.raw(spark, sf, "customer").select(
+        F.lit(data.TENANT).alias("tenant_id"), F.lpad(F.col("c_nationkey").cast("string"), 10, "0").alias("project_id"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("active")).otherwise(F.lit("retired")).alias("status"))
+    return guards.active_key_guard(keys).select(F.substring_index("value", "/", -1).alias("project"), "copies")
+
+
 # ---- keys and checkpoints ---------------------------------------------------
 
-@query("w08_rotation_timeline", f"""SELECT * FROM (VALUES ('{data.KEY["a"]}', '{data.ROTATED}', 'contiguous'),
-  ('{data.KEY["b"]}', NULL, 'last')) t(key_id, next_activated_at, transition)
-  WHERE key_id IN (SELECT key_id FROM ({WITH_AV} SELECT DISTINCT key_id FROM av))""")
+@query("w08_rotation_timeline", """SELECT c_custkey, 'old' AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'contiguous' ELSE 'gap' END AS transition
+  FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'key', 'last' FROM customer""")
 def w08(spark, sf):
-    used = key_ops.events_per_key(data.chain(spark, sf), data.keys(spark)).where("event_count > 0")
-    return key_ops.rotation_timeline(used).select("key_id", "next_activated_at", "transition")
+    timeline = key_ops.rotation_timeline(data.customer_keys(spark, sf))
+    return timeline.select(F.substring("project_id", 5, 10).cast("long").alias("c_custkey"),
+                           F.when(F.col("status") == "retired", F.lit("old")).otherwise(F.lit("key")).alias("kind"), "transition")
 
 
 @query("j15_events_per_key", WITH_AV + f""" SELECT k.key_id, count(a.key_id) AS event_count FROM
@@ -479,26 +495,39 @@ def j15(spark, sf):
 
 @query("a06_newest_event_per_key", WITH_AV + " SELECT key_id, max(recorded_at) AS newest_recorded_at FROM av GROUP BY key_id")
 def a06(spark, sf):
-    return key_ops.newest_event_per_key(data.chain(spark, sf))
+    return key_ops.newest_event_per_key(data.chain(spark, sf)).select("key_id", "newest_recorded_at")
 
 
-@query("k13_close_key_window", WITH_AV + f""", n AS (SELECT max(recorded_at) AS newest FROM av WHERE key_id = '{data.KEY["b"]}')
-  SELECT '{data.KEY["a"]}' AS key_id, 'retired' AS status, '2023-12-01T00:00:00.000000Z' AS activated_at, '{data.ROTATED}' AS retired_at
-  UNION ALL SELECT '{data.KEY["b"]}', 'retired', '{data.ROTATED}', greatest('2024-01-20T00:00:00.000000Z', newest) FROM n
-  UNION ALL SELECT '{data.KEY["c"]}', 'active', greatest('2024-01-20T00:00:00.000000Z', newest), NULL FROM n""")
-def k13(spark, sf):
-    return key_ops.close_key_window(data.keys(spark), data.chain(spark, sf), "2024-01-20T00:00:00.000000Z", data.PUBLIC["c"]) \
-        .select("key_id", "status", "activated_at", "retired_at")
+_NEWEST = f"""SELECT c_custkey, max(strftime(o_orderdate::TIMESTAMP, '{STAMP}')) AS newest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"""
 
 
-@query("k14_revoke_key", WITH_AV + f""", n AS (SELECT max(recorded_at) AS moment FROM av)
-  SELECT '{data.KEY["a"]}' AS key_id, 'retired' AS status, '{data.ROTATED}' AS retired_at, NULL AS revoked_at, '2023-12-01T00:00:00.000000Z' AS activated_at
-  UNION ALL SELECT '{data.KEY["b"]}', 'revoked', moment, moment, '{data.ROTATED}' FROM n
-  UNION ALL SELECT '{data.KEY["c"]}', 'active', NULL, NULL, moment FROM n""")
+@query("k13_close_key_window", f"""WITH n AS ({_NEWEST}), e AS (SELECT c_custkey, greatest('{data.ROTATION}', coalesce(newest, '{data.ROTATION}')) AS closes FROM n)
+  SELECT c_custkey, {KEY_OF.format("'key' || c_custkey")} AS key_id, CASE WHEN c_custkey % 2 = 0 THEN 'retired' ELSE 'active' END AS status,
+         CASE WHEN c_custkey % 2 = 0 THEN closes END AS retired_at FROM e
+  UNION ALL SELECT c_custkey, {KEY_OF.format("'old' || c_custkey")}, 'retired', CASE WHEN c_custkey % 2 = 0 THEN '{data.KEYED}' ELSE '{data.KEYED_EARLY}' END FROM e WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, {KEY_OF.format("'new' || c_custkey")}, 'active', NULL FROM e WHERE c_custkey % 2 = 0""")
+def k13(spark, sf):
+    # Every second customer rotates, each to a key of its own.
+    keys = data.customer_keys(spark, sf)
+    active = keys.where("status = 'active'").select("tenant_id", "project_id", "key_id")
+    orders = data.raw(spark, sf, "orders").select(
+        F.concat(F.lit("prj_"), F.lpad(F.col("o_custkey").cast("string"), 10, "0")).alias("project_id"), format_time(F.col("o_orderdate").cast("timestamp_ntz")).alias("recorded_at"))
+    events = orders.join(active, "project_id")
+    asked = data.rotations(spark, sf).where(F.substring("project_id", 5, 10).cast("long") % 2 == 0)
+    return key_ops.close_key_window(keys, events, asked).select(
+        F.substring("project_id", 5, 10).cast("long").alias("c_custkey"), "key_id", "status", "retired_at")
+
+
+@query("k14_revoke_key", f"""SELECT c_custkey, {KEY_OF.format("'key' || c_custkey")} AS key_id, CASE WHEN c_custkey % 2 = 0 THEN 'revoked' ELSE 'active' END AS status,
+         CASE WHEN c_custkey % 2 = 0 THEN '{data.ROTATION}' END AS retired_at, CASE WHEN c_custkey % 2 = 0 THEN '{data.ROTATION}' END AS revoked_at FROM customer
+  UNION ALL SELECT c_custkey, {KEY_OF.format("'old' || c_custkey")}, 'retired', CASE WHEN c_custkey % 2 = 0 THEN '{data.KEYED}' ELSE '{data.KEYED_EARLY}' END, NULL FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, {KEY_OF.format("'new' || c_custkey")}, 'active', NULL, NULL FROM customer WHERE c_custkey % 2 = 0""")
 def k14(spark, sf):
-    at = data.chain(spark, sf).agg(F.max("recorded_at")).first()[0]
-    return key_ops.revoke_key(data.keys(spark), data.KEY["b"], at, data.PUBLIC["c"]).select(
-        "key_id", "status", "retired_at", "revoked_at", "activated_at")
+    keys = data.customer_keys(spark, sf)
+    active = keys.where("status = 'active'").select("tenant_id", "project_id", "key_id")
+    asked = data.rotations(spark, sf).where(F.substring("project_id", 5, 10).cast("long") % 2 == 0).join(active, ["tenant_id", "project_id"])
+    return key_ops.revoke_key(keys, asked).select(
+        F.substring("project_id", 5, 10).cast("long").alias("c_custkey"), "key_id", "status", "retired_at", "revoked_at")
 
 
 @query("k07_checkpoint_streams", CHAIN + f""" SELECT stream, max(sequence) AS sequence, max_by(event_hash, sequence) AS head_hash,

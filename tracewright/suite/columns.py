@@ -47,6 +47,16 @@ def p01_reject(spark, sf):
     return data.raw(spark, sf, "events").select("event_id", canonicalize(bad, STORED)["error"].isNull().alias("accepted"))
 
 
+@query("p01_integral_numbers", """SELECT o_orderkey, '[' || (9007199254740992 + 2 * o_orderkey) || ',' || (9000000000000000 + 8 * o_orderkey) || ',-' ||
+  (9500000000000000 + 2 * o_orderkey) || ',' || (o_orderkey * 1000000) || ']' AS canonical FROM orders""")
+def p01_integral(spark, sf):
+    # Integers around and above 2^53 that binary64 holds exactly, with a fraction, an exponent, a sign.
+    n = F.col("o_orderkey").cast("long")
+    text = F.concat(F.lit("[ "), (n * 2 + 9007199254740992).cast("string"), F.lit(".0, "), (n * 8 + 9000000000000000).cast("string"), F.lit(" ,-"),
+                    (n * 2 + 9500000000000000).cast("string"), F.lit(".00,"), n.cast("string"), F.lit("e6]"))
+    return data.raw(spark, sf, "orders").select("o_orderkey", canonicalize(text, STORED)["canonical"].alias("canonical"))
+
+
 @query("p02_ingest_profile", "SELECT event_id, event_id % 4 = 3 AS accepted FROM events")
 def p02(spark, sf):
     n = F.col("event_id")
@@ -95,26 +105,6 @@ def p08(spark, sf):
     return data.tampered(spark, sf).select("stream", "sequence", hashing.header_error().alias("error")).where("error IS NOT NULL")
 
 
-@query("p09_sign_hashes", CHAIN + " SELECT event_id, true AS verifies, 64 AS bytes FROM chain", longs="bytes")
-def p09(spark, sf):
-    signed = data.chain(spark, sf).withColumn("mark", crypto.sign_hashes(
-        F.col("payload_hash"), F.col("key_id"), data.SEEDS, data.TAGS.manifest_signature))
-    public = F.when(F.col("key_id") == data.KEY["a"], F.lit(bytearray(data.PUBLIC["a"]))).otherwise(F.lit(bytearray(data.PUBLIC["b"])))
-    return signed.select("event_id", crypto.verify_signatures(F.col("payload_hash"), public, F.col("mark"),
-                                                              data.TAGS.manifest_signature).alias("verifies"),
-                         F.octet_length("mark").cast("long").alias("bytes"))
-
-
-@query("p10_verify_signatures", CHAIN + " SELECT event_id, sequence % 10 <> 0 AS verifies FROM chain")
-def p10(spark, sf):
-    # Every tenth signature is checked against another record's hash.
-    rows = data.chain(spark, sf).withColumn("digest", F.when(F.col("sequence") % 10 == 0, F.reverse("event_hash"))
-                                            .otherwise(F.col("event_hash")))
-    public = F.when(F.col("key_id") == data.KEY["a"], F.lit(bytearray(data.PUBLIC["a"]))).otherwise(F.lit(bytearray(data.PUBLIC["b"])))
-    return rows.select("event_id", crypto.verify_signatures(F.col("digest"), public, F.col("signature"),
-                                                            data.TAGS.event_signature).alias("verifies"))
-
-
 @query("p11_key_id", """SELECT c_custkey, sha256(c_name) AS fingerprint, 'ed25519:' || substr(sha256(c_name), 1, 32) AS key_id FROM customer""")
 def p11(spark, sf):
     raw = F.col("c_name").cast("binary")
@@ -257,14 +247,6 @@ def p22(spark, sf):
     return data.raw(spark, sf, "events").select("event_id", times.normalize_occurred_at(text).alias("occurred_at"))
 
 
-@query("p23_source_ip", """SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE '10.0.' || (event_id % 200) || '.' || (user_id % 200) END AS ip FROM events""")
-def p23(spark, sf):
-    n = F.col("event_id")
-    plain = F.concat(F.lit("10.0."), (n % 200).cast("string"), F.lit("."), (F.col("user_id") % 200).cast("string"))
-    text = F.when(n % 3 == 0, plain).when(n % 3 == 1, F.concat(F.lit("::ffff:"), plain)).otherwise(F.concat(plain, F.lit(".1")))
-    return data.raw(spark, sf, "events").select("event_id", states.source_ip(text).alias("ip"))
-
-
 @query("p25_size_guard", "SELECT doc_id, octet_length(encode(text)) > 4000 AS too_large FROM documents")
 def p25(spark, sf):
     return data.raw(spark, sf, "documents").select("doc_id", prep.size_guard(F.col("text"), 65536, Settings(max_event_bytes=4000)).alias("too_large"))

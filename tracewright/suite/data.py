@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewright.config import Tags
 from tracewright.functions.crypto import public_key
+from tracewright.functions.hashing import key_fingerprint, key_id
+from tracewright.functions.times import format_time
 from tracewright.operators.joins import lookup_join
 from tracewright.plans.checkpointing import sign_checkpoints
 from tracewright.plans.seal import seal, stream_heads
@@ -29,6 +31,10 @@ KEY = {name: "ed25519:" + hashlib.sha256(raw).hexdigest()[:32] for name, raw in
 SEEDS = {KEY["a"]: SEED_A, KEY["b"]: SEED_B}
 NOW = "2024-01-28T12:00:00.000000Z"
 
+SCOPE = (TENANT, PROJECT)
+#: Keys of the customers' projects: when they start, when some end early, when some are rotated.
+KEYED, KEYED_EARLY, ROTATION = "1993-01-01T00:00:00.000000Z", "1992-06-01T00:00:00.000000Z", "1996-01-01T00:00:00.000000Z"
+
 _MADE: dict[tuple, object] = {}
 
 
@@ -87,6 +93,43 @@ def keys(spark: SparkSession, kind: str = "good") -> DataFrame:
     return spark.createDataFrame(rows, KEYS)
 
 
+def _project(number) -> Column:
+    return F.concat(F.lit("prj_"), F.lpad(number.cast("string"), 10, "0"))
+
+
+def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project per customer with an active key; a third of them have an older one that ended then or earlier."""
+    customers = raw(spark, sf_dir, "customer").select("c_custkey")
+
+    def of(rows: DataFrame, prefix: str, status: str, activated: str, retired: Column) -> DataFrame:
+        public = F.unhex(F.sha2(F.concat(F.lit(prefix), F.col("c_custkey").cast("string")), 256))
+        return rows.select(
+            F.lit(TENANT).alias("tenant_id"), _project(F.col("c_custkey")).alias("project_id"), key_id(public).alias("key_id"),
+            F.lit("Ed25519").alias("algorithm"), public.alias("public_key"), key_fingerprint(public).alias("fingerprint"),
+            F.lit(status).alias("status"), F.lit(activated).alias("activated_at"), retired.alias("retired_at"), F.lit(None).cast("string").alias("revoked_at"))
+
+    ended = F.when(F.col("c_custkey") % 2 == 0, F.lit(KEYED)).otherwise(F.lit(KEYED_EARLY))
+    return of(customers, "key", "active", KEYED, F.lit(None).cast("string")).unionByName(
+        of(customers.where("c_custkey % 3 = 0"), "old", "retired", "1992-01-01T00:00:00.000000Z", ended))
+
+
+def rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new key for every customer's project."""
+    return raw(spark, sf_dir, "customer").select(
+        F.lit(TENANT).alias("tenant_id"), _project(F.col("c_custkey")).alias("project_id"), F.lit(ROTATION).alias("at"),
+        F.unhex(F.sha2(F.concat(F.lit("new"), F.col("c_custkey").cast("string")), 256)).alias("public_key"))
+
+
+def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verification run per order, in seven projects; a quarter of them never ended."""
+    n, at = F.col("o_orderkey"), format_time(F.col("o_orderdate").cast("timestamp_ntz"))
+    return raw(spark, sf_dir, "orders").select(
+        F.lit(TENANT).alias("tenant_id"), _project(F.col("o_custkey") % 7).alias("project_id"), F.concat(F.lit("vrf_"), n.cast("string")).alias("run_id"),
+        F.when(n % 3 == 0, F.lit("stream")).when(n % 3 == 1, F.lit("project")).otherwise(F.lit("event")).alias("scope"),
+        F.when(n % 5 == 0, F.lit("failed")).otherwise(F.lit("passed")).alias("status"), at.alias("started_at"),
+        F.when(n % 4 > 0, at).alias("completed_at"), F.lit("").alias("report"))
+
+
 def _checkpoint_bodies(events: DataFrame, every: int) -> DataFrame:
     return events.where(F.col("sequence") % every == 0).select(
         *STREAM_KEY, "sequence", F.col("event_hash").alias("head_hash"), F.col("recorded_at").alias("created_at"),

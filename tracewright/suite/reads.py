@@ -9,13 +9,12 @@ from tracewright.functions.times import format_time, window_bound
 from tracewright.operators import listing, stats
 from tracewright.operators.keys import conflicting_key_ids, key_usage, split_keys, with_key
 from tracewright.plans import overview as view
-from tracewright.plans.checkpointing import checkpoints_in_range, newest_at_or_before
+from tracewright.plans.checkpointing import against_records, checkpoints_in_range, newest_at_or_before
 from tracewright.plans.verify import scan_chain
 from tracewright.schemas import STREAM_KEY
-from tracewright.sources.readers import synth_events
 from tracewright.suite import data
 from tracewright.suite.registry import query
-from tracewright.suite.sql import CHAIN, FIRST_BAD, HEADS, PRESENT, STAMP, WITH_AV
+from tracewright.suite.sql import CHAIN, FIRST_BAD, KEY_OF, HEADS, PRESENT, STAMP, WITH_AV
 
 NOW = data.NOW
 _DAY = NOW[:10]
@@ -32,12 +31,12 @@ def s01(spark, sf):
 @query("s02_chain_page", CHAIN + """ SELECT stream, sequence, event_hash FROM chain WHERE stream = 'click' AND sequence > 40
   ORDER BY sequence LIMIT 25""")
 def s02(spark, sf):
-    return listing.chain_page(data.chain(spark, sf), "click", 40, 25).select("stream", "sequence", "event_hash")
+    return listing.chain_page(data.chain(spark, sf), data.SCOPE, "click", 40, 25).select("stream", "sequence", "event_hash")
 
 
 @query("s03_chain_range", CHAIN + " SELECT stream, sequence, event_hash FROM chain WHERE stream = 'view' AND sequence BETWEEN 21 AND 120")
 def s03(spark, sf):
-    return listing.chain_range(data.chain(spark, sf), "view", 21, 120).select("stream", "sequence", "event_hash")
+    return listing.chain_range(data.chain(spark, sf), data.SCOPE, "view", 21, 120).select("stream", "sequence", "event_hash")
 
 
 @query("s04_events_by_ids", WITH_AV + """, ids AS (SELECT generate_subscripts(l, 1) - 1 AS position, unnest(l) AS event_id FROM
@@ -46,7 +45,7 @@ def s03(spark, sf):
 def s04(spark, sf):
     wanted = ["evt_" + str(n).zfill(26) for n in (900, 17, 444, 99999999999, 3)]
     ids = spark.range(1).select(F.array(*map(F.lit, wanted)).alias("event_ids"))
-    return listing.events_by_ids(data.chain(spark, sf), ids).select("position", "event_id", "stream", "sequence")
+    return listing.events_by_ids(data.chain(spark, sf), data.SCOPE, ids).select("position", "event_id", "stream", "sequence")
 
 
 
@@ -67,17 +66,6 @@ def s08(spark, sf):
     return out.select(F.col("line").alias("user_id"), "index", canonicalize(F.col("body"), INGEST)["canonical"].alias("event"))
 
 
-@query("s09_synth_events", """SELECT CAST(i AS BIGINT) AS arrival, 'user_' || (i % 97) AS actor, 'contract_' || (i % 1009) AS resource,
-  CAST(i % 5000 + 10 AS BIGINT) AS amount, strftime(TIMESTAMP '2026-10-01 09:00:00' + to_seconds(i), '%Y-%m-%dT%H:%M:%SZ') AS occurred
-  FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i)""")
-def s09(spark, sf):
-    n = data.raw(spark, sf, "events").count()
-    body = F.from_json("body", "actor struct<id:string>, resource struct<id:string>, after struct<amount:long>, occurredAt string")
-    return synth_events(spark, n).withColumn("b", body).select(
-        "arrival", F.col("b.actor.id").alias("actor"), F.col("b.resource.id").alias("resource"),
-        F.col("b.after.amount").alias("amount"), F.col("b.occurredAt").alias("occurred"))
-
-
 @query("s10_append_events", CHAIN + " SELECT stream, sequence, event_hash FROM chain")
 def s10(spark, sf):
     from tracewright.session import checkpoint_root
@@ -118,29 +106,29 @@ def s15(spark, sf):
 
 @query("f01_filter_events", WITH_AV + " SELECT event_id, stream FROM av WHERE stream = 'click' AND actor_id = 'user_7' AND actor_type = 'user'")
 def f01(spark, sf):
-    return listing.filter_events(data.chain(spark, sf), stream="click", actor_id="user_7", actor_type="user").select("event_id", "stream")
+    return listing.filter_events(data.chain(spark, sf), data.SCOPE, stream="click", actor_id="user_7", actor_type="user").select("event_id", "stream")
 
 
 @query("f02_action_prefix", WITH_AV + " SELECT event_id, action FROM av WHERE starts_with(action, 'p')")
 def f02(spark, sf):
-    return listing.filter_events(data.chain(spark, sf), action="p*").select("event_id", "action")
+    return listing.filter_events(data.chain(spark, sf), data.SCOPE, action="p*").select("event_id", "action")
 
 
 @query("f02_action_literal_metacharacters", WITH_AV + " SELECT event_id FROM av WHERE starts_with(action, '%_') OR action = 'pu%'")
 def f02_literal(spark, sf):
     rows = data.chain(spark, sf)
-    return listing.filter_events(rows, action="%_*").unionByName(listing.filter_events(rows, action="pu%")).select("event_id")
+    return listing.filter_events(rows, data.SCOPE, action="%_*").unionByName(listing.filter_events(rows, data.SCOPE, action="pu%")).select("event_id")
 
 
 @query("f03_time_window", WITH_AV + """ SELECT event_id FROM av WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20 10:30:00'""")
 def f03(spark, sf):
-    return listing.filter_events(data.chain(spark, sf), since="2024-01-10", until="2024-01-20T12:30:00+02:00").select("event_id")
+    return listing.filter_events(data.chain(spark, sf), data.SCOPE, since="2024-01-10", until="2024-01-20T12:30:00+02:00").select("event_id")
 
 
 @query("f04_keyset_cursor", WITH_AV + f""" SELECT event_id FROM av WHERE (recorded_at, event_id) <
   ('2024-01-20T00:00:00.000000Z', 'evt_00000000000000000000000500')""")
 def f04(spark, sf):
-    return listing.before_cursor(data.chain(spark, sf), "2024-01-20T00:00:00.000000Z", "evt_00000000000000000000000500").select("event_id")
+    return listing.before_cursor(data.chain(spark, sf), data.SCOPE, "2024-01-20T00:00:00.000000Z", "evt_00000000000000000000000500").select("event_id")
 
 
 def _status_sql(select: str, where: str = "true") -> str:
@@ -251,10 +239,7 @@ def j04(spark, sf):
   WHERE sequence % 50 = 0 UNION ALL SELECT stream, sequence, sequence % 400 <> 200 FROM
   (SELECT stream, max(sequence) AS sequence FROM av GROUP BY stream) WHERE sequence % 50 > 0""")
 def j05(spark, sf):
-    cps = data.tampered_checkpoints(spark, sf).select(*STREAM_KEY, "sequence", "head_hash")
-    records = data.chain(spark, sf).select(*STREAM_KEY, "sequence", "event_hash")
-    return cps.join(records, [*STREAM_KEY, "sequence"], "left").select(
-        "stream", "sequence", F.col("head_hash").eqNullSafe(F.col("event_hash")).alias("matches"))
+    return against_records(data.tampered_checkpoints(spark, sf), data.chain(spark, sf)).select("stream", "sequence", "matches")
 
 
 @query("j06_anchor_as_of", WITH_AV + """ SELECT stream, sequence AS from_sequence,
@@ -286,6 +271,20 @@ def j14(spark, sf):
     return listing.replay_decisions(hashed, known, NOW).select("o_orderkey", "decision")
 
 
+@query("j14_replay_in_one_batch", """SELECT o_orderkey, CASE WHEN row_number() OVER w = 1 THEN 'fresh'
+  WHEN o_orderstatus = first_value(o_orderstatus) OVER w THEN 'replay' ELSE 'conflict' END AS decision FROM orders
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 20, '0'))""")
+def j14_batch(spark, sf):
+    # One key per customer, all of them new: the first order is fresh, the others repeat it or differ.
+    hashed = data.raw(spark, sf, "orders").select(
+        "o_orderkey", F.lit(data.PROJECT).alias("project_id"), F.col("o_custkey").cast("string").alias("idempotency_key"),
+        F.lit("/v1/events").alias("endpoint"), F.sha2("o_orderstatus", 256).alias("request_hash"),
+        F.lpad(F.col("o_orderkey").cast("string"), 20, "0").alias("request_id"))
+    known = hashed.limit(0).select("project_id", "idempotency_key", "endpoint", "request_hash", F.array(F.lit("evt")).alias("event_ids"),
+                                   F.lit("").alias("expires_at"))
+    return listing.replay_decisions(hashed, known, NOW).select("o_orderkey", "decision")
+
+
 # ---- statistics ------------------------------------------------------------
 
 @query("a01_project_stats", "WITH " + HEADS + f""" SELECT sum(head_sequence) AS events_total, count(*) AS streams,
@@ -296,20 +295,20 @@ def a01(spark, sf):
 
 @query("a02_events_today", f"SELECT count(*) AS events_today FROM events WHERE ts >= TIMESTAMP '{_DAY}'")
 def a02(spark, sf):
-    return stats.events_today(data.chain(spark, sf), NOW)
+    return stats.events_today(data.chain(spark, sf), data.SCOPE, NOW)
 
 
 @query("a03_events_per_day", f"""SELECT strftime(d.day, '%Y-%m-%d') AS day, count(e.event_id) AS events FROM
   (SELECT unnest(generate_series(DATE '2024-02-06' - 13, DATE '2024-02-06', INTERVAL 1 DAY)) AS day) d
   LEFT JOIN events e ON CAST(e.ts AS DATE) = d.day GROUP BY 1""")
 def a03(spark, sf):
-    return stats.events_per_day(data.chain(spark, sf), "2024-02-06T08:00:00.000000Z", 14)
+    return stats.events_per_day(data.chain(spark, sf), data.SCOPE, "2024-02-06T08:00:00.000000Z", 14)
 
 
 @query("a05_sequence_range", WITH_AV + """ SELECT min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM av
   WHERE stream = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09'""")
 def a05(spark, sf):
-    return stats.sequence_range(data.chain(spark, sf), "click", "2024-01-05T00:00:00.000000Z", "2024-01-09T00:00:00.000000Z")
+    return stats.sequence_range(data.chain(spark, sf), data.SCOPE, "click", "2024-01-05T00:00:00.000000Z", "2024-01-09T00:00:00.000000Z")
 
 
 @query("a07_stream_limit", "SELECT count(DISTINCT conv_id) AS streams, count(DISTINCT conv_id) >= 1000 AS at_limit FROM conversations")
@@ -330,13 +329,19 @@ def a09_healthy(spark, sf):
 
 @query("a17_ingested_total", "SELECT count(*) AS ingested FROM events")
 def a17(spark, sf):
-    return stats.ingested_total(data.chain(spark, sf))
+    return stats.ingested_total(data.chain(spark, sf)).select("ingested")
 
 
-@query("a17_runs_by_scope", """SELECT 'project' AS scope, unnest(['passed', 'failed']) AS status, 1 AS runs
-  FROM (SELECT count(*) AS n FROM events) WHERE n > 0""", longs="runs")
+#: A run per order, in seven projects.
+_RUNS = """WITH runs AS (SELECT lpad(CAST(o_custkey % 7 AS VARCHAR), 10, '0') AS project, 'vrf_' || o_orderkey AS run_id,
+  CASE o_orderkey % 3 WHEN 0 THEN 'stream' WHEN 1 THEN 'project' ELSE 'event' END AS scope,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'passed' END AS status, o_orderkey % 4 > 0 AS done,
+  strftime(o_orderdate::TIMESTAMP, '""" + STAMP + """') AS started FROM orders)"""
+
+
+@query("a17_runs_by_scope", _RUNS + " SELECT project, scope, status, count(*) AS runs FROM runs GROUP BY ALL")
 def a17_runs(spark, sf):
-    return stats.runs_by_scope(data.run_tables(spark, sf)[0])
+    return stats.runs_by_scope(data.order_runs(spark, sf)).select(F.substring("project_id", 5, 10).alias("project"), "scope", "status", "runs")
 
 
 # ---- sorts and pages -------------------------------------------------------
@@ -344,13 +349,13 @@ def a17_runs(spark, sf):
 @query("l01_newest_page", WITH_AV + """ SELECT event_id, recorded_at, row_number() OVER (ORDER BY recorded_at DESC, event_id DESC) AS position,
   (SELECT count(*) FROM av) > 25 AS has_more FROM av ORDER BY recorded_at DESC, event_id DESC LIMIT 25""")
 def l01(spark, sf):
-    return listing.page_with_cursor(data.chain(spark, sf), 25).select("event_id", "recorded_at", "position", "has_more")
+    return listing.page_with_cursor(data.chain(spark, sf), data.SCOPE, 25).select("event_id", "recorded_at", "position", "has_more")
 
 
 @query("l02_all_pages", WITH_AV + """ SELECT event_id, position, (position - 1) // 25 + 1 AS page FROM
   (SELECT event_id, row_number() OVER (ORDER BY recorded_at DESC, event_id DESC) AS position FROM av)""")
 def l02(spark, sf):
-    return listing.page_numbers(data.chain(spark, sf), 25).select("event_id", "position", "page")
+    return listing.page_numbers(data.chain(spark, sf), data.SCOPE, 25, slice_rows=300).select("event_id", "position", "page")
 
 
 @query("l03_streams_needing_checkpoint", "WITH " + HEADS + """ SELECT stream, head_sequence - last_checkpoint_sequence AS behind FROM heads
@@ -360,32 +365,41 @@ def l03(spark, sf):
     return listing.streams_needing_checkpoint(data.streams(spark, sf), 20, 3600, "2024-02-01T12:00:00.000000Z").select("stream", "behind")
 
 
-@query("l04_newest_runs", """SELECT unnest(['vrf_2', 'vrf_1']) AS run_id, unnest(['failed', 'passed']) AS status
-  FROM (SELECT count(*) AS n FROM events) WHERE n > 0""")
+@query("l04_newest_runs", _RUNS + """ SELECT run_id, status FROM runs WHERE project = '0000000003'
+  ORDER BY started DESC, run_id DESC LIMIT 50""")
 def l04(spark, sf):
-    return listing.newest_runs(data.run_tables(spark, sf)[0], 50).select("run_id", "status")
+    return listing.newest_runs(data.order_runs(spark, sf), (data.TENANT, "prj_0000000003"), 50).select("run_id", "status")
 
 
-@query("l05_latest_run", "SELECT 'vrf_2' AS run_id, 'failed' AS status FROM (SELECT count(*) AS n FROM events) WHERE n > 0")
+@query("l05_latest_run", _RUNS + """ SELECT project, max_by(run_id, started || run_id) AS run_id FROM runs
+  WHERE done AND scope <> 'event' GROUP BY project""")
 def l05(spark, sf):
-    return listing.latest_run(data.run_tables(spark, sf)[0]).select("run_id", "status")
+    return listing.latest_run(data.order_runs(spark, sf)).select(F.substring("project_id", 5, 10).alias("project"), "run_id")
+
+
+@query("l06_keys_by_age", "SELECT " + KEY_OF.format("'old' || c_custkey") + """ AS key_id FROM customer WHERE c_custkey % 7 = 2 AND c_custkey % 3 = 0
+  UNION ALL SELECT """ + KEY_OF.format("'key' || c_custkey") + " FROM customer WHERE c_custkey % 7 = 2")
+def l06_keys(spark, sf):
+    keys = data.customer_keys(spark, sf).withColumn("project_id", F.concat(F.lit("prj_"), F.lpad(
+        (F.substring("project_id", 5, 10).cast("long") % 7).cast("string"), 10, "0")))
+    return listing.list_keys(keys, (data.TENANT, "prj_0000000002")).select("key_id")
 
 
 @query("l06_streams_by_name", "WITH " + PRESENT + ", " + FIRST_BAD + """ SELECT h.stream, h.head_sequence, 'failed' AS status,
   f.first_failure_sequence FROM heads h JOIN first_bad f USING (stream) ORDER BY h.stream""", longs="first_failure_sequence")
 def l06(spark, sf):
-    return listing.list_streams(data.streams(spark, sf), data.run_tables(spark, sf)[1]).select(
+    return listing.list_streams(data.streams(spark, sf), data.run_tables(spark, sf)[1], data.SCOPE).select(
         "stream", "head_sequence", "status", "first_failure_sequence")
 
 
 @query("l07_recent_events", _status_sql("event_id, status", "true ORDER BY recorded_at DESC, event_id DESC LIMIT 8"))
 def l07(spark, sf):
-    return view.recent_events(data.chain(spark, sf), data.run_tables(spark, sf)[1]).select("event_id", "status")
+    return view.recent_events(data.chain(spark, sf), data.run_tables(spark, sf)[1], data.SCOPE).select("event_id", "status")
 
 
 @query("u02_stream_names", "SELECT DISTINCT event_type AS stream FROM events ORDER BY stream")
 def u02(spark, sf):
-    return data.submitted(spark, sf).select("stream").distinct().orderBy("stream")
+    return listing.stream_names(data.submitted(spark, sf), data.SCOPE)
 
 
 @query("u03_conflicting_keys", """SELECT 'k' || (c_nationkey) AS key_id, count(DISTINCT c_custkey % 3) AS variants FROM customer
@@ -399,14 +413,14 @@ def u03(spark, sf):
 @query("k11_list_events", _status_sql("""event_id, stream, sequence, action, actor_id AS actor, data, status""",
                                       "stream = 'click' AND recorded_at < '2024-01-28' ORDER BY recorded_at DESC, event_id DESC LIMIT 50"))
 def k11(spark, sf):
-    rows = view.list_events(data.chain(spark, sf), data.run_tables(spark, sf)[1], stream="click", until="2024-01-28")
+    rows = view.list_events(data.chain(spark, sf), data.run_tables(spark, sf)[1], data.SCOPE, stream="click", until="2024-01-28")
     return rows.select("event_id", "stream", "sequence", "action", F.col("actor.id").alias("actor"), "data", "status")
 
 
 @query("k11_list_failed_events", _status_sql("event_id, stream, sequence",
                                              "status = 'failed' ORDER BY recorded_at DESC, event_id DESC LIMIT 20"))
 def k11_failed(spark, sf):
-    return view.list_events(data.chain(spark, sf), data.run_tables(spark, sf)[1], status="failed", limit=20).select(
+    return view.list_events(data.chain(spark, sf), data.run_tables(spark, sf)[1], data.SCOPE, status="failed", limit=20).select(
         "event_id", "stream", "sequence")
 
 
@@ -415,7 +429,7 @@ def k11_failed(spark, sf):
   UNION ALL SELECT 'counted', (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-29')
   UNION ALL SELECT 'failing', (SELECT count(*) FROM heads) UNION ALL SELECT 'recent', 8""", longs="value")
 def k12(spark, sf):
-    parts = view.overview(data.chain(spark, sf), data.streams(spark, sf), data.run_tables(spark, sf)[1], NOW)
+    parts = view.overview(data.chain(spark, sf), data.streams(spark, sf), data.run_tables(spark, sf)[1], data.SCOPE, NOW)
     values = {"total": parts["stats"].agg(F.sum("events_total")), "today": parts["today"].agg(F.sum("events_today")),
               "days": parts["per_day"].agg(F.count(F.lit(1))), "counted": parts["per_day"].agg(F.sum("events")),
               "failing": parts["health"].agg(F.sum("failing")), "recent": parts["recent"].agg(F.count(F.lit(1)))}

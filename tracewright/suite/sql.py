@@ -65,3 +65,6 @@ tails AS (SELECT stream, max(sequence) AS tail, max(n) AS n FROM present GROUP B
 # The runs over the clean and the tampered chain, as far as listings need them.
 FIRST_BAD = """first_bad AS (SELECT stream, CASE WHEN last >= 3 THEN 3 END AS first_failure_sequence, tail AS last_sequence
   FROM (SELECT stream, max(last) AS last FROM kept GROUP BY stream) JOIN tails USING (stream))"""
+
+#: The id of a key whose public part is the SHA-256 of a text.
+KEY_OF = "'ed25519:' || substr(sha256(unhex(sha256({}))), 1, 32)"
