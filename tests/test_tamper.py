@@ -133,7 +133,7 @@ def test_swapped_records_name_each_other(checked):
     messages = {r.sequence: r.message for r in checked.findings().where(
         "ctx_stream = 'swapped' AND code = 'previous_hash_mismatch'").collect()}
     assert set(messages) == {40, 41, 42}
-    assert "links to the event at sequence 40 instead of 41" in messages[42]
+    assert "that of sequence 40, not of 41" in messages[42]
     genesis = checked.findings().where("ctx_stream = 'genesis_link' AND code = 'previous_hash_mismatch'").first()
     assert "genesis value" in genesis.message
     witness = checked.findings().where("code = 'checkpoint_mismatch'").first()

@@ -234,9 +234,10 @@ def replay_decisions(requests: DataFrame, known: DataFrame, now: str) -> DataFra
     side = live(known, now).select("project_id", "idempotency_key", F.col("endpoint").alias("_endpoint"),
                                    F.col("request_hash").alias("_hash"), "event_ids")
     place = [c for c in ("request_id", "endpoint", "request_hash") if c in requests.columns]
-    batch = Window.partitionBy("project_id", "idempotency_key").orderBy(*place)   # retries of one request
+    keyless = F.col("idempotency_key").isNull()                                   # fresh each; not one group
+    batch = Window.partitionBy("project_id", "idempotency_key", F.when(keyless, F.xxhash64(*place))).orderBy(*place)
     joined = requests.join(side, ["project_id", "idempotency_key"], "left") \
-        .withColumn("_first", F.row_number().over(batch) == 1) \
+        .withColumn("_first", keyless | (F.row_number().over(batch) == 1)) \
         .withColumn("_new", F.col("_hash").isNull()) \
         .withColumn("_endpoint", F.coalesce("_endpoint", F.first("endpoint").over(batch))) \
         .withColumn("_hash", F.coalesce("_hash", F.first("request_hash").over(batch)))

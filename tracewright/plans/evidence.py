@@ -73,11 +73,11 @@ def selection_errors() -> Column:
     """Why a selection row (stream, since, until, from_sequence, to_sequence) is refused, or null."""
     timed = F.col("since").isNotNull() | F.col("until").isNotNull()
     numbered = F.col("from_sequence").isNotNull() | F.col("to_sequence").isNotNull()
-    return (F.when(~F.coalesce(F.col("stream").rlike(STREAM_PATTERN), F.lit(False)), F.lit("stream is required"))
-            .when(F.col("since") >= F.col("until"), F.lit("from must be before to"))
-            .when(timed & numbered, F.lit("select by time or by sequence, not both"))
-            .when(F.col("from_sequence") < 1, F.lit("fromSequence must be at least 1"))
-            .when(F.col("to_sequence") < F.col("from_sequence"), F.lit("toSequence must not be smaller than fromSequence")))
+    return (F.when(~F.coalesce(F.col("stream").rlike(STREAM_PATTERN), F.lit(False)), F.lit("no stream is named"))
+            .when(F.col("since") >= F.col("until"), F.lit("the time range is empty"))
+            .when(timed & numbered, F.lit("times and sequences exclude one another"))
+            .when(F.col("from_sequence") < 1, F.lit("sequences start at 1"))
+            .when(F.col("to_sequence") < F.col("from_sequence"), F.lit("the sequence range is empty")))
 
 
 def select_ranges(selections: DataFrame, events: DataFrame, streams: DataFrame) -> DataFrame:
@@ -217,10 +217,10 @@ def file_findings(listed: DataFrame, actual: DataFrame) -> DataFrame:
     code = (F.when(malformed, F.lit("package_malformed"))
             .when(F.col("_a").isNull() | (F.col("_n").isNull() & ~own), F.lit("package_digest_mismatch"))
             .when(F.col("_n").isNotNull() & (F.col("_l") != F.col("_a")), F.lit("package_digest_mismatch")))
-    why = (F.when(malformed, F.lit("is listed more than once or lists itself"))
-           .when(F.col("_a").isNull(), F.lit("is listed in the manifest, but missing"))
-           .when(F.col("_n").isNull(), F.lit("is not listed in the manifest (added after export)"))
-           .otherwise(F.lit("does not match the manifest; the file was modified after export")))
+    why = (F.when(malformed, F.lit("has several entries, or one that no manifest may have"))
+           .when(F.col("_a").isNull(), F.lit("has an entry, but there is no such file"))
+           .when(F.col("_n").isNull(), F.lit("has no entry"))
+           .otherwise(F.lit("differs from its entry")))
     return both.select("path", code.alias("code"), F.concat_ws(" ", "path", why).alias("message"),
                        F.col("_l.sha256").alias("expected"), F.col("_a.sha256").alias("found")).where("code IS NOT NULL")
 
@@ -230,12 +230,12 @@ def anchor_problem() -> Column:
     genesis = F.col("type") == "genesis"
     first = F.col("first_sequence")
     return (F.when(~F.coalesce(F.col("type").isin("genesis", "checkpoint"), F.lit(False)),
-                   F.concat(F.lit("unknown anchor type "), F.coalesce("type", F.lit(""))))
-            .when(genesis & (first != 1), F.format_string("the chain is anchored at genesis but starts at sequence %d", first))
+                   F.concat(F.lit("no kind of anchor: "), F.coalesce("type", F.lit(""))))
+            .when(genesis & (first != 1), F.format_string("a chain from genesis cannot start at sequence %d", first))
             .when(~genesis & F.col("checkpoint_sequence").isNull(), F.concat(
-                F.lit("anchor checkpoint "), F.coalesce("checkpoint_id", F.lit("")), F.lit(" is not included")))
+                F.lit("the package lacks the anchor, checkpoint "), F.coalesce("checkpoint_id", F.lit(""))))
             .when(~genesis & (F.col("checkpoint_sequence") != first - 1), F.format_string(
-                "anchor checkpoint %s is at sequence %d, but the chain starts at %d", F.col("checkpoint_id"),
+                "checkpoint %s at %d is no anchor for a start at %d", F.col("checkpoint_id"),
                 F.col("checkpoint_sequence"), first)))
 
 
@@ -274,10 +274,10 @@ def disclosure_findings() -> Column:
     """Finding of a merged row."""
     p = F.col("disclosure")
     return F.coalesce(
-        finding("disclosure_mismatch", p == "orphan", 1, "a disclosed event is not part of the chain skeleton"),
-        finding("disclosure_mismatch", p == "header", 1, "the disclosed event's header differs from the chain skeleton"),
-        finding("disclosure_mismatch", p == "empty", 1, "a disclosed event has no content"),
-        finding("selection_mismatch", p == "outside", 1, "a disclosed event lies outside the selected range"))
+        finding("disclosure_mismatch", p == "orphan", 1, "content is shown for a record that the chain lacks"),
+        finding("disclosure_mismatch", p == "header", 1, "shown header and chain header differ"),
+        finding("disclosure_mismatch", p == "empty", 1, "a shown record is empty"),
+        finding("selection_mismatch", p == "outside", 1, "a record is shown that was not selected"))
 
 
 def selection_findings(manifest: DataFrame, totals: DataFrame, names: list[str]) -> DataFrame:
@@ -293,18 +293,18 @@ def selection_findings(manifest: DataFrame, totals: DataFrame, names: list[str])
     checks = [
         finding("selection_mismatch", (count != m_events) | (some & (
             (F.col("first_line_sequence") != m_first) | (F.col("last_line_sequence") != m_last))), 1,
-            "the chain lines do not match the chain described in the manifest",
+            "manifest and chain lines give different extents",
             F.format_string("%d events, sequences %d..%d", m_events, m_first, m_last),
             F.format_string("%d events, sequences %d..%d", count, F.coalesce("first_line_sequence", F.lit(0)),
                             F.coalesce("last_line_sequence", F.lit(0))), **zero),
         finding("selection_mismatch", shown != F.col("selection.disclosedEvents"), 2,
-                "the event lines do not contain the number of events stated in the manifest",
+                "manifest and shown records differ in number",
                 F.col("selection.disclosedEvents"), shown, **zero),
         finding("selection_mismatch", no_filter & (F.col("selection.disclosedEvents") != size), 3,
-                "without filters every event of the selected range must be disclosed", size,
+                "nothing is filtered, yet not all of the range is shown", size,
                 F.col("selection.disclosedEvents"), **zero),
         finding("selection_mismatch", some & (F.col("last_line_sequence") != F.col("selection.toSequence")), 4,
-                F.format_string("the chain ends at %d but the selection ends at %d", F.col("last_line_sequence"),
+                F.format_string("last record %d, end of the selection %d", F.col("last_line_sequence"),
                                 F.col("selection.toSequence")), **zero),
     ]
     return both.select(*names, F.explode(F.array_compact(F.array(*checks))).alias("f"))

@@ -169,8 +169,8 @@ _check("c23_checkpoint_beyond_head", "checkpoint_beyond_head", "WITH " + _CPS +
 
 
 @query("c15_gap_values", "WITH " + PRESENT + """ SELECT stream, sequence, CAST(sequence - 1 AS VARCHAR) AS expected,
-  CAST(sequence AS VARCHAR) AS found, 'sequence jumps from ' || (sequence - 2) || ' to ' || sequence ||
-  ': 1 event(s) are missing' AS message FROM present WHERE r = 38""")
+  CAST(sequence AS VARCHAR) AS found, 'after sequence ' || (sequence - 2) || ' comes ' || sequence ||
+  '; absent in between: 1' AS message FROM present WHERE r = 38""")
 def c15_values(spark, sf):
     return data.findings(spark, sf).where("code = 'sequence_gap'").select(
         F.col("ctx_stream").alias("stream"), "sequence", "expected", "found", "message")
@@ -360,9 +360,9 @@ def j08(spark, sf):
 def j09(spark, sf):
     # A duplicate names the record before its original (one before the preceding
     # row); swapped records name one another.
-    found = data.findings(spark, sf).where("code = 'previous_hash_mismatch' AND message LIKE 'previousHash links to%'")
+    found = data.findings(spark, sf).where("code = 'previous_hash_mismatch' AND message LIKE 'the previous hash is that of%'")
     return found.select(F.col("ctx_stream").alias("stream"), "sequence",
-                        F.regexp_extract("message", r"at sequence ([0-9]+) instead", 1).cast("long").alias("named"))
+                        F.regexp_extract("message", r"that of sequence ([0-9]+), not", 1).cast("long").alias("named"))
 
 
 @query("j12_head_against_tail", "WITH " + PRESENT + """ SELECT stream, CASE WHEN stream = 'click' THEN 'skipped' ELSE 'invalid' END AS stream_head,

@@ -41,7 +41,7 @@ _RANGES = """ranges AS (
   SELECT 'by_sequence' AS selection_id, 'click' AS stream, 61 AS first_sequence, 120 AS last_sequence, NULL AS error
   UNION ALL SELECT 'by_time', 'view', min(sequence), max(sequence), NULL FROM av WHERE stream = 'view'
     AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'
-  UNION ALL SELECT 'both', 'error', NULL, NULL, 'select by time or by sequence, not both'
+  UNION ALL SELECT 'both', 'error', NULL, NULL, 'times and sequences exclude one another'
   UNION ALL SELECT 'empty', 'error', NULL, NULL, 'the selection contains no events'
   UNION ALL SELECT 'open_end', 'signup', 20, max(sequence), NULL FROM av WHERE stream = 'signup')"""
 
