@@ -139,8 +139,8 @@ def c27(spark, sf):
         F.when(k % 5 == 0, F.lit(1)).otherwise(F.lit(21)).cast("long").alias("first_sequence"), F.lit("chk").alias("checkpoint_id"),
         F.when(k % 5 == 3, F.lit(19)).when(k % 5 == 2, F.lit(None)).otherwise(F.lit(20)).cast("long").alias("checkpoint_sequence"))
     p = evidence.anchor_problem()
-    return rows.select("c_custkey", F.when(p.contains("genesis"), F.lit("genesis")).when(p.contains("not included"), F.lit("missing"))
-                       .when(p.contains("is at sequence"), F.lit("position")).when(p.contains("unknown"), F.lit("type")).alias("problem"))
+    return rows.select("c_custkey", F.when(p.contains("genesis"), F.lit("genesis")).when(p.contains("lacks the anchor"), F.lit("missing"))
+                       .when(p.contains("is no anchor for"), F.lit("position")).when(p.contains("no kind of anchor"), F.lit("type")).alias("problem"))
 
 
 def _dataset(spark, sf, filters) -> str:
