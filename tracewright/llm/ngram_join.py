@@ -4,9 +4,10 @@
    sets are one class; only its representative goes on.
 2. Of each set the SKETCH least hashes are kept. Two sets with a Jaccard
    similarity of 0.75 share at least LEAST_SHARED of them (all but once in
-   10^12 such pairs; where both sets fit the sketch the bound is exact), and
-   after leaving out the most frequent hashes, as many as cannot matter, still
-   one. Sets that share too few hashes with anything are out.
+   10^12 such pairs; where both sets fit the sketch the bound is exact). Sets
+   that share too few hashes with anything are out; those left are tried again
+   with the WIDE_SKETCH least hashes. Of these, the most frequent may be left
+   out, as many as cannot matter: similar sets still share one of the rest.
 3. The rest is partitioned into groups of similar documents: those with the
    same most frequent hash, in chunks of bounded size. Groups are linked inside
    and with the first chunk of their key.
@@ -34,14 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import binom_floor, text_or_empty, written
-from tracewright.llm.components import components
+from tracewright.llm.common import arrow_rows, binom_floor, text_or_empty, written
+from tracewright.llm.components import Joined, components
 from tracewright.llm.tokens import slices
+from tracewright.llm.url_cascade import bit_words, has
 
-WORDS, PERCENT, SKETCH = 5, 75, 64
-LEAST_SHARED = binom_floor(SKETCH, PERCENT / 100, 1e-12)
+WORDS, PERCENT = 5, 75
+#: Hashes of the first and of the second sketch, and how many of each two similar sets share, but once in 10^12 times.
+SKETCH, WIDE_SKETCH = 64, 256
+LEAST_SHARED = {k: binom_floor(k, PERCENT / 100, 1e-12) for k in (SKETCH, WIDE_SKETCH)}
 #: Documents and shingles of a chunk, about; a chunk is one row.
 CHUNK_DOCS, CHUNK_SHINGLES = 64, 1 << 16
+#: Rows of a batch in Python: documents or pairs of chunks.
+BATCH_ROWS = 200
+#: Bits of the filter that keeps documents without partners out of a shuffle, 2 MB.
+FILTER_BITS = 1 << 24
 #: Members of a component in one hot key from which they are chunked apart from the rest.
 APART = 8
 
@@ -116,25 +124,10 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in slices(texts, 1 << 19):
-            sets = [s.tobytes() for s in shingle_sets(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["rep", "tokens"])
-
-
-class _Joined:
-    """Components that a task has joined so far."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.top(a), self.top(b)
-        self.up[max(a, b)] = min(a, b)
+            sets = shingle_sets(texts[a:b])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([s[:WIDE_SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))], ["rep", "n", "tokens", "wide"])
 
 
 def open_groups(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None) -> list[tuple[int, int]]:
@@ -145,7 +138,7 @@ def open_groups(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int,
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     sizes = np.array([len(s) for _, _, s in right])
-    joined, out = _Joined(), []
+    joined, out = Joined(), []
     for i, (one, comp, own) in enumerate(left):
         lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
         if 100 * np.count_nonzero(hi > lo) < PERCENT * len(own):
@@ -183,32 +176,51 @@ def _chunked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.join(counts, keys).withColumn(name, F.pmod(F.xxhash64("rep"), F.col("chunks")))
 
 
+def _sharing(rows: DataFrame, sketch: str, size: int) -> DataFrame:
+    """The sets (rep, n) that share enough of a sketch with others: rep, n, key (the most frequent hash they share) and
+    prefix (the hashes they share but for the most frequent, of which similar sets have one in common)."""
+    heads = rows.select("rep", "n", F.explode(sketch).alias("token"))
+    shared = heads.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    need = F.least(F.ceil(F.col("n") * PERCENT / 100), F.lit(LEAST_SHARED[size]))
+    return (heads.join(shared, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+            .filter(F.size("ts") >= need)
+            .select("rep", "n", F.element_at("ts", -1)["token"].alias("key"), F.slice("ts", 1, (F.size("ts") - need + 1).cast("int"))["token"].alias("prefix")))
+
+
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows that may be among the ids, by a Bloom filter of at most FILTER_BITS; a join decides. Where the ids are too
+    many for it, it lets all rows through."""
+    keys = ids.select(F.col("doc_id").alias("key"))
+    bits = -(-min(max(64, 16 * keys.count()), FILTER_BITS) // 64) * 64
+    words = written(bit_words(keys, 0, 2, bits), "filter").select("words").scalar()
+    return rows.filter(has(words, F.col("doc_id"), 0, 2, bits))
+
+
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components_of(docs, id_col, text_col)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     sketches = written(rows.mapInArrow(_sketches, "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
     named = sketches.filter("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = written(named.join(classes, ["n", "f1", "f2"])
-                      .select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
+                      .select("doc_id", "rep", "n", "f1", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
 
-    # hashes that more than one representative has, and the representatives with enough of them
-    reps = members.filter("sketch IS NOT NULL").dropDuplicates(["rep", "n", "sketch"])
-    heads = reps.select("rep", "n", F.explode("sketch").alias("token"))
-    shared = heads.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    need = F.least(F.ceil(F.col("n") * PERCENT / 100), F.lit(LEAST_SHARED))
-    linkable = written(heads.join(shared, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-                       .filter(F.size("ts") >= need)
-                       .select("rep", "n", F.element_at("ts", -1)["token"].alias("key"),
-                               F.slice("ts", 1, (F.size("ts") - need + 1).cast("int"))["token"].alias("prefix")), "linkable")
-    sets = written(rows.join(linkable.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-                   .mapInArrow(_full_sets, "rep long, tokens binary"), "sets")
+    reps = members.filter("sketch IS NOT NULL").dropDuplicates(["rep", "n", "f1"]).select("rep", "n", "sketch")
+    near = written(_sharing(reps, "sketch", SKETCH).select(F.col("rep").alias("doc_id")).distinct(), "near")
+    sets = written(_likely(rows, near).join(near, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(_full_sets, "rep long, n long, tokens binary, wide array<long>"), "sets")
+    linkable = written(_sharing(sets, "wide", WIDE_SKETCH), "linkable")
+    sets = sets.select("rep", "n", "tokens")
 
     # groups of one key, linked inside and with the key's first chunk
     def packed(where: DataFrame, keys: list[str], name: str) -> DataFrame:
         """One row per group with its members (rep, comp, tokens)."""
         member = F.struct("rep", "comp", "tokens")
-        return written(where.join(sets, "rep").groupBy(keys).agg(F.collect_list(member).alias("members")), name)
+        return written(where.join(sets.drop("n"), "rep").groupBy(keys).agg(F.collect_list(member).alias("members")), name)
 
     keyed = written(_chunked(linkable.select("rep", "n", "key"), ["key"], "chunk"), "keyed")
     groups = packed(keyed.withColumn("comp", F.col("rep")), ["key", "chunk", "chunks"], "groups")
@@ -217,7 +229,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .join(groups.filter("chunk = 0").select("key", F.col("members").alias("first")), "key")
             .select("members", "first").mapInArrow(_opened, "a long, b long"))
     links = written(inside.unionByName(star), "links")
-    found = components(links)
+    found = components(links, rounds=2)
 
     # the token-group matrix over groups that are of one component where a key is large
     comp = keyed.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -226,16 +238,19 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = _chunked(comp.join(crowd, ["key", "comp"]).select("rep", "n", "key", "comp", apart.alias("kind")), ["key", "kind"], "chunk")
     placed = written(placed.select("rep", "comp", F.xxhash64("key", "kind", "chunk").alias("g")), "placed")
     matrix = (linkable.select("rep", F.explode("prefix").alias("token")).join(placed, "rep").groupBy("token", "g")
-              .agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
+              .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_set("rep").alias("reps")))
     matrix = written(matrix, "matrix")
-    one = matrix.select("token", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    two = matrix.select("token", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    meet = written(one.join(two, "token").filter("ga <= gb AND (la != ha OR lb != hb OR la != lb)").select("ga", "gb").distinct(), "meet")
-    groups = packed(placed.join(meet.select(F.explode(F.array("ga", "gb")).alias("g")).distinct(), "g"), ["g"], "groups")
-    left = groups.select(F.col("g").alias("ga"), F.col("members").alias("left"))
-    right = groups.select(F.col("g").alias("gb"), F.col("members").alias("right"))
-    across = (meet.filter("ga < gb").join(left, "ga").join(right, "gb").select("left", "right").mapInArrow(_opened, "a long, b long")
-              .unionByName(meet.filter("ga = gb").select("ga").join(left, "ga").select("left").mapInArrow(_opened, "a long, b long")))
+    one = matrix.select("token", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("reps").alias("left"))
+    two = matrix.select("token", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("reps").alias("right"))
+    # only the members that meet there are opened, at most a chunk of either group
+    meet = (one.join(two, "token").filter("ga <= gb AND (la != ha OR lb != hb OR la != lb)").groupBy("ga", "gb")
+            .agg(F.array_distinct(F.flatten(F.collect_set("left"))).alias("left"), F.array_distinct(F.flatten(F.collect_set("right"))).alias("right")))
+    of = lambda side: F.transform(side, lambda r: F.struct(r.alias("rep"), F.lit(side).alias("side")))
+    asked = meet.select("ga", "gb", F.explode(F.when(F.col("ga") == F.col("gb"), of("left")).otherwise(F.concat(of("left"), of("right")))).alias("m"))
+    member = F.struct("rep", "comp", "tokens")
+    opened = (asked.select("ga", "gb", "m.rep", "m.side").join(placed.select("rep", "comp").join(sets, "rep").select("rep", "comp", "tokens"), "rep").groupBy("ga", "gb")
+              .agg(F.collect_list(F.when(F.col("side") == "left", member)).alias("left"), F.collect_list(F.when(F.col("side") == "right", member)).alias("right")))
+    across = opened.select("left", F.when(F.col("ga") != F.col("gb"), F.col("right")).alias("right")).mapInArrow(_opened, "a long, b long")
     copies = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(written(across, "links")).unionByName(copies))
     return (sketches.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -55,7 +55,7 @@ def _positions(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
 
-def _bit_words(keys: DataFrame, level: int, hashes: int, bits: int) -> DataFrame:
+def bit_words(keys: DataFrame, level: int, hashes: int, bits: int) -> DataFrame:
     """One row: the bits of a Bloom filter as an array of longs."""
     at = F.explode(F.array(*_positions(F.col("key"), level, hashes, bits)))
     words = (keys.select(at.alias("p")).groupBy((F.shiftright("p", 6)).alias("w"))
@@ -65,7 +65,7 @@ def _bit_words(keys: DataFrame, level: int, hashes: int, bits: int) -> DataFrame
                                  lambda x: x["v"]).alias("words"))
 
 
-def _has(words: Column, key: Column, level: int, hashes: int, bits: int) -> Column:
+def has(words: Column, key: Column, level: int, hashes: int, bits: int) -> Column:
     tests = [F.expr("true")]
     for p in _positions(key, level, hashes, bits):
         word = F.get(words, F.shiftright(p, 6).cast("int"))
@@ -95,7 +95,7 @@ class Cascade:
         out = F.lit(len(self.levels) % 2 == 1)
         for level in range(len(self.levels), 0, -1):
             hashes, bits = self.levels[level - 1]
-            out = F.when(_has(F.get(words, F.lit(level - 1)), key, level, hashes, bits), out).otherwise(F.lit(level % 2 == 0))
+            out = F.when(has(F.get(words, F.lit(level - 1)), key, level, hashes, bits), out).otherwise(F.lit(level % 2 == 0))
         return out
 
 
@@ -114,10 +114,10 @@ def build(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> Casca
         chance = min(0.5, n_into / (math.sqrt(2) * max(n_against, 1))) if level == 1 else 0.5
         hashes = max(1, round(math.log2(1 / chance)))
         bits = -(-max(64, math.ceil(n_into * hashes / math.log(2))) // 64) * 64
-        one = written(_bit_words(into, level, hashes, bits).select(F.lit(level).alias("level"), "words"), "cascade-level")
+        one = written(bit_words(into, level, hashes, bits).select(F.lit(level).alias("level"), "words"), "cascade-level")
         levels.append((hashes, bits))
         parts = one if parts is None else parts.unionByName(one)
-        passed = written(against.filter(_has(one.select("words").scalar(), F.col("key"), level, hashes, bits)), "cascade-passed")
+        passed = written(against.filter(has(one.select("words").scalar(), F.col("key"), level, hashes, bits)), "cascade-passed")
         into, against, n_into, n_against = passed, into, passed.count(), n_into
     return Cascade(levels, parts)
 
