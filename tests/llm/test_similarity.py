@@ -163,3 +163,31 @@ def test_recall_over_the_table(spark):
     out = QUERIES["op2_posting_lists"](spark, "/root/testdata/sf0.01").collect()
     hits = sum(len({r.vec_id for r in out if r.query_id == q} & {i for _, i in nearest(data, q)}) for q in data if q % 100 == 0)
     assert hits >= 0.9 * 10 * sum(q % 100 == 0 for q in data)
+
+
+def test_recall_where_the_sample_is_a_small_part(spark, monkeypatch):
+    """As many lists as the sample allows, over vectors without clusters: what a large table looks like."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 1000)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(64_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    asked = np.arange(0, 64_000, 400)
+    found = {}
+    for r in ann.search(rows, F.col("id") % 400 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -9
+    want = np.argpartition(-scores, 10, 1)[:, :10]
+    assert sum(len(found[q] & set(w)) for q, w in zip(asked.tolist(), want.tolist())) / want.size >= 0.9
+
+
+def test_a_walk_takes_at_least_the_lists_asked_for():
+    rng = np.random.default_rng(2)
+    centroids = rng.normal(size=(200, 16))
+    graph = ann.CentroidGraph.of(centroids)
+    for q in rng.normal(size=(20, 16)):
+        order = np.argsort(((centroids - q) ** 2).sum(1))
+        for least in (12, 60, 200):
+            taken = graph.lists(q, 1.0, least)
+            assert len(taken) == least and (least == 12 or taken == order[:least].tolist())

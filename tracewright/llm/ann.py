@@ -4,7 +4,9 @@ A bounded sample is halved again and again into equal parts whose means are the
 centroids. Every vector is stored in the list of its nearest centroid, and a
 vector near a border also in those of other centroids hardly farther away. A
 query walks a neighbour graph of the
-centroids and takes all lists within a ratio of the nearest. Lists and queries
+centroids and takes all lists within a ratio of the nearest, and a least number
+of them that is tried out beforehand: the exact neighbours of a few queries,
+found by one pass over the table, must be in the lists taken. Lists and queries
 meet in blocks of bounded size, and the distances kept are exact.
 
 Defined results: vectors that are null, all zero, of another length than most,
@@ -28,15 +30,17 @@ from tracewright.llm.common import written
 
 #: Rows that the centroids are fitted on, taken by the hash of their id.
 SAMPLE_ROWS = 20_000
-#: Vectors for each list, and the most lists: their centroids go to every task, 4096 x dimensions x 4 bytes.
-LIST_ROWS, MAX_LISTS = 256, 4096
+#: Vectors for each list, and the rows of the sample that a centroid is the mean of, at least.
+LIST_ROWS, FIT_ROWS = 256, 50
 #: A vector is stored in up to COPIES lists whose centroids are at most EDGE times as far as the nearest.
 COPIES, EDGE = 3, 1.03
 #: A query takes lists up to NEAR times as far as the nearest, LEAST_LISTS at least.
 NEAR, LEAST_LISTS = 1.15, 12
+#: More lists are taken until so much of the exact neighbours of TRIAL_QUERIES queries is in them.
+TRIAL_RECALL, TRIAL_QUERIES = 0.95, 200
 NEIGHBOURS = 16
 #: Rows of a block of vectors, of queries.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 8192
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -88,6 +92,10 @@ class CentroidGraph:
         """Best first: centroids within the ratio of the nearest met, and the `least` nearest."""
         def far(at: np.ndarray) -> list[float]:
             return np.sqrt(((self.centroids[at] - query) ** 2).sum(1)).tolist()
+        if 4 * least >= len(self.centroids):  # the walk would meet most of them one by one
+            d = np.sqrt(((self.centroids - query) ** 2).sum(1))
+            ranked = np.argsort(d, kind="stable")
+            return ranked[:max(least, int((d <= d.min() * ratio).sum()))].tolist()
         entry = np.linspace(0, len(self.centroids) - 1, min(8, len(self.centroids))).astype(int)
         seen = dict(zip(entry.tolist(), far(entry)))
         open_ = [(d, i) for i, d in seen.items()]
@@ -145,6 +153,62 @@ def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def exact_nearest(base: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> dict[int, list[int]]:
+    """The ids of the k nearest rows of each of a few queries, by one pass over all rows."""
+    def scan(batches):
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = nearest_in_block(vectors, ids, _matrix(batch.column(1)), batch.column(0).to_numpy(), k)
+            best = found if best is None else [np.concatenate(x) for x in zip(best, found)]
+            order = np.lexsort((best[1], best[2], best[0]))
+            q = best[0][order]
+            order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+            best = [x[order] for x in best]
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(best[0], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], ["query_id", "vec_id", "score"])
+    each = base.mapInArrow(scan, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    out: dict[int, list[int]] = {}
+    for r in each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).collect():
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    return out
+
+
+def least_lists(graph: CentroidGraph, base: DataFrame, index: DataFrame, queries_of, k: int) -> int:
+    """The fewest lists to take such that TRIAL_RECALL of the exact neighbours of some queries is in them; all where none are enough."""
+    n = len(graph.centroids)
+    if n <= LEAST_LISTS:
+        return LEAST_LISTS
+    # another hash than the sample's: most of these queries did not shape the centroids
+    some = base.filter(queries_of).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(TRIAL_QUERIES).toArrow()
+    ids, first = np.unique(some.column("id").to_numpy(), return_index=True)
+    if not len(ids):
+        return LEAST_LISTS
+    vectors = _matrix(some.column("v"))[first]
+    near = exact_nearest(base, ids, vectors, k)
+    wanted = sorted({x for found in near.values() for x in found})
+    spark = base.sparkSession
+    stored: dict[int, set[int]] = {}
+    for r in index.join(F.broadcast(spark.createDataFrame([(x,) for x in wanted], "id long")), "id").select("id", "list").distinct().collect():
+        stored.setdefault(r["id"], set()).add(r["list"])
+    total = sum(map(len, near.values()))
+
+    def enough(least: int) -> bool:
+        met = 0
+        for q, v in zip(ids.tolist(), vectors):
+            taken = set(graph.lists(v, NEAR, least))
+            met += sum(not taken.isdisjoint(stored[x]) for x in near.get(q, ()))
+        return met >= TRIAL_RECALL * total
+
+    low, high = LEAST_LISTS, n
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle + 1, high)
+    return low
+
+
 def search(rows: DataFrame, queries_of, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows of each row for which `queries_of` (a condition on `id`) holds: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
@@ -156,7 +220,7 @@ def search(rows: DataFrame, queries_of, k: int = 10, id_col: str = "vec_id", vec
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(2 * SAMPLE_ROWS / total * (1 << 20)) + 1)
     sample = _matrix(base.filter(share).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow().column("v"))
     sample = np.unique(sample if len(sample) else _matrix(base.limit(1).toArrow().column("v")), axis=0)
-    lists = min(max(1, total // LIST_ROWS), MAX_LISTS, max(1, len(sample) // 4))
+    lists = min(max(1, total // LIST_ROWS), max(1, len(sample) // FIT_ROWS))
     centroids = balanced_centroids(sample, lists)
     graph = CentroidGraph.of(centroids)
 
@@ -169,14 +233,15 @@ def search(rows: DataFrame, queries_of, k: int = 10, id_col: str = "vec_id", vec
 
     def probe(batches):
         for batch in batches:
-            found = [graph.lists(q, NEAR, LEAST_LISTS) for q in _matrix(batch.column(1))]
+            found = [graph.lists(q, NEAR, least) for q in _matrix(batch.column(1))]
             row = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f], pa.int64()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["list", "id", "v"])
 
     kinds = "list long, id long, v array<double>"
     index = written(base.mapInArrow(store, kinds), "postings")
+    least = least_lists(graph, base, index, queries_of, k)
     asked = written(base.filter(queries_of).mapInArrow(probe, kinds), "probes")
-    # at most MAX_LISTS rows each, so they may be broadcast
+    # a row a list, SAMPLE_ROWS / FIT_ROWS at most, so they may be broadcast
     stored = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).alias("vectors"))
     wanted = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("queries"))
     blocks = F.broadcast(written(stored.join(wanted, "list"), "blocks"))
