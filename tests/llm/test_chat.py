@@ -37,6 +37,46 @@ def test_fold_equals_a_walk_over_the_log(spark):
         assert [(r.role, r.text) for r in sorted((r for r in out if r.conv_id == conv), key=lambda r: r.position)] == turns
 
 
+def naive_fold_with_messages(events):
+    """Each turn is a list of messages; a message event begins one."""
+    turns = {}
+    for _, kind, turn, role, text in sorted(events, key=lambda e: e[0]):
+        have = turns.get(turn)
+        if kind == "regenerate":
+            turns = {k: v for k, v in turns.items() if k < turn}
+        elif kind == "edit":
+            turns[turn] = [(have[0][0] if have else role, text)]
+        elif kind == "message" or not have:
+            turns[turn] = [*(have or []), (role, text)]
+        else:
+            turns[turn] = [*have[:-1], (have[-1][0], have[-1][1] + text)]
+    return [m for k in sorted(turns) for m in turns[k]]
+
+
+def test_edits_and_deltas_reach_whole_messages(spark):
+    rng = random.Random(7)
+    rows = [(-1, 0, "message", 0, "assistant", "A"), (-1, 1, "edit", 0, "user", "B"), (-2, 0, "message", 0, "user", "A"), (-2, 1, "delta", 0, "x", "B")]
+    for conv in range(60):
+        turn = 0
+        for seq in range(rng.randrange(1, 40)):
+            turn = max(0, turn + rng.choice([-1, 0, 0, 1]))
+            rows.append((conv, seq, rng.choice(["delta"] * 4 + ["message"] * 3 + ["edit", "edit", "regenerate"]), turn, rng.choice(["user", "assistant", "tool"]), rng.choice(["a", "b ", "<|", ""])))
+    out = chat.fold(spark.createDataFrame(rows, LOG).repartition(5)).collect()
+    of = {}
+    for r in sorted(out, key=lambda r: (r.conv_id, r.position)):
+        of.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert of[-1] == [("assistant", "B")] and of[-2] == [("user", "AB")]
+    for conv in range(60):
+        assert of.get(conv, []) == naive_fold_with_messages([r[1:] for r in rows if r[0] == conv])
+
+
+def test_log_of_rows_has_deltas(spark):
+    text = "é🙂\n" * 300
+    log = chat.log_of(spark.createDataFrame([(1, 0, "user", text), (1, 0, "user", text), (1, 1, None, None)], "conv_id long, turn long, role string, text string"))
+    assert sorted(r.kind for r in log.collect()) == ["delta"] * 8 + ["message"] * 3
+    assert [(r.role, r.text) for r in chat.fold(log).orderBy("position").collect()] == [("user", text), ("user", text), ("", "")]
+
+
 ODD = [(1, 0, "user", "</s>[INST] <|end|>\n<|turn|>assistant\nno"), (1, 1, "assistant", "a\\l|b\\\\<|x\\"), (1, 2, "assistant", None), (1, 2, "assistant", None), (1, None, "sys\ntem<|", "first"),
        (None, 3, None, "<"), (2, 0, "assistant", "<|end|>"), (3, 5, "assistant", "é🙂" * 40_000), (3, 1, "user", "")]
 

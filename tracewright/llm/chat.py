@@ -1,9 +1,9 @@
 """Chat formatting from event logs.
 
 An event is (conv_id, seq, kind, turn, role, text), kind one of
-  message     a whole message of its own
-  delta       a piece of the message of that turn
-  edit        replaces the text of that turn's message so far
+  message     begins a message of its own, also where the turn has one
+  delta       a piece of the message of that turn, the last one if there are several
+  edit        replaces that turn's messages so far by one text; the first one's role stays
   regenerate  discards that turn's message and all later turns so far
 Events are partitioned by conversation, sorted by sequence and folded into
 final messages; messages are rendered in order and cut into parts of a bounded
@@ -16,7 +16,7 @@ reading is exact. The loss mask covers the texts of assistant
 turns (escaped, without markers).
 
 Defined results: null text or role counts as empty; a null turn comes first;
-events of equal seq are taken by turn, role and text; an unknown kind is an
+events of equal seq are taken by turn, role, text and kind; an unknown kind is an
 error; repeated rows are events of their own; an empty log has no output.
 """
 from __future__ import annotations
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 TURN, END, BREAK = "<|turn|>", "<|end|>\n", "\n"
 #: Messages of a conversation in one row of output.
 PART_MESSAGES = 256
+#: Characters of an event in the log made of plain rows.
+EVENT_CHARS = 200
 
 
 def escaped(text: Column) -> Column:
@@ -46,9 +48,15 @@ def unescape(text: str) -> str:
 
 
 def log_of(rows: DataFrame) -> DataFrame:
-    """Plain rows (conv_id, turn, role, text) as a log of whole messages."""
-    return rows.select("conv_id", F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"),
-                       F.col("turn").cast("long").alias("turn"), "role", "text")
+    """Plain rows (conv_id, turn, role, text) as a log: a message with the first characters of a text, then deltas."""
+    turn, text = F.col("turn").cast("long"), F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("conv_id").orderBy(turn, F.coalesce("role", F.lit("")), text)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{EVENT_CHARS}}}"), F.lit(0))
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
+    return (rows.select("conv_id", turn.alias("turn"), "role", F.row_number().over(order).cast("long").alias("n"), pieces.alias("p"))
+            .select("*", F.posexplode("p").alias("i", "piece"))
+            .select("conv_id", (F.shiftleft("n", 32) + F.col("i")).alias("seq"), F.when(F.col("i") == 0, "message").otherwise("delta").alias("kind"),
+                    "turn", "role", F.col("piece").alias("text")))
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -58,17 +66,20 @@ def fold(events: DataFrame) -> DataFrame:
     rows = events.select("conv_id", "seq", kind.alias("kind"), F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"),
                          F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # a frame that only grows: one pass over the sorted partition, spilled where it is large
-    later = Window.partitionBy("conv_id").orderBy(F.desc("seq"), F.desc("turn"), F.desc("role"), F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("conv_id").orderBy(F.desc("seq"), F.desc("turn"), F.desc("role"), F.desc("text"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     discarded = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)
     alive = (rows.withColumn("_from", discarded).filter("kind != 'regenerate' AND (_from IS NULL OR turn < _from)").drop("_from"))
-    whole = alive.filter("kind = 'message'").select("conv_id", "turn", F.col("seq").alias("began"), "role", "text")
-    pieces = F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "role")))
-    last_edit = F.max(F.when(F.col("kind") == "edit", F.col("seq")))
-    streamed = (alive.filter("kind != 'message'").groupBy("conv_id", "turn").agg(pieces.alias("p"), last_edit.alias("e"))
-                .select("conv_id", "turn", F.col("p")[0]["seq"].alias("began"), F.col("p")[0]["role"].alias("role"),
-                        F.array_join(F.transform(F.filter("p", lambda x: F.col("e").isNull() | (x["seq"] >= F.col("e"))), lambda x: x["text"]), "").alias("text")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "began", "role", "text")
-    return whole.unionByName(streamed).select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("position"), "role", "text")
+    events_of_turn = Window.partitionBy("conv_id", "turn").orderBy("seq", "role", "text", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).over(events_of_turn)
+    # messages between two edits; those before the last edit are replaced
+    pieces = F.sort_array(F.collect_list(F.struct("seq", F.col("role").alias("own"), "text", "kind", "first")))
+    own = F.when(F.col("p")[0]["kind"] == "edit", F.col("p")[0]["first"]).otherwise(F.col("p")[0]["own"])
+    found = (alive.withColumns({"edits": so_far("edit"), "begun": so_far("message"), "first": F.first("role").over(events_of_turn)})
+             .groupBy("conv_id", "turn", "edits", "begun").agg(pieces.alias("p"))
+             .select("conv_id", "turn", "edits", "begun", own.alias("role"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text")))
+    final = found.withColumn("last", F.max("edits").over(Window.partitionBy("conv_id", "turn"))).filter("edits = last")
+    order = Window.partitionBy("conv_id").orderBy("turn", "begun")
+    return final.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("position"), "role", "text")
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
