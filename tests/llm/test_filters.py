@@ -121,6 +121,25 @@ def test_positions_of_candidates(spark):
     assert len({(r.doc_id, r.start) for r in out}) == len(out)
 
 
+@pytest.mark.parametrize("text, value, left", [
+    ("my password: hunter2, ok", "hunter2", "my password: "), ('"pwd": "Tr0ub4dor&3"', "Tr0ub4dor&3", '"pwd": "'), ("secret = 'two words'", "two words", "secret = '"),
+    ("see QwErTyUiOpAsDfGhJkLz.", "QwErTyUiOpAsDfGhJkLz", "see "), ("PASSWORD=Xk3abcDEF456ghiJKL\n", "Xk3abcDEF456ghiJKL", "PASSWORD="),
+    ("x?token=abc123DEF456ghi789&y", "abc123DEF456ghi789", "x?token="), ("KEY=abc123DEF456ghi789==", "abc123DEF456ghi789==", "KEY="),
+    ("at /hooks/abc123DEF456ghi789/x", "abc123DEF456ghi789/x", "at /hooks/"), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz", ""),
+    ("Authorization: Bearer abcdef", "abcdef", "Authorization: Bearer ")])
+def test_candidates_by_context(spark, text, value, left):
+    found = secret_scan.with_candidates(spark.createDataFrame([(1, text, "p")], "doc_id long, text string, source string")).collect()
+    assert [(r.value, r.left, r.start) for r in found] == [(value, left, len(left))]
+
+
+def test_short_secrets_are_masked_in_their_places(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "scan", lambda docs, forest, *cols: secret_scan.with_candidates(docs, *cols).withColumn("secret", F.lit(True)))
+    texts = ["a password: a, then a and pwd=b; é🙂 pwd='c'", "no b password=b"]
+    docs = spark.createDataFrame([(1, t, None) for t in texts], "doc_id long, text string, source string")
+    got = sorted(r.text for r in secret_scan.redact(docs, None).collect())
+    assert got == ["a password: [SECRET], then a and pwd=[SECRET]; é🙂 pwd='[SECRET]'", "no b password=[SECRET]"]
+
+
 def test_forest_on_planted_findings_it_has_not_seen(spark, forest):
     fresh = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id >= 500")
     from pyspark.ml.functions import vector_to_array

@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters with a digit in it. The
-forest judges it by its length, the transitions between its characters, how
+A candidate is what is assigned to a secret word, of any length, or a run of 16
+or more key characters with a digit or a change from small letters to capitals
+in it; names before a run ("KEY=", "path/") are its left context. The forest judges it by its length, the transitions between its characters, how
 much of it dictionary words cover, its path and the words beside it. It is
 fitted on labelled findings, a bounded table; everything else covers all rows.
 Only DataFrame functions and Spark's own forest are used.
@@ -18,9 +19,6 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import text_or_empty, written
 
-KEY = "A-Za-z0-9_+/=-"
-#: What may be a secret: at least 16 key characters with a digit among them, not inside a longer run.
-CANDIDATE = rf"(?<![{KEY}])(?=[A-Za-z_+/=-]*[0-9])[{KEY}]{{16,}}"
 #: Characters kept on either side.
 LEFT, RIGHT = 60, 30
 #: Rows of labelled findings that the forest is fitted on at most, and its size.
@@ -28,6 +26,8 @@ LABELLED_ROWS, TREES, DEPTH, SEED = 6000, 24, 8, 42
 #: A finding is a secret from this share of the trees' votes on.
 THRESHOLD = 0.5
 MASK = "[SECRET]"
+#: Shorter secrets are masked only in the places found.
+EVERYWHERE = 16
 
 #: Words of placeholders, code and prose (fixed values).
 DICTIONARY = ("example placeholder changeme dummy sample fixture password secret token access private public account user admin test demo "
@@ -38,20 +38,32 @@ DICTIONARY = ("example placeholder changeme dummy sample fixture password secret
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|client.?key"
 HARMLESS_WORDS = "commit|sha-?1|sha-?256|md5|checksum|digest|etag|uuid|guid|build|version|revision|trace|request.?id|order|invoice|file|image|page"
 PATH_WORDS = "test|example|sample|fixture|mock|demo|docs?/|readme"
+KEY = "A-Za-z0-9_+/-"
+#: What is assigned: secret word, the rest of the name, = or :, the value in quotes or up to a blank or mark. Group 1 is not the value.
+_ASSIGNED = (rf"((?i:{SECRET_WORDS})[A-Za-z0-9_.-]{{0,24}}[\"'`\]]{{0,2}}[ \t]{{0,4}}(?:=>|:=|[=:])[ \t]{{0,4}}(?:(?i:bearer|basic|token)[ \t]{{1,4}})?[\"'`]?)"
+             r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=`)[^`\r\n]+(?=`)|[^\s\"'`,;&<>(){}\[\]]+)")
+#: A run that stands alone, after names with a / (group 2), with its padding.
+_RUN = (rf"(?<![{KEY}])((?>(?:/{{0,2}}(?:[A-Za-z][a-z_-]{{2,}}/)+)?+))"
+        rf"(?:(?=[A-Za-z_+/-]*[0-9])|(?=[A-Z_+/-]*[a-z][a-z_+/-]*[A-Z]))[{KEY}]{{16,}}={{0,2}}")
+CANDIDATE = f"{_ASSIGNED}|{_RUN}"
 _WORDS = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
 
 
 def with_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row per candidate: doc_id, path, start (from 0), value, left, right."""
     text = text_or_empty(text_col)
+    each = lambda group: F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(group))
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text.alias("t"),
-                        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found")).filter(F.size("found") > 0)
+                        each(0).alias("found"), F.zip_with(each(1), each(2), lambda a, b: F.concat(a, b)).alias("names")).filter(F.size("found") > 0)
             .withColumn("gaps", F.split("t", CANDIDATE, -1)).drop("t"))
     steps = F.transform("found", lambda m, i: F.struct(F.char_length(F.get("gaps", i)).alias("gap"), F.char_length(m).alias("size")))
     before = F.aggregate(F.slice("steps", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["size"])
-    return (rows.withColumn("steps", steps).select("*", F.posexplode("found").alias("i", "value"))
-            .select("doc_id", "path", (before + F.get("steps", F.col("i"))["gap"]).alias("start"), "value",
-                    F.right(F.get("gaps", F.col("i")), F.lit(LEFT)).alias("left"), F.left(F.get("gaps", F.col("i") + 1), F.lit(RIGHT)).alias("right")))
+    name = F.get("names", F.col("i"))
+    return (rows.withColumn("steps", steps).select("*", F.posexplode("found").alias("i", "whole"))
+            .select("doc_id", "path", (before + F.get("steps", F.col("i"))["gap"] + F.char_length(name)).alias("start"),
+                    F.substr("whole", F.char_length(name) + 1).alias("value"),
+                    F.right(F.concat(F.get("gaps", F.col("i")), name), F.lit(LEFT)).alias("left"),
+                    F.left(F.concat(F.get("gaps", F.col("i") + 1), F.coalesce(F.get("names", F.col("i") + 1), F.lit(""))), F.lit(RIGHT)).alias("right")))
 
 
 def features() -> dict[str, Column]:
@@ -116,18 +128,27 @@ def scan(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """`docs` with every secret found in a text replaced by MASK; no row is lost, and n_chars is counted anew where there is one.
 
-    Only documents with a candidate are shuffled.
+    A secret of EVERYWHERE or more characters is also replaced where it stands in other surroundings. Only documents with a
+    candidate are shuffled.
     """
     has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    suspects = docs.filter(has)
-    found = (scan(suspects, forest, id_col, text_col, path_col).filter("secret").groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values")))
-    joined = suspects.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    clean = F.aggregate("_values", F.col(text_col), lambda t, v: F.replace(t, v, F.lit(MASK)))
-    changed = {text_col: F.when(F.col("_values").isNotNull(), clean).otherwise(F.col(text_col))}
+    # rows may share an id: positions belong to a text
+    key = F.struct(F.col(id_col), F.sha2(F.col(text_col), 256), F.col(path_col))
+    suspects = docs.filter(has).withColumn("_key", F.to_json(key))
+    size = F.char_length("value")
+    found = (scan(suspects, forest, "_key", text_col, path_col).filter("secret").groupBy(F.col("doc_id").alias("_id"))
+             .agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + size).alias("b")))).alias("_places"),
+                  F.array_sort(F.collect_set(F.when(size >= EVERYWHERE, F.col("value"))), lambda a, b: F.length(b) - F.length(a)).alias("_values")))
+    joined = suspects.join(found, F.col("_key") == F.col("_id"), "left")
+    text = F.col(text_col)
+    cut = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_places", lambda x: x["b"]))
+    kept = F.concat(F.transform("_places", lambda x, i: cut(F.get(ends, i), x["a"])), F.array(cut(F.element_at(ends, -1), F.char_length(text))))
+    clean = F.aggregate("_values", F.array_join(kept, MASK), lambda t, v: F.replace(t, v, F.lit(MASK)))
+    changed = {text_col: F.when(F.col("_places").isNotNull(), clean).otherwise(text)}
     out = joined.withColumns(changed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_values").isNotNull(), F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_places").isNotNull(), F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return docs.filter(~has).unionByName(out.select(docs.columns))
 
 
@@ -172,6 +193,10 @@ def planted_findings(docs: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
         "version": F.concat(F.lit("release-build-"), F.pmod("h", F.lit(100000)).cast("string")),
     }
     value = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in kinds.items()))
-    words_before = F.concat(F.right("t", F.lit(40)), F.lit(" "), F.col("before"))
-    return each.select(value.alias("value"), F.right(words_before, F.lit(LEFT)).alias("left"),
-                       F.left(F.concat("after", "t"), F.lit(RIGHT)).alias("right"), "path", "label")
+    before = F.concat(F.right("t", F.lit(40)), F.lit(" "), F.col("before"))
+    planted = each.select("k", "h", "path", "label", value.alias("planted"), before.alias("b"), F.concat("after", "t").alias("a"))
+    # as a text, so that a finding has the value and context that the scan will see
+    texts = planted.select(F.struct("label", F.char_length("b").alias("at"), "planted").alias("doc_id"), F.concat("b", "planted", "a").alias("text"), "path")
+    found = with_candidates(texts, path_col="path")
+    return (found.filter((F.col("start") == F.col("doc_id.at")) & (F.col("value") == F.col("doc_id.planted")))
+            .select("value", "left", "right", "path", F.col("doc_id.label").alias("label")))
