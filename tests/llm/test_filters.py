@@ -148,6 +148,23 @@ def test_forest_on_planted_findings_it_has_not_seen(spark, forest):
     assert right > 0.95
 
 
+def test_forest_on_surroundings_it_has_not_seen(spark):
+    """Each third of the templates is held out once; labels, values and documents of the held-out part are new to the forest."""
+    from pyspark.ml.functions import vector_to_array
+    seen, fresh = (spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(f) for f in ("doc_id < 500", "doc_id >= 500"))
+    n, both, said, are = 0, 0, 0, 0
+    for part in range(3):
+        held = [t for i, t in enumerate(secret_scan.SURROUNDINGS) if i % 3 == part]
+        model = secret_scan.fit(secret_scan.planted_findings(seen, surroundings=[t for t in secret_scan.SURROUNDINGS if t not in held]))
+        planted = secret_scan.planted_findings(fresh, 1500, held)
+        judged = model.transform(secret_scan._assembled(planted)).select("label", (vector_to_array("probability")[1] >= secret_scan.THRESHOLD).alias("s"))
+        r = judged.agg(F.count("*"), F.count_if(F.expr("s AND label = 1")), F.count_if("s")).first()
+        # planted secrets that are no candidates count as missed
+        n, both, said, are = n + r[0], both + r[1], said + r[2], are + 1500 // len(held) * sum(t[0] for t in held)
+    print("held-out templates:", n, "findings, recall", both / are, "precision", both / said)
+    assert both / are >= 0.8 and both / said >= 0.8
+
+
 def test_redaction(spark, forest):
     texts = [f'it was token = "{SECRET}" then', "card 4012429011158754 on", None, "", f"commit {SECRET} is", f'it was token = "{SECRET}" then']
     docs = spark.createDataFrame([(i if i < 5 else 0, t, None, 7) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")

@@ -67,3 +67,14 @@ def test_run_is_registered(pipeline):
     assert __spark_entry__.queries()["pipeline"] is pipeline.run
     ops = {name.split("_")[0] for name in __spark_entry__.queries()}
     assert {f"op{i}" for i in range(1, 11)} <= ops
+
+
+def test_planted_secrets_are_masked(spark, pipeline):
+    from hashlib import sha1
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    values = [sha1(str(i).encode()).hexdigest() for i in range(3)]
+    texts = [f'tion ationer {{"api_key": "{values[0]}"}} thes', f'TION TOKEN = "{values[1].upper()}"!! THES', f"Authorization: Bearer {values[2]}\n"]
+    more = spark.createDataFrame([(10**6 + i, t, None, None, len(t)) for i, t in enumerate(texts)], docs.schema)
+    out = {r.doc_id: r.text for r in dict(pipeline.STAGES)["secrets"](spark, docs.unionByName(more), sf).collect()}
+    assert [out[10**6 + i] for i in range(3)] == [t.replace(v, "[SECRET]").replace(v.upper(), "[SECRET]") for t, v in zip(texts, values)]

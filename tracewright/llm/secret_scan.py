@@ -152,29 +152,40 @@ def redact(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "tex
     return docs.filter(~has).unionByName(out.select(docs.columns))
 
 
-#: Surroundings of planted findings: label, path, kind of value, text before, text after (fixed values).
+#: Surroundings of planted findings: label, path, kinds of value, text before, text after (fixed values). Formats of
+#: configuration, code, requests, logs and prose; every kind and every format stands on both sides where that makes sense.
+_RANDOM, _SHORT, _NOT_KEYS = "hex40 HEX40 hex32 mixed40 mixed24 letters24 prefixed", "short phrase", "words placeholder repeated camel reference"
 SURROUNDINGS = [
-    (1, "", "hex40", 'token = "', '" '), (1, "app/settings.py", "hex32", "SECRET_KEY = '", "'\n"), (1, "", "mixed40", "aws_secret_access_key = ", "\n"),
-    (1, "deploy/prod.env", "mixed24", "PASSWORD=", "\n"), (1, "", "prefixed", "Authorization: Bearer ", "\n"), (1, "", "HEX40", 'TOKEN = "', '"!! '),
-    (1, "lib/client.js", "mixed40", 'apiKey: "', '", '), (1, "", "hex40", 'access token = "', '"### '), (1, "", "prefixed", "", " "), (1, "", "mixed24", 'client_secret: "', '"'),
-    (0, "", "hex40", "commit ", " "), (0, "", "hex32", "md5 checksum: ", "\n"), (0, "", "uuid", "request id ", ", "), (0, "", "words", "", " "),
-    (0, "", "words", 'token = "', '" '), (0, "docs/readme.md", "placeholder", 'api_key = "', '" '), (0, "", "placeholder", 'password: "', '"'),
-    (0, "", "digits", "", ". "), (0, "", "digits", "order ", " "), (0, "", "mail", " ", "@mail.example.com "), (0, "tests/fixtures/keys.py", "hex40", 'token = "', '" '),
-    (0, "", "words", "/", "/index.html "), (0, "", "version", "version ", " "), (0, "", "repeated", 'secret = "', '" '),
+    (1, "config/app.json", _RANDOM, '{"api_key": "', '", "id": 7}'), (1, "", _RANDOM, '"clientSecret":"', '"}'), (1, "deploy/values.yaml", _RANDOM, "\n  auth_token: ", "\n  port: 80"),
+    (1, "deploy/prod.env", _RANDOM, "\nDB_PASSWORD=", "\nHOST=a"), (1, "", _RANDOM, "export SECRET_KEY=", "\n"), (1, "", _RANDOM, "https://host.example.org/v1?access_key=", "&page=2"),
+    (1, "", _RANDOM, "Authorization: Bearer ", "\n"), (1, "", _RANDOM, "X-Api-Key: ", "\nAccept: */*"), (1, "src/main.rs", _RANDOM, 'let secret = "', '";'),
+    (1, "lib/client.js", _RANDOM, "const apiToken = '", "';"), (1, "", _RANDOM, "client --token=", " --quiet"), (1, "", _RANDOM, "the private key is: ", " and works"),
+    (1, "conf/db.properties", _RANDOM, "jdbc.credential=", "\n"), (1, "", _RANDOM, "SECRET := `", "`"), (1, "", _RANDOM, "** AUTH KEY: '", "' **"), (1, "", _RANDOM, "| token = ", " |"),
+    (1, "", "prefixed mixed40", "", " "), (1, "", "prefixed", "use ", " from now on"), (1, "logs/a.log", "prefixed", "sent header ", "\n"),
+    (1, "", _SHORT, "password: ", "\n"), (1, "", _SHORT, '"passwd": "', '",'), (1, "", _SHORT, "login with password='", "'"), (1, "app/settings.py", _SHORT, 'DB_PASSWORD = "', '"\n'),
+    (0, "", "hex40 hex32", "commit ", " fixes it"), (0, "", "hex40 hex32 HEX40", "sha256: ", "\n"), (0, "", "hex32 HEX40", "md5 checksum = '", "'"), (0, "", "hex40 hex32", '"etag": "', '",'),
+    (0, "", "hex40 mixed40", "integrity digest ", " ok"), (0, "", "uuid", "request id ", ", "), (0, "", "uuid hex32", "trace=", " level=info"), (0, "", "uuid hex32", '"guid": "', '"'),
+    (0, "", "hex40", "/revision/", "/diff "), (0, "", "hex32 words", "/image/", ".png "), (0, "", "version words", "build ", " is out"), (0, "", "version", "release: ", "\n"),
+    (0, "", "digits", "order ", " "), (0, "", "digits", "call ", ". "), (0, "", "digits", "", " and"), (0, "", "digits", "invoice: ", "\n"), (0, "", "mail", " ", "@corp.example.net "), (0, "", "mail", "write to ", "@box.example.org. "),
+    (0, "", "words camel", "", " "), (0, "", "camel", "call ", "() again"), (0, "", "words", "https://host.example.org/", "/index.html "), (0, "", "words camel", "see ", ", then"),
+    (0, "", _NOT_KEYS, 'password: "', '"'), (0, "", _NOT_KEYS, "\nAPI_KEY=", "\n"), (0, "docs/readme.md", _NOT_KEYS, 'api_key = "', '" '), (0, "", _NOT_KEYS, '{"secret": "', '"}'),
+    (0, "", _NOT_KEYS, "const token = '", "';"), (0, "", "plain reference", "the token: ", " of it"), (0, "", "plain", "author: ", ", a"), (0, "", "plain", "secret = ", " + 1"), (0, "", "plain", "password: ", " must be set"),
+    (0, "tests/fixtures/keys.py", _RANDOM, 'token = "', '" '), (0, "examples/sample.json", _RANDOM, '{"api_key": "', '"}'), (0, "docs/mock.md", _RANDOM, "password: ", "\n"),
 ]
-_TEMPLATES = len(SURROUNDINGS)
 
 
-def planted_findings(docs: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+def planted_findings(docs: DataFrame, rows: int = LABELLED_ROWS, surroundings: list[tuple] = SURROUNDINGS) -> DataFrame:
     """Labelled findings: values of known kind in known surroundings, after words of the corpus's own documents.
 
-    Takes rows / len(SURROUNDINGS) documents by the hash of their id; the labels hold by construction.
+    Takes rows / len(surroundings) documents by the hash of their id; the labels hold by construction.
     """
     carriers = (docs.select(F.xxhash64("doc_id").alias("h"), F.substring(text_or_empty(), 1, 200).alias("t"))
-                .orderBy("h").limit(max(1, rows // _TEMPLATES)))
+                .orderBy("h").limit(max(1, rows // len(surroundings))))
     spark = docs.sparkSession
-    around = F.broadcast(spark.createDataFrame([(i, *s) for i, s in enumerate(SURROUNDINGS)], "k int, label int, path string, kind string, before string, after string"))
-    each = carriers.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_TEMPLATES - 1)))).join(around, "k")
+    around = F.broadcast(spark.createDataFrame([(i, *s) for i, s in enumerate(surroundings)], "k int, label int, path string, own string, before string, after string"))
+    each = carriers.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(surroundings) - 1)))).join(around, "k")
+    own = F.split("own", " ")
+    each = each.withColumn("kind", F.element_at(own, (F.pmod(F.xxhash64("h", "k"), F.size(own)) + 1).cast("int")))
     seed = F.concat_ws("-", F.col("h").cast("string"), F.col("k").cast("string"))
     hexa = F.sha2(seed, 256)
     mixed = F.translate(F.base64(F.unhex(F.concat(hexa, F.sha2(hexa, 256)))), "\r\n", "")
@@ -190,6 +201,12 @@ def planted_findings(docs: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
         "placeholder": F.element_at(F.array(*map(F.lit, ("your_api_key_here_123", "INSERT_TOKEN_HERE_0000", "changeme-password-1234", "example-secret-key-12345"))),
                                     (F.pmod("h", F.lit(4)) + 1).cast("int")),
         "mail": F.concat(F.translate(some, "-", "."), F.pmod("h", F.lit(99)).cast("string")), "repeated": F.repeat(F.lit("x1"), 12),
+        "letters24": F.left(F.concat(F.regexp_replace(mixed, "[^A-Za-z]", ""), F.lit("QwErTyUiOpAsDfGhJkLzXcVb")), F.lit(24)),
+        "short": F.concat(F.initcap(F.left(F.coalesce(F.get(words, F.lit(2)), F.lit("pass")), F.lit(6))), F.left(F.translate(hexa, "abcdef", "!7&x#4"), F.lit(4))),
+        "phrase": F.concat(F.left(F.coalesce(F.get(words, F.lit(3)), F.lit("hunt")), F.lit(7)), F.pmod("h", F.lit(999)).cast("string")),
+        "camel": F.concat(F.lit("get"), F.replace(F.initcap(F.array_join(F.slice(words, 2, 3), " ")), F.lit(" "), F.lit("")), F.lit("ByTagName")),
+        "reference": F.element_at(F.array(*map(F.lit, ("config.token", "null", "$SECRET_KEY", "os.environ"))), (F.pmod("h", F.lit(4)) + 1).cast("int")),
+        "plain": F.coalesce(F.get(words, F.lit(1)), F.lit("some")),
         "version": F.concat(F.lit("release-build-"), F.pmod("h", F.lit(100000)).cast("string")),
     }
     value = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in kinds.items()))
