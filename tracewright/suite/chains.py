@@ -184,7 +184,7 @@ def c18(spark, sf):
     anchors = data.chain(spark, sf).where("sequence = 40").select(
         *[F.col(k).alias(c) for k, c in zip(STREAM_KEY, CONTEXT_KEY)], F.lit(40).cast("long").alias("anchor_sequence"),
         F.reverse("event_hash").alias("anchor_hash"), F.lit("checkpoint").alias("anchor_description"))
-    found = plan.verify_segment(events, data.keys(spark), anchors, options=VerifyOptions(signatures=False)).findings()
+    found = plan.verify_segment(events, data.keys(spark), anchors).findings()
     return found.select(F.col("ctx_stream").alias("stream"), "sequence", "code")
 
 
@@ -243,7 +243,7 @@ def k03_clean(spark, sf):
   0 AS failures, count(DISTINCT conv_id) AS valid FROM conversations""", longs="failures")
 def k03_short(spark, sf):
     chain = data.short_chains(spark, sf)
-    out = plan.verify_streams(chain, data.keys(spark), options=VerifyOptions(signatures=False)).reports()
+    out = plan.verify_streams(chain, data.keys(spark)).reports()
     return out.agg(F.count(F.lit(1)).alias("streams"), F.sum("events_checked").alias("events_checked"),
                    F.sum("failure_count").alias("failures"), F.count_if("valid").alias("valid"))
 
@@ -306,11 +306,13 @@ def a16(spark, sf):
 @query("k06_verify_projects", f"""SELECT 'prj_' || lpad(CAST(user_id % 7 AS VARCHAR), 10, '0') AS project_id, count(DISTINCT event_type) AS streams_checked,
   count(*) AS events_checked, 0 AS failure_count, 'valid' AS result FROM events GROUP BY 1""", longs="failure_count")
 def k06(spark, sf):
-    # Seven projects, every stream of every project in one job; unsigned, so keys play no part.
+    # Seven projects, every stream of every project in one job; keys belong to a project, so each has its own rows.
     rows = data.submitted(spark, sf).withColumn("project_id", F.concat(F.lit("prj_"), F.lpad(
         (F.substring("actor_id", 6, 20).cast("long") % 7).cast("string"), 10, "0")))
-    sealed = data.once(spark, sf, "projects", lambda: seal(rows, None))
-    out = plan.verify_streams(sealed, data.keys(spark), pinned=True, options=VerifyOptions(signatures=False))
+    sealed = data.once(spark, sf, "projects", lambda: seal(rows, data.SEEDS))
+    projects = F.array(*(F.lit(f"prj_{i:010d}") for i in range(7)))
+    keys = data.keys(spark).withColumn("project_id", F.explode(projects))
+    out = plan.verify_streams(sealed, keys, pinned=True)
     return plan.project_reports(out.reports()).select(
         F.col("ctx_project_id").alias("project_id"), "streams_checked", "events_checked", "failure_count", "result")
 

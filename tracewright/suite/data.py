@@ -66,7 +66,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def short_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
         view = conversation_events(raw(spark, sf_dir, "conversations"))
-        return seal(view.withColumn("key_id", F.lit(KEY["a"])), None)
+        return seal(view.withColumn("key_id", F.lit(KEY["a"])), SEEDS)
     return once(spark, sf_dir, "short_chains", make)
 
 
