@@ -11,10 +11,12 @@
 3. The rest is partitioned into groups of similar documents: those with the
    same most frequent hash, in chunks of bounded size. Groups are linked inside
    and with the first chunk of their key.
-4. The token-group matrix holds for each hash the groups whose union has it.
-   Two groups that meet there, and that are not one component yet, are opened:
-   a document whose overlap with the other group's full token union is below
-   0.75 of its own size passes it by, any other is intersected with the members.
+4. The token-group matrix holds for each of the hashes left over from step 2
+   the groups with a member that has it, and which members: sketches with a
+   prefix filter choose the groups, not the groups' full token unions. Where two
+   groups meet that are not one component yet, the members that meet are fetched
+   with their full sets; one whose overlap with the union of the other side's
+   is below 0.75 of its own size passes it by, any other is intersected with them.
    The full sets decide, so no link is reported that is none.
 
 Pairs inside a component are never expanded, and a group of near copies costs a
