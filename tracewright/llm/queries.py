@@ -135,3 +135,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import dedup_index
     out = dedup_index.add(dedup_index.DigestIndex(spark), table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op11_phrase_mining", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, CAST(len(ws) AS BIGINT) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, range(1, 6) AS ks(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.a, cut, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+         FROM c, range(1, 5) AS t(cut), n, f l, f r
+         WHERE cut < c.k AND n.lang = c.lang AND l.lang = c.lang AND r.lang = c.lang
+           AND l.phrase = array_to_string(c.ws[1:cut], ' ') AND r.phrase = array_to_string(c.ws[cut + 1:], ' ')),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (SELECT c.lang, c.a, unnest(list_transform(range(1, c.k - m + 2), lambda i: array_to_string(c.ws[i:i + m - 1], ' '))) AS phrase
+                FROM c, range(2, 5) AS t(m) WHERE m < c.k),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * low.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import phrases
+    return phrases.collocations(table(spark, sf_dir, "documents"))
