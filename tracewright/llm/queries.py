@@ -160,3 +160,31 @@ FROM kept QUALIFY rank <= 2000""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import phrases
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The nearest entry of every part by all distances, `rounds` updates and a last assignment."""
+    nearest = """SELECT vec_id, label, part, v, entry, d FROM (
+  SELECT p.*, entry, CAST(list_inner_product(v, v) - 2 * list_inner_product(v, e) + list_inner_product(e, e) AS BIGINT) AS d FROM p JOIN b{i} USING (part))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1"""
+    steps = ["""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             "p AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS v FROM k, range(4) AS r(part))",
+             """b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS e FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256)"""]
+    for i in range(rounds):
+        steps += [f"n{i} AS MATERIALIZED ({nearest.format(i=i)})",
+                  f"""m{i} AS (SELECT part, entry, list(x ORDER BY j) AS e FROM (
+  SELECT part, entry, j, floor(sum(v[j]) / count(*)) AS x FROM n{i}, range(1, (SELECT max(len(v)) FROM p) + 1) AS c(j) GROUP BY part, entry, j) GROUP BY part, entry)""",
+                  f"b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{i}.e, b{i}.e) AS e FROM b{i} LEFT JOIN m{i} USING (part, entry))"]
+    steps += [f"last AS MATERIALIZED ({nearest.format(i=rounds)})",
+              "c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY vec_id)",
+              f"""h AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM b{rounds})"""]
+    return ("WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h")
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import vector_codes
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
