@@ -162,6 +162,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm import toxicity
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.held_out()
+    model = toxicity.fit(toxicity.labelled_documents(docs, labels.filter(~out), ~out))
+    return toxicity.score(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
 def _codes_sql(rounds: int = 4) -> str:
     """The nearest entry of every part by all distances, `rounds` updates and a last assignment."""
     nearest = """SELECT vec_id, label, part, v, entry, d FROM (
