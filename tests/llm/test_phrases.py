@@ -62,8 +62,8 @@ def test_a_full_filter_changes_nothing(spark):
     rows = corpus(7)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     plain_rows = docs.select("text", "lang")
-    totals = {k: n for k, (n, _) in phrases.word_counts(plain_rows).items()}
-    hashes = phrases.mined(plain_rows, totals, 6, 300).filter("h is not null")
+    totals = {r.lang: r["sum(n)"] for r in phrases.word_counts(plain_rows).groupBy("lang").sum("n").collect()}
+    hashes = phrases.candidates(phrases.mined(plain_rows, totals, 6, 8, 300), 6, 6, 8).filter("h is not null")
     few = phrases.candidate_filter(hashes, 64)
     assert len(few) == 1
     found = phrases.counted(plain_rows, few).filter("n >= 6 and words > 1")
@@ -81,5 +81,19 @@ def test_overlaps_long_texts_and_empty_tables(spark):
 
 def test_levels_are_complete_in_a_shard():
     text = b"a b a b a\nb a c"
-    found = {(k, b" ".join(w[p:p + k])): int(c) for k, _, counts, at, w in phrases.levels(text, "en", lambda h, c: c >= 2) for p, c in zip(at, counts)}
+    found = {(k, b" ".join(w[i] for i in ids[p:p + k])): int(c) for k, _, counts, at, w, ids in phrases.levels(text, "en", lambda h, c: c >= 2) for p, c in zip(at, counts)}
     assert found == {(1, b"a"): 4, (1, b"b"): 3, (2, b"a b"): 2, (2, b"b a"): 3, (3, b"a b a"): 2}
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+    for values in ([], [0], [1, 255, 256, 70_000, 2 ** 32 - 1]):
+        assert phrases._unpacked(phrases._packed(np.array(values, np.int64))).tolist() == values
+
+
+def test_rows_in_another_order_lose_no_candidate(spark, monkeypatch):
+    rows = corpus(11)
+    plain_words = phrases.word_counts
+    # a slack that is too small by far, as if the shards had been others when it was computed
+    monkeypatch.setattr(phrases, "word_counts", lambda rows, limit=0: plain_words(rows, 40))
+    assert mine(spark, rows, 12, shard_bytes=1 << 20) == plain(rows, 12, 2000)

@@ -7,10 +7,12 @@ frequent where both phrases of one word less are); the union of what is
 frequent somewhere, less what its own local counts already rule out, is counted
 in all shards exactly. A shard is a run of texts of one task, of bounded size.
 
-Candidates travel as 64-bit hashes in a Bloom filter of bounded size; a phrase
-that passes is counted in every shard, so neither a collision nor a full filter
-changes a count. With more shards than the support every phrase is frequent in
-its shard: the work stays linear, though nothing is saved.
+Local counts travel as sorted, packed hashes of HASH bits, a few bytes a
+phrase, and candidates in a Bloom filter of bounded size; a phrase that passes
+is counted in every shard, so neither a collision nor a full filter changes a
+count. With more shards than the support every phrase is frequent in its shard:
+local counts are then complete and leave hardly a candidate too many, and the
+work stays linear.
 
 Defined results: null and empty texts have no words; a null language is `und`;
 repeated rows count as often as they occur; an empty table has no phrases;
@@ -18,6 +20,7 @@ columns other than those named are not read.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ from tracewright.llm.common import written
 MOST_WORDS, SUPPORT, TOP, SHARE, UNKNOWN = 5, 100, 2000, 100, "und"
 #: Bytes of text of a shard, and the local support to keep while the tables are small.
 SHARD_BYTES, LEAST_LOCAL = 24 << 20, 4
+#: Bits of a packed hash, and local counts of all shards that one task merges at a time.
+HASH, MERGED = 40, 1 << 20
 #: Bits of the candidate filter at most (16 MB).
 FILTER_BITS = 1 << 27
 #: A-Z to small letters; marks and line ends to a line end, tabs to blanks.
@@ -71,27 +76,38 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple
         yield [(k, b"\n".join(v)) for k, v in held.items()]
 
 
-def word_places(text: bytes) -> tuple[list[bytes], np.ndarray]:
-    """Words of a shard in order, and the number of the piece that each is in."""
+def _starts(text: bytes) -> np.ndarray:
+    """Places of the first bytes of words."""
     points = np.frombuffer(text, np.uint8)
-    blank = (points == 10) | (points == 32)
-    first = ~blank
-    first[1:] &= blank[:-1]
-    return text.split(), np.cumsum(points == 10, dtype=np.int32)[np.flatnonzero(first)]
+    first = (points != 10) & (points != 32)
+    first[1:] &= ~first[:-1]
+    return np.flatnonzero(first)
+
+
+def count_words(text: bytes) -> int:
+    return len(_starts(text))
+
+
+def word_places(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of a shard, the number of each word in order, and the number of the piece that each is in."""
+    number: dict[bytes, int] = {}
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in part.split()), np.int32) for part in _parts(text, 1 << 20)]
+    piece = np.cumsum(np.frombuffer(text, np.uint8) == 10, dtype=np.int32)[_starts(text)]
+    return list(number), np.concatenate(ids), piece
 
 
 def levels(text: bytes, lang: str, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = MOST_WORDS):
-    """(k, hashes, counts, first places, words) of the kept phrases of each length.
+    """(k, hashes, counts, places, words, ids) of the kept phrases of each length: words[ids[place:place + k]] is the phrase.
 
     keep: hashes and counts of all phrases of a length whose parts of one word less were kept -> which to keep.
     """
-    words, piece = word_places(text)
+    words, ids, piece = word_places(text)
     if not words:
         return
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
-    _, first, rank, counts = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    rank, counts = ids, np.bincount(ids, minlength=len(words))
+    at = np.zeros(len(words), np.int64)
+    at[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
     hashes = _mixed(own + np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))))
     places = np.arange(len(ids), dtype=np.int32)  # where a phrase of this length starts
     for k in range(1, most + 1):
@@ -102,13 +118,12 @@ def levels(text: bytes, lang: str, keep: Callable[[np.ndarray, np.ndarray], np.n
             go[go] = piece[places[go]] == piece[places[go] + (k - 1)]
             places = places[go]
             key = held[places].astype(np.int64) * len(hashes) + held[places + 1]
+            del held, go
             _, first, rank, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             at = places[first]
-            hashes = _mixed(hashes[held[at]] * _A + own[ids[at + (k - 1)]])
-        else:
-            at = first
+            hashes = _mixed(hashes[key[first] // len(hashes)] * _A + own[ids[at + (k - 1)]]) if len(at) else hashes[:0]
         chosen = keep(hashes, counts)
-        yield k, hashes[chosen], counts[chosen], at[chosen], words
+        yield k, hashes[chosen], counts[chosen], at[chosen], words, ids
         to = np.full(len(chosen), -1, np.int32)
         to[chosen] = np.arange(int(chosen.sum()), dtype=np.int32)
         rank = to[rank]
@@ -122,37 +137,81 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
 
-def word_counts(rows: DataFrame, limit: int = SHARD_BYTES) -> dict[str, tuple[int, int]]:
-    """Language -> words and bytes; one row per language reaches the driver."""
+def word_counts(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """lang, n: the words of each shard."""
     def count(batches):
         for shard in shards(batches, limit):
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in shard], pa.string()),
-                                              "n": pa.array([len(word_places(t)[1]) for _, t in shard], pa.int64()),
-                                              "size": pa.array([len(t) for _, t in shard], pa.int64())})
-    sums = rows.mapInArrow(count, "lang string, n long, size long").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    return {r.lang: (r.n, r["size"]) for r in sums.collect()}
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in shard], pa.string()), "n": pa.array([count_words(t) for _, t in shard], pa.int64())})
+    return rows.mapInArrow(count, "lang string, n long")
+
+
+def local_support(support: int, n: int, total: int) -> int:
+    return max(1, -(-support * n // max(1, total)))
 
 
-def mined(rows: DataFrame, totals: dict[str, int], support: int, limit: int = SHARD_BYTES, most: int = MOST_WORDS) -> DataFrame:
-    """Per phrase hash the sum over the shards in which it is frequent of (count - (local support - 1)), and per language,
-    with a null hash, the sum of (local support - 1) over all shards: what a phrase may have where it was not reported."""
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers below 2^32 with their low bytes first, so that bytes that are alike stand together."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def mined(rows: DataFrame, totals: dict[str, int], support: int, block_bits: int, limit: int = SHARD_BYTES, most: int = MOST_WORDS) -> DataFrame:
+    """block, hashes, gains of every shard: sorted hashes of the phrases that are frequent in it, in steps, and for each
+    count - (local support - 1). Blocks below 0 have a language's local support - 1."""
+    low = HASH - block_bits
+
     def mine(batches):
+        def row(blocks, hashes, gains, langs=None):
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(hashes, pa.binary()), pa.array(gains, pa.binary()),
+                                               pa.array(langs or [None] * len(blocks), pa.string())], ["block", "hashes", "gains", "lang"])
+        from pyspark import TaskContext
+        own_block = -1 - TaskContext.get().partitionId() % 1024
         for shard in shards(batches, limit):
             for lang, text in shard:
-                n = len(word_places(text)[1])
-                least = max(1, -(-support * n // max(1, totals[lang])))
-                yield pa.RecordBatch.from_pydict({"h": pa.array([None], pa.int64()), "lang": pa.array([lang], pa.string()), "gain": pa.array([least - 1], pa.int64())})
-                for _, hashes, counts, _, _ in levels(text, lang, lambda h, c: c >= least, most):  # noqa: B023
-                    for a in range(0, len(hashes), 100_000):
-                        own = hashes[a:a + 100_000].view(np.int64)
-                        yield pa.RecordBatch.from_pydict({"h": pa.array(own, pa.int64()), "lang": pa.nulls(len(own), pa.string()),
-                                                          "gain": pa.array(counts[a:a + 100_000] - (least - 1), pa.int64())})
-    return rows.mapInArrow(mine, "h long, lang string, gain long").groupBy("h", "lang").agg(F.sum("gain").alias("gain"))
-
-
-def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    own = hashes.view(np.uint64)
-    return own & np.uint64(size - 1), (own >> np.uint64(32)) * np.uint64(0x85EBCA6B) + np.uint64(1) & np.uint64(size - 1)
+                least = local_support(support, count_words(text), totals[lang])
+                yield row([own_block], [b""], [_packed(np.array([least - 1]))], [lang])
+                for _, hashes, counts, *_ in levels(text, lang, lambda h, c: c >= least, most):  # noqa: B023
+                    short = (hashes >> np.uint64(64 - HASH)).astype(np.int64)
+                    order = np.argsort(short)
+                    short, gains = short[order], np.minimum(counts[order] - (least - 1), support)
+                    block = short >> low
+                    cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+                    own = short & ((1 << low) - 1)
+                    parts = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                    for a in range(0, len(parts), 4096):
+                        some = parts[a:a + 4096]
+                        yield row([int(block[p.start]) for p in some], [_packed(np.diff(own[p], prepend=0)) for p in some], [_packed(gains[p]) for p in some])
+    return rows.mapInArrow(mine, "block int, hashes binary, gains binary, lang string")
+
+
+def candidates(local: DataFrame, slack: int, support: int, block_bits: int) -> DataFrame:
+    """h: hashes whose gains and what shards that did not report them may add reach the support. Rows with h null: lang and a part of its slack."""
+    low = HASH - block_bits
+
+    def merge(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        gains = np.concatenate([_unpacked(x) for x in table.column("gains").to_pylist()])
+        if block < 0:
+            langs = table.column("lang").to_pylist()
+            sums = Counter()
+            for lang, gain in zip(langs, gains.tolist()):
+                sums[lang] += gain
+            return pa.table({"h": pa.nulls(len(sums), pa.int64()), "lang": pa.array(list(sums), pa.string()), "slack": pa.array(list(sums.values()), pa.int64())})
+        hashes = np.concatenate([np.cumsum(_unpacked(x)) for x in table.column("hashes").to_pylist()])
+        own, of = np.unique(hashes, return_inverse=True)
+        chosen = np.bincount(of, gains) + slack >= support
+        n = int(chosen.sum())
+        return pa.table({"h": pa.array((block << low) + own[chosen], pa.int64()), "lang": pa.nulls(n, pa.string()), "slack": pa.nulls(n, pa.int64())})
+    return local.groupBy("block").applyInArrow(merge, "h long, lang string, slack long")
+
+
+def _bits(short: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    own = _mixed(short.astype(np.uint64) * _A)
+    return own & np.uint64(size - 1), own >> np.uint64(32) & np.uint64(size - 1)
 
 
 def candidate_filter(hashes: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
@@ -184,13 +243,13 @@ def counted(rows: DataFrame, words_of_filter: np.ndarray, limit: int = SHARD_BYT
         one = np.uint64(1)
 
         def keep(hashes, _):
-            a, b = _bits(hashes, size)
+            a, b = _bits(hashes >> np.uint64(64 - HASH), size)
             return ((bloom[a >> np.uint64(6)] >> (a & np.uint64(63))) & (bloom[b >> np.uint64(6)] >> (b & np.uint64(63))) & one).astype(bool)
         for shard in shards(batches, limit):
             for lang, text in shard:
-                for k, _, counts, at, words in levels(text, lang, keep, most):
+                for k, _, counts, at, words, ids in levels(text, lang, keep, most):
                     for a in range(0, len(at), 100_000):
-                        own = [b" ".join(words[p:p + k]).decode("utf-8", "replace") for p in at[a:a + 100_000].tolist()]
+                        own = [b" ".join([words[w] for w in p]).decode("utf-8", "replace") for p in ids[at[a:a + 100_000, None] + np.arange(k)].tolist()]
                         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "phrase": pa.array(own, pa.string()),
                                                           "words": pa.array([k] * len(own), pa.int32()), "n": pa.array(counts[a:a + 100_000], pa.int64())})
     return rows.mapInArrow(count, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
@@ -200,14 +259,21 @@ def frequent(docs: DataFrame, support: int = SUPPORT, most: int = MOST_WORDS, te
              shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, dict[str, int]]:
     """lang, phrase, words, n of all phrases of 1 to `most` words with n >= support, and the words of each language."""
     rows = _rows(docs, text_col, lang_col)
-    sums = word_counts(rows, shard_bytes)
-    totals = {k: n for k, (n, _) in sums.items()}
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # few large shards while the support allows it; beyond that shards of a bounded size
-    tasks = max(1, support // LEAST_LOCAL, -(-sum(s for _, s in sums.values()) // shard_bytes))
-    rows = rows.coalesce(tasks)
-    local = written(mined(rows, totals, support, shard_bytes, most), "phrases-mined")
-    slack = max((r.gain for r in local.filter("h is null").collect()), default=0)  # one row per language
-    bloom = candidate_filter(local.filter((F.col("h").isNotNull()) & (F.col("gain") + slack >= support)))
+    rows = rows.coalesce(max(1, support // LEAST_LOCAL, -(-size // shard_bytes)))
+    own = written(word_counts(rows, shard_bytes), "phrases-words")
+    totals = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
+    whole = F.sum("n").over(Window.partitionBy("lang"))
+    least = F.greatest(F.lit(1), F.ceil(F.lit(support) * F.col("n") / F.greatest(whole, F.lit(1))))
+    slack = own.withColumn("t", least).groupBy("lang").agg(F.sum(F.col("t")).alias("t"), F.count("*").alias("k")).agg(F.max(F.col("t") - F.col("k"))).first()[0] or 0
+    bits = min(24, max(8, (sum(totals.values()) * most // MERGED).bit_length()))
+    local = mined(rows, totals, support, bits, shard_bytes, most)
+    found = written(candidates(local, slack, support, bits), "phrases-candidates")
+    if (found.filter("h is null").groupBy("lang").agg(F.sum("slack").alias("slack")).agg(F.max("slack")).first()[0] or 0) > slack:
+        # rows came in another order than before, and so did the shards: nothing may be ruled out
+        found = written(candidates(local, support, support, bits), "phrases-candidates")
+    bloom = candidate_filter(found.filter("h is not null"))
     return written(counted(rows, bloom, shard_bytes, most).filter(F.col("n") >= support), "phrases"), totals
 
 

@@ -167,7 +167,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import toxicity
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.held_out()
-    model = toxicity.fit(toxicity.labelled_documents(docs, labels.filter(~out), ~out))
+    model = toxicity.fit(toxicity.labelled_documents(docs, labels, ~out))
     return toxicity.score(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
 
 

@@ -7,9 +7,9 @@ texts every identity term is swapped for others of its group, the group's
 neutral word among them, and the squared change of the score is a penalty. So a
 term that merely occurs beside toxic words gets no weight of its own.
 
-Which buckets tell labels apart is counted over all labelled documents, one
-count per task and bucket; the weights are fitted on LABELLED_ROWS of them at
-most, chosen by a hash of the text.
+The classifier, its choice of buckets included, is fitted on LABELLED_ROWS
+labelled documents at most, chosen by a hash of their id, so that texts are
+never shuffled; scores cover all rows.
 
 Defined results: null and empty texts are scored without features (the
 intercept alone); letters other than A-Z count as letters, case is folded; a
@@ -116,11 +116,15 @@ def swapped(words: Counter, groups, shift: int) -> Counter | None:
     return +out if changed else None
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """text, toxic (0 or 1) of the chosen documents that have a label."""
-    known = (labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic")).filter("id is not null and toxic is not null")
-             .groupBy("id").agg(F.max("toxic").alias("toxic")))
-    return docs.filter(chosen).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").select("text", "toxic")
+def labelled_documents(docs: DataFrame, labels: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+                        most: int = LABELLED_ROWS) -> DataFrame:
+    """text, toxic (0 or 1) of the chosen documents with a label, those of `most` labelled ids at most."""
+    known = written(labels.filter(chosen).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("toxic"))
+                    .filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic")), "toxicity-labels")
+    share = min(1.0, 0.97 * most / max(1, known.count()))
+    picked = known.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(most)
+    rows = docs.filter(chosen).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.join(F.broadcast(picked), "id").select("text", "toxic")
 
 
 def bucket_counts(labelled: DataFrame) -> DataFrame:
@@ -190,8 +194,8 @@ def _minimum(rows, changes, labels: np.ndarray, d: int, penalty: float) -> tuple
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, penalty: float = PENALTY, groups=IDENTITY_GROUPS, most: int = LABELLED_ROWS) -> Model:
-    """A model from text, toxic. What reaches the driver: FEATURES counts and the sparse rows of at most `most` documents."""
+def fit(labelled: DataFrame, penalty: float = PENALTY, groups=IDENTITY_GROUPS) -> Model:
+    """A model from text, toxic, a bounded number of rows. What reaches the driver: FEATURES counts and the rows' sparse features."""
     labelled = written(labelled, "toxicity-labelled")
     counts = written(bucket_counts(labelled), "toxicity-buckets")
     whole = counts.filter("bucket = -1").first()
@@ -211,9 +215,7 @@ def fit(labelled: DataFrame, penalty: float = PENALTY, groups=IDENTITY_GROUPS, m
     buckets = np.array(sorted({r.bucket for r in best} | {r.bucket for r in seen}), np.int64)
     if not len(buckets):
         return Model(share=share)
-    # about `most` rows of all by a hash of their text, and never more
-    picked = labelled.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, 0.97 * most / n) * 1_000_000)).limit(most)
-    found = _vectors(picked, buckets, groups).toArrow()
+    found = _vectors(labelled, buckets, groups).toArrow()
     kind, label = found.column("kind").to_numpy(), found.column("label").to_numpy()
 
     def flat(chosen):
