@@ -24,6 +24,7 @@ from tracewright.operators.checks import finding
 from tracewright.operators.joins import bounded
 from tracewright.operators.keys import split_keys
 from tracewright.operators.ordered import with_previous
+from tracewright.operators.ranges import extent_between, rows_between
 from tracewright.plans.checkpointing import checkpoints_in_range, newest_at_or_before
 from tracewright.plans.verify import Verification, _emit, verify_streams
 from tracewright.schemas import CONTEXT_KEY, STREAM_KEY
@@ -34,6 +35,8 @@ from tracewright.sources.sinks import checkpoint_line, key_line, record_line
 FORMAT_VERSION = 1
 PARTS = ["chain", "events", "checkpoints", "public-keys", "verification"]
 BATCH_ROWS = 1000
+#: Bytes read at a time for a digest, and the stores that tasks open by themselves.
+DIGEST_BLOCK, TASK_STORES = 4 << 20, ("file", "hdfs", "s3", "gs")
 _FILTERS = {"actorId": "actor_id", "action": "action", "resourceType": "resource_type", "resourceId": "resource_id"}
 _SELECTION = ("fromSequence bigint, toSequence bigint, recordedFrom string, recordedTo string, "
               "filters map<string,string>, disclosedEvents bigint")
@@ -84,17 +87,15 @@ def select_ranges(selections: DataFrame, events: DataFrame, streams: DataFrame)
     """Selections with first and last sequence, or an error.
 
     ``selections``: selection_id, stream key, since, until (canonical texts),
-    from_sequence, to_sequence. Windows of time are answered by one pass over
-    (stream, recorded_at, sequence) with the selections as the small side.
+    from_sequence, to_sequence. Windows of time are answered from (stream,
+    recorded_at, sequence) in one order with their borders, see `extent_between`.
     """
     checked = selections.withColumn("error", selection_errors()) \
         .join(streams.select(*STREAM_KEY, "head_sequence"), STREAM_KEY, "left")
     timed = checked.where("error IS NULL AND (since IS NOT NULL OR until IS NOT NULL)").select(
         "selection_id", *STREAM_KEY, "since", "until")
-    inside = events.select(*STREAM_KEY, "sequence", "recorded_at").join(bounded(timed), STREAM_KEY).where(
-        (F.col("since").isNull() | (F.col("recorded_at") >= F.col("since")))
-        & (F.col("until").isNull() | (F.col("recorded_at") < F.col("until"))))
-    spans = inside.groupBy("selection_id").agg(F.min("sequence").alias("_lo"), F.max("sequence").alias("_hi"))
+    spans = extent_between(events, timed, STREAM_KEY, "recorded_at", "sequence", "since", "until", "selection_id") \
+        .withColumnsRenamed({"least": "_lo", "greatest": "_hi"})
     out = checked.join(spans, "selection_id", "left")
     by_time = F.col("since").isNotNull() | F.col("until").isNotNull()
     first = F.when(by_time, F.col("_lo")).otherwise(F.coalesce("from_sequence", F.lit(1)))
@@ -111,9 +112,8 @@ def export_rows(ranges: DataFrame, events: DataFrame, checkpoints: DataFrame, fi
     usable = ranges.where("error IS NULL").withColumn("from_sequence", F.col("first_sequence")) \
         .withColumn("to_sequence", F.col("last_sequence"))
     anchors = newest_at_or_before(usable.select("selection_id", *STREAM_KEY, "from_sequence", "to_sequence"), checkpoints)
-    side = bounded(anchors.select("selection_id", *STREAM_KEY, "from_sequence", "to_sequence", "anchor_sequence"))
-    segment = events.join(side, STREAM_KEY).where(
-        (F.col("sequence") > F.col("anchor_sequence")) & (F.col("sequence") <= F.col("to_sequence")))
+    side = anchors.select("selection_id", *STREAM_KEY, "from_sequence", "to_sequence", "anchor_sequence")
+    segment = rows_between(events, side, STREAM_KEY, "sequence", "anchor_sequence", "to_sequence")
     disclosed = disclosure_filter(segment.where(F.col("sequence") >= F.col("from_sequence")), filters)
     extra = ["from_sequence", "to_sequence", "anchor_sequence"]
     within = checkpoints_in_range(side, checkpoints).drop(*extra)
@@ -133,15 +133,49 @@ def _write_lines(df: DataFrame, line: Column, path: str, order: list[str] | None
     df.select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
+def _running_digests(batches):
+    """Size and SHA-256 of files, read in blocks: a file of any size takes the memory of one block."""
+    import hashlib
+    from urllib.parse import unquote, urlsplit
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        sums, sizes = [], []
+        for uri in batch.column(0).to_pylist():
+            local = uri.startswith("file:")
+            store, own = (fs.LocalFileSystem(), unquote(urlsplit(uri).path)) if local else fs.FileSystem.from_uri(uri)
+            running, size = hashlib.sha256(), 0
+            with store.open_input_stream(own) as data:
+                while block := data.read(DIGEST_BLOCK):
+                    running.update(block)
+                    size += len(block)
+            sums.append(running.hexdigest())
+            sizes.append(size)
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums, pa.string()), pa.array(sizes, pa.int64())], ["path", "sha256", "size"])
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """path (relative), size and SHA-256 of every data file below a directory."""
+    """path (relative), SHA-256 and size of every data file below a directory, empty ones too.
+
+    The driver knows the files' names, tasks read them block by block. Stores
+    that tasks cannot open by themselves are read by Spark, a file a row.
+    """
+    from urllib.parse import unquote, urlsplit
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = fs.makeQualified(root).toUri().getPath().rstrip("/") + "/"
-    relative = F.expr(f"substring_index(path, '{base}', -1)")
-    return raw.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")) \
-        .where(~F.col("path").rlike(r"(^|/)[._]"))
+    named = [(uri, unquote(urlsplit(uri).path).removeprefix(base)) for uri in raw.inputFiles()]
+    shown = [(uri, name) for uri, name in named if not any(part.startswith((".", "_")) for part in name.split("/"))]
+    files = spark.createDataFrame(shown, "uri string, path string")
+    if fs.getScheme() in TASK_STORES:
+        dealt = files.repartition(max(1, min(len(shown), spark.sparkContext.defaultParallelism * 8)), "uri")
+        return dealt.mapInArrow(_running_digests, "path string, sha256 string, size long")
+    found = raw.select(F.expr(f"substring_index(path, '{base}', -1)").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    return files.select("path").join(found, "path", "left").select(                      # Spark has no row for an empty file
+        "path", F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("sha256"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
 
 def manifest_hash(manifest: Column, tags: Tags) -> Column:

@@ -265,3 +265,115 @@ def c26(spark, sf):
     path = _dataset(spark, sf, {})
     found = evidence.verify_evidence(spark, path, data.keys(spark).where(F.col("key_id") == data.KEY["a"])).findings()
     return found.where("severity = 'error'").groupBy("code").agg(F.count(F.lit(1)).alias("findings"))
+
+
+# ---- many selections, whole streams, files -----------------------------------
+
+def _many(spark, sf) -> DataFrame:
+    """A selection per order: a window of time in a stream, from minutes to the whole time, many over one another."""
+    n, names = F.col("o_orderkey"), data.streams(spark, sf).agg(F.array_sort(F.collect_list("stream")).alias("names"))   # five streams
+    at = lambda c: F.date_format(F.timestamp_add("MINUTE", c.cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    rows = data.raw(spark, sf, "orders").select("o_orderkey").join(F.broadcast(names))
+    start, width = n * 37 % 43200, F.when(n % 3 == 0, n % 50).when(n % 3 == 1, n % 2000).otherwise(n % 50000)
+    return rows.select(n.cast("string").alias("selection_id"), F.lit(data.TENANT).alias("tenant_id"), F.lit(data.PROJECT).alias("project_id"),
+                       F.when(n % 4 < 2, F.lit("click")).otherwise(F.element_at("names", (n % F.size("names") + 1).cast("int"))).alias("stream"),
+                       F.when(n % 11 != 0, at(start)).alias("since"), at(start + width + 1).alias("until"),
+                       F.lit(None).cast("long").alias("from_sequence"), F.lit(None).cast("long").alias("to_sequence"))
+
+
+_MANY = WITH_AV + """, names AS (SELECT list(DISTINCT stream ORDER BY stream) AS names FROM av),
+  raw_sel AS (SELECT o_orderkey AS n, names, o_orderkey * 37 % 43200 AS start, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 50 WHEN 1 THEN o_orderkey % 2000
+    ELSE o_orderkey % 50000 END AS width FROM orders, names),
+  many AS (SELECT n::VARCHAR AS selection_id, CASE WHEN n % 4 < 2 THEN 'click' ELSE names[n % len(names) + 1] END AS stream,
+    CASE WHEN n % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(start::BIGINT) END AS since,
+    TIMESTAMP '2024-01-01' + to_minutes((start + width + 1)::BIGINT) AS until FROM raw_sel),
+  many_ranges AS (SELECT selection_id, m.stream, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM many m LEFT JOIN av a
+    ON a.stream = m.stream AND (since IS NULL OR a.ts >= since) AND a.ts < until GROUP BY ALL)"""
+
+
+@query("k08_many_time_selections", _MANY + """ SELECT selection_id, stream, first_sequence, last_sequence,
+  CASE WHEN first_sequence IS NULL THEN 'the selection contains no events' END AS error FROM many_ranges""")
+def k08_many(spark, sf):
+    return evidence.select_ranges(_many(spark, sf), data.chain(spark, sf), data.streams(spark, sf)).drop("tenant_id", "project_id")
+
+
+@query("k09_many_exports", _MANY + """ SELECT selection_id, count(*) AS chain_events, count(*) FILTER (WHERE sequence >= first_sequence) AS disclosed
+  FROM (SELECT *, (first_sequence - 1) // 50 * 50 AS anchor FROM many_ranges WHERE first_sequence IS NOT NULL AND last_sequence - first_sequence < 500) s
+  JOIN av a ON a.stream = s.stream AND a.sequence > anchor AND a.sequence <= last_sequence GROUP BY selection_id""")
+def k09_many(spark, sf):
+    """Events of every selection's segment, which starts behind its anchor; for windows of at most 500 sequences."""
+    ranges = durable(evidence.select_ranges(_many(spark, sf), data.chain(spark, sf), data.streams(spark, sf)).where("last_sequence - first_sequence < 500"))
+    rows = evidence.export_rows(ranges, data.chain(spark, sf), data.checkpoints(spark, sf), {})
+    total = rows["chain"].groupBy("selection_id").agg(F.count(F.lit(1)).alias("chain_events"))
+    return total.join(rows["events"].groupBy("selection_id").agg(F.count(F.lit(1)).alias("disclosed")), "selection_id")
+
+
+def _at_once(job, items) -> list:
+    """Jobs on small packages one beside the other; each alone leaves most cores idle."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(job, items))
+
+
+def _whole_streams(spark, sf) -> dict[str, str]:
+    """A dataset per stream with all its records; one package each, as a package is of one stream."""
+    def make():
+        streams, chain, checkpoints = data.streams(spark, sf), data.chain(spark, sf), data.checkpoints(spark, sf)
+
+        def export(stream):
+            path = f"{checkpoint_root(spark)}/evidence-{uuid.uuid4().hex}"
+            selection = streams.where(F.col("stream") == stream).selectExpr(
+                "'all' as selection_id", *STREAM_KEY, f"{_TEXT} as since", f"{_TEXT} as until", "1L as from_sequence", "cast(null as long) as to_sequence")
+            evidence.export_evidence(
+                spark, path, selection=selection, events=chain.where(F.col("stream") == stream), streams=streams, checkpoints=checkpoints,
+                keys=data.keys(spark), package=evidence.Package("exp_" + stream, data.NOW), seeds=data.SEEDS, key_id=data.KEY["b"])
+            return stream, path
+        return dict(_at_once(export, sorted(r.stream for r in streams.select("stream").collect())))
+    return data.once(spark, sf, "whole_streams", make)
+
+
+def _all(frames) -> DataFrame:
+    from functools import reduce
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query("k10_verify_whole_streams", WITH_AV + """ SELECT stream, count(*) AS events_checked, count(*) AS payloads_checked, 1 AS first_sequence, max(sequence) AS last_sequence,
+  0 AS failure_count, 'valid' AS package, count(*) FILTER (WHERE sequence % 50 = 0) AS checkpoints_verified FROM av GROUP BY stream""", longs="first_sequence failure_count")
+def k10_whole(spark, sf):
+    paths, trusted = _whole_streams(spark, sf), data.keys(spark)
+    return _all(_at_once(lambda path: durable(evidence.verify_evidence(spark, path, trusted).verification.reports().select(
+        F.col("ctx_stream").alias("stream"), "events_checked", "payloads_checked", "first_sequence", "last_sequence",
+        "failure_count", "package", "checkpoints_verified")), paths.values()))
+
+
+@query("s11_write_whole_streams", CHAIN + """ SELECT stream, sequence, event_hash, content FROM chain""")
+def s11_whole(spark, sf):
+    return _all(read_record_jsonl(spark, f"{path}/events").where("error IS NULL").select("stream", "sequence", "event_hash", "content")
+                for path in _whole_streams(spark, sf).values())
+
+
+@query("s12_read_whole_streams", WITH_AV + """ SELECT stream, part, true AS equal FROM (SELECT DISTINCT stream FROM av),
+  (VALUES ('chain'), ('checkpoints'), ('events'), ('public-keys')) t(part)""")
+def s12_whole(spark, sf):
+    """Every file of every package against its manifest entry."""
+    def one(stream, path):
+        listed = spark.read.schema(evidence.MANIFEST_SCHEMA).json(f"{path}/manifest").select(F.explode("files").alias("e")).select("e.*")
+        both = listed.join(evidence.digests(spark, path).select("path", F.struct("sha256", "size").alias("found")), "path", "left")
+        return both.groupBy(F.substring_index("path", "/", 1).alias("part")).agg(F.every(F.struct("sha256", "size").eqNullSafe(F.col("found"))).alias("equal")) \
+            .select(F.lit(stream).alias("stream"), "part", "equal")
+    return _all(one(stream, path) for stream, path in _whole_streams(spark, sf).items())
+
+
+@query("s13_anchor_files", WITH_AV + """ SELECT stream, sequence, 1 AS anchored, 1 AS failed, 1 AS files FROM av WHERE sequence % 50 = 0""", longs="anchored failed files")
+def s13_files(spark, sf):
+    """Two runs at once over the same checkpoints: each is anchored by one of them, in one file."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tracewright.sources.anchors import anchor_files
+    path, cps = _place(spark, "anchor-files"), data.checkpoints(spark, sf)
+    with ThreadPoolExecutor(2) as pool:
+        runs = list(pool.map(lambda _: anchor_files(cps, path), range(2)))
+    status = runs[0].unionByName(runs[1]).groupBy("checkpoint_id").agg(
+        F.count_if(F.col("status") == "anchored").alias("anchored"), F.count_if(F.col("status") == "failed").alias("failed"))
+    files = read_witnesses(spark, f"{path}/*/*/*/*.json", None).groupBy("checkpoint_id").agg(F.count(F.lit(1)).alias("files"))
+    return cps.select("checkpoint_id", "stream", "sequence").join(status, "checkpoint_id").join(files, "checkpoint_id").drop("checkpoint_id")

@@ -77,6 +77,59 @@ def s10(spark, sf):
     return read_chain(spark, path, data.TENANT, data.PROJECT).select("stream", "sequence", "event_hash")
 
 
+@query("s10_append_batches", CHAIN + " SELECT stream, sequence, event_hash FROM chain")
+def s10_batches(spark, sf):
+    """Two batches, each brought twice, and one that died before it was published."""
+    from tracewright.schemas import EVENTS
+    from tracewright.session import checkpoint_root
+    from tracewright.sources import commits
+    import uuid
+    path = f"{checkpoint_root(spark)}/batches-{uuid.uuid4().hex}"
+    events = data.chain(spark, sf)
+    parts = {"first": events.where("sequence <= 100"), "rest": events.where("sequence > 100")}
+    commits.stage(path, {"events": parts["first"]})
+    for _ in range(2):
+        for name, rows in parts.items():
+            commits.append_batch(spark, path, name, rows)
+    return commits.committed(spark, path, "events", EVENTS).select("stream", "sequence", "event_hash")
+
+
+def _appended_runs(spark, sf) -> str:
+    """Both recorded runs as commits: the first one died once before, the second is repeated."""
+    from tracewright.session import checkpoint_root
+    from tracewright.sources import commits
+    import uuid
+
+    def make():
+        path = f"{checkpoint_root(spark)}/recorded-{uuid.uuid4().hex}"
+        runs, results = data.run_tables(spark, sf)
+        for name in ("vrf_1", "vrf_2", "vrf_2"):
+            own = F.col("run_id") == name
+            if name == "vrf_1":
+                commits.stage(path, {"runs": runs.where(own)})
+            commits.append_run(spark, path, runs.where(own), results.where(own), name)
+        return path
+    return data.once(spark, sf, "recorded", make)
+
+
+_RUN_SQL = "WITH " + PRESENT + """, c AS (SELECT count(*) AS n FROM av), p AS (SELECT count(*) AS n FROM present)
+  SELECT 'vrf_1' AS run_id, 'passed' AS status, (SELECT count(*) FROM heads) AS streams_checked, (SELECT n FROM c) AS events_checked
+  UNION ALL SELECT 'vrf_2', 'failed', (SELECT count(*) FROM heads), (SELECT n FROM p)"""
+
+
+@query("s14_append_runs", _RUN_SQL)
+def s14_appended(spark, sf):
+    from tracewright.sources import commits
+    return commits.committed(spark, _appended_runs(spark, sf), "runs", data.run_tables(spark, sf)[0].schema).select("run_id", "status", "streams_checked", "events_checked")
+
+
+@query("s14_append_results", "WITH " + PRESENT + ", " + FIRST_BAD + """ SELECT 'vrf_1' AS run_id, stream, true AS valid, head_sequence AS last_sequence FROM heads
+  UNION ALL SELECT 'vrf_2', stream, false, last_sequence FROM first_bad""")
+def s14_appended_results(spark, sf):
+    from tracewright.sources import commits
+    return commits.committed(spark, _appended_runs(spark, sf), "results", data.run_tables(spark, sf)[1].schema).select("run_id", "stream", "valid", "last_sequence")
+
+
 @query("s14_record_run", "WITH " + PRESENT + f""", c AS (SELECT count(*) AS n FROM av), p AS (SELECT count(*) AS n FROM present)
   SELECT 'vrf_1' AS run_id, 'passed' AS status, (SELECT count(*) FROM heads) AS streams_checked, (SELECT n FROM c) AS events_checked
   UNION ALL SELECT 'vrf_2', 'failed', (SELECT count(*) FROM heads), (SELECT n FROM p)""")
