@@ -208,10 +208,61 @@ def test_sql_agrees(spark):
     import duckdb
     from tracewright.llm.queries import ORACLES, QUERIES
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, "/root/testdata/sf0.001")
         want = con.execute(sql).fetchall()
         columns = [d[0] for d in con.description]
         assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, want)), name
+
+
+def test_long_texts_with_many_matches_and_names(spark, monkeypatch):
+    import random
+    import time
+    rng = random.Random(2)
+    keys = ["".join(rng.choice("abcdefghijkLMNOPQ0123456789") for _ in range(20)) + "7" for _ in range(500)]
+    pieces, places, at = [], [], 0
+    for i in range(60_000):
+        word = "w" * rng.randrange(3, 40) + (" é " if i % 3 else " tion/ers/")
+        at += len(word)
+        pieces.append(word)
+        places.append(at)
+        pieces.append(keys[i % 500])
+        at += 21
+        pieces.append(" ")
+        at += 1
+    many, deep = "".join(pieces), "see " + "abcd/" * 100_000 + keys[0] + " and token=" + keys[1]
+    short = "see " + "abcd/" * 3000 + "abc9"
+    docs = spark.createDataFrame([(1, many, "a"), (2, deep, "b"), (3, short, "c"), (4, "abc/" * 500 + "x", None)], "doc_id long, text string, source string")
+    before = time.monotonic()
+    found = secret_scan.with_candidates(docs).select("doc_id", "start", "value", "left").collect()
+    assert time.monotonic() - before < 120
+    got = sorted(r.start for r in found if r.doc_id == 1)
+    assert got == places and all(many[r.start:r.start + len(r.value)] == r.value for r in found if r.doc_id == 1)
+    assert sorted((r.start, r.value) for r in found if r.doc_id == 2) == [(4 + 500_000, keys[0]), (len(deep) - 21, keys[1])]
+    assert not [r for r in found if r.doc_id > 2]
+    monkeypatch.setattr(secret_scan, "EVERYWHERE", 10**6)
+    monkeypatch.setattr(secret_scan, "scan", lambda docs, forest, *cols: secret_scan.with_candidates(docs, *cols).withColumn("secret", F.lit(True)))
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs, None).collect()}
+    import re
+    assert masked[1] == re.sub("|".join(keys), "[SECRET]", many)
+    assert masked[2] == deep.replace(keys[0], "[SECRET]").replace(keys[1], "[SECRET]") and masked[3] == short
+
+
+HELPERS = ["key", "row", "of", "nths", "values", "t", "gaps", "parts", "pieces", "clean", "found", "heads", "pairs", "split", "sizes", "inner", "bases", "_key", "_id", "_places",
+           "_values", "_kept_id", "_kept_digest", "_lang", "_score", "doc_id_", "nth", "start", "value", "left", "right", "path", "digest", "keep_id", "chars", "component_id", "rep", "n",
+           "label", "score", "lang_pred", "features", "secret", "group_size", "kept", "piece", "length", "ids_crc32", "sequence_id", "offset", "gap"]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    import corpus_pipeline
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = base.withColumns({c: F.concat(F.lit(c + "-"), F.col("doc_id").cast("string")) for c in HELPERS})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.select("doc_id", *HELPERS).collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in HELPERS), name
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, base, "").select("doc_id").collect()), name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() > 0

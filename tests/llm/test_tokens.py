@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracewright.llm import byte_bpe, packing, token_files
-from tracewright.llm.tokens import LibraryEncoder, WordCache, split_words
+from tracewright.llm.tokens import LibraryEncoder, TextEncoder, WordCache, arrow_slices, split_words
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -51,6 +51,43 @@ def test_cached_ids_are_those_of_the_library(odd_texts, library, limit):
             assert np.frombuffer(ids, "<u2").tolist() == library(text), repr(text[:80])
 
 
+MARKED = ["<|endoftext|>", "a <|endoftext|> x", "a  <|endoftext|><|endoftext|>  b", "<|endoftext", "x<|endoftext|>'s y", " <|endoftext|> ", "é<|endoftext|>é <|endoftext|"]
+
+
+@pytest.mark.parametrize("as_loaded", [False, True])
+@pytest.mark.parametrize("limit", [1_000_000, 50])
+def test_gathered_ids_are_those_of_the_library(odd_texts, as_loaded, limit):
+    t = Tokenizer.from_file(VOCAB)
+    t.encode_special_tokens = not as_loaded
+    encode, texts = TextEncoder(VOCAB, "<u2", as_loaded, limit), [*MARKED, *odd_texts, *MARKED]
+    assert any(50256 in t.encode(x, add_special_tokens=False).ids for x in texts) == as_loaded
+    for a in range(0, len(texts), 97):
+        for text, ids in zip(texts[a:a + 97], encode(texts[a:a + 97]), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text[:80])
+    assert encode([]) == [] and len(encode.young) <= max(limit, 200)
+
+
+def test_arrow_slices_cover_all_rows():
+    import pyarrow as pa
+    texts = pa.array(["", "x" * 10, "é" * 30, "", "a", "b" * 5, ""], pa.string())
+    for size in (1, 7, 12, 1000):
+        cuts = list(arrow_slices(texts.slice(1), size))
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(6))
+    assert list(arrow_slices(texts.slice(0, 0))) == []
+
+
+def test_queries_follow_the_library_on_added_tokens(spark, tmp_path):
+    t = Tokenizer.from_file(VOCAB)
+    docs = spark.createDataFrame(list(enumerate([*MARKED, None])), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    from tracewright.llm.queries import QUERIES
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate([*MARKED, ""])}
+    files = {r.doc_id: r.ids_crc32 for r in QUERIES["op8_token_files"](spark, str(tmp_path)).collect()}
+    packed = {r.doc_id: r.ids_crc32 for r in QUERIES["op7_best_fit_packing"](spark, str(tmp_path)).collect()}
+    assert files == {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in want.items()}
+    assert packed == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in want.items()}
+
+
 def test_token_files_hold_all_ids_in_order(spark, table, library, tmp_path):
     folder, manifest = token_files.write_tokens(table, VOCAB, 0, str(tmp_path / "tokens"))
     got = token_files.read_tokens(folder, manifest).orderBy("start").collect()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.session import checkpoint_root, written
 
-__all__ = ["checkpoint_root", "written", "table", "text_or_empty", "arrow_rows", "binom_floor"]
+__all__ = ["checkpoint_root", "written", "table", "text_or_empty", "arrow_rows", "binom_floor", "free_names"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of `docs` has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def binom_floor(k: int, p: float, risk: float) -> int:
     """The largest c for which k draws with chance p give fewer than c hits at most with chance `risk`."""
     below, term = 0.0, (1 - p) ** k

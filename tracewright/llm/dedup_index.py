@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import checkpoint_root, text_or_empty, written
+from tracewright.llm.common import free_names, checkpoint_root, text_or_empty, written
 
 #: Characters that do not count: space and the five controls from tab to return.
 IGNORED = r"[\x20\x09-\x0D]+"
@@ -89,7 +89,8 @@ def add(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_col: s
 def keep_new(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose text is neither in the index nor a lesser copy of another row; all columns as they are."""
     index = index or DigestIndex(docs.sparkSession)
-    kept = written(add(index, docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct(), "kept")
+    own_id, own_digest = free_names(docs, "_kept_id", "_kept_digest")
+    kept = written(add(index, docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest)).distinct(), "kept")
     digest = F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), IGNORED, ""), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest"))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (digest == F.col(own_digest))
     return docs.join(kept, same, "left_semi")

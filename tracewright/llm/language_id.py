@@ -29,6 +29,8 @@ DIMENSIONS, SEED, UNKNOWN = 1024, 20_17, "und"
 SYMBOLS = 64
 _OWN = 27
 CODES = SYMBOLS ** 3
+#: Trigrams, and rows, whose vectors are held at a time.
+BLOCK = 4096
 _table: list[np.ndarray] = []
 
 
@@ -69,6 +71,13 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     return np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
 
 
+def _row_slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Slices of bounded characters and rows."""
+    for a, b in slices(texts, 1 << 19):
+        for x in range(a, b, BLOCK):
+            yield x, min(x + BLOCK, b)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -107,7 +116,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text",
              lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the predicted language and its cosine (0 where negative)."""
+    """Adds the predicted language and its cosine (0 where negative). A table that has columns of these names is refused."""
+    taken = {lang_pred.lower(), score.lower()} & {c.lower() for c in docs.columns}
+    if taken:
+        raise ValueError(f"the table already has {sorted(taken)}; name other result columns")
     names = sorted(prototypes)
     unit = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-300) for n in names], np.float32).reshape(-1, DIMENSIONS)
 
@@ -115,20 +127,28 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
         place = np.zeros(CODES, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for a, b in slices(texts, 1 << 20):
+            for a, b in _row_slices(texts):
                 row, code = trigrams(texts[a:b])
                 used = np.flatnonzero(np.bincount(code, minlength=CODES))
                 place[used] = np.arange(len(used))
-                vectors = trigram_vectors(used).astype(np.float32)
                 starts = np.searchsorted(row, np.arange(b - a + 1))
                 best, cosine = [UNKNOWN] * (b - a), np.zeros(b - a)
-                step = max(1, (1 << 20) // max(1, len(used)))
-                for x in range(0, b - a, step) if names and len(used) else ():
-                    y = min(x + step, b - a)
-                    lo, hi = starts[x], starts[y]
-                    cells = (row[lo:hi] - x) * len(used) + place[code[lo:hi]]
-                    counts = np.bincount(cells, minlength=(y - x) * len(used)).reshape(y - x, -1).astype(np.float32)
-                    bundle = counts @ vectors
+                # blocks of trigrams and of rows, so that neither many letters nor many rows need more memory
+                bundles = np.zeros((b - a, DIMENSIONS), np.float32) if names and len(used) else None
+                for u in range(0, len(used), BLOCK) if bundles is not None else ():
+                    width = min(BLOCK, len(used) - u)
+                    vectors = trigram_vectors(used[u:u + width]).astype(np.float32)
+                    spots = place[code] - u
+                    inside = np.flatnonzero((spots >= 0) & (spots < width)) if len(used) > BLOCK else slice(None)
+                    rows_in, spots = row[inside], spots[inside]
+                    step = max(1, (1 << 20) // width)
+                    edges = np.searchsorted(rows_in, np.arange(0, b - a + step, step))
+                    for x, lo, hi in zip(range(0, b - a, step), edges[:-1].tolist(), edges[1:].tolist()):
+                        y = min(x + step, b - a)
+                        counts = np.bincount((rows_in[lo:hi] - x) * width + spots[lo:hi], minlength=(y - x) * width).reshape(y - x, -1).astype(np.float32)
+                        bundles[x:y] += counts @ vectors
+                for x in range(0, b - a, BLOCK) if bundles is not None else ():
+                    y, bundle = min(x + BLOCK, b - a), bundles[x:x + BLOCK]
                     sims = bundle @ unit.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-30)
                     pick = sims.argmax(1)
                     for i in np.flatnonzero(np.diff(starts[x:y + 1])).tolist():

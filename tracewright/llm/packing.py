@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import text_or_empty, written
-from tracewright.llm.tokens import LibraryEncoder, slices
+from tracewright.llm.tokens import TextEncoder, arrow_slices
 
 SIZE = 1024
 #: Pieces that one task packs.
@@ -37,15 +37,15 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(s, size) for s in range(first, n, size)]
 
 
-def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, size: int = SIZE, with_ids: bool = False) -> DataFrame:
-    """One row per piece of every document; with_ids adds the ids (binary, unsigned 32-bit little-endian)."""
+def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, size: int = SIZE, with_ids: bool = False, as_loaded: bool = False) -> DataFrame:
+    """One row per piece of every document; with_ids adds the ids (binary, unsigned 32-bit little-endian). as_loaded: see TextEncoder."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = LibraryEncoder.cached(vocab_path, "<u2")
+        encode = TextEncoder(vocab_path, "<u2", as_loaded)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in arrow_slices(texts):
                 rows = []
-                for key, made in zip(keys[a:b], encode(texts[a:b])):
+                for key, made in zip(keys[a:b], encode(texts.slice(a, b - a))):
                     ids = np.append(np.frombuffer(made, "<u2").astype("<u4"), np.uint32(end_id))
                     for i, (start, n) in enumerate(cut(len(ids), size)):
                         own = ids[start:start + n].tobytes()
@@ -118,7 +118,7 @@ def pack(found: DataFrame, size: int = SIZE, group_pieces: int = GROUP_PIECES) -
         # fixed orders, so that a repeated task packs alike: the largest first, in the next round mixed
         mixed = F.xxhash64("doc_id", "piece")
         order = [mixed] if turn % 2 else [F.col("length").desc(), mixed]
-        dealt = rows.repartition(n, F.pmod(mixed, F.lit(n))).sortWithinPartitions(*order, "doc_id", "piece", "ids_crc32")
+        dealt = rows.repartition(n, "doc_id", "piece").sortWithinPartitions(*order, "doc_id", "piece", "ids_crc32")
         return written(dealt.mapInArrow(_packer(size, turn), schema), "packed")
 
     full, left = None, found

@@ -86,13 +86,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import packing
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), as_loaded=True))
 
 
 @query("op8_token_files")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm import token_files
-    folder, manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+    folder, manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, as_loaded=True)
     back = token_files.read_tokens(folder, manifest)
     return back.select("doc_id", "start", "n_tokens", token_files.crc32_of("ids").alias("ids_crc32"))
 

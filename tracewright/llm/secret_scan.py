@@ -43,27 +43,64 @@ KEY = "A-Za-z0-9_+/-"
 _ASSIGNED = (rf"((?i:{SECRET_WORDS})[A-Za-z0-9_.-]{{0,24}}[\"'`\]]{{0,2}}[ \t]{{0,4}}(?:=>|:=|[=:])[ \t]{{0,4}}(?:(?i:bearer|basic|token)[ \t]{{1,4}})?[\"'`]?)"
              r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=`)[^`\r\n]+(?=`)|[^\s\"'`,;&<>(){}\[\]]+)")
 #: A run that stands alone, after names with a / (group 2), with its padding.
-_RUN = (rf"(?<![{KEY}])((?>(?:/{{0,2}}(?:[A-Za-z][a-z_-]{{2,}}/)+)?+))"
-        rf"(?:(?=[A-Za-z_+/-]*[0-9])|(?=[A-Z_+/-]*[a-z][a-z_+/-]*[A-Z]))[{KEY}]{{16,}}={{0,2}}")
+#: Of its names the pattern takes NAMES at most, as each costs stack of the matcher; further ones are cut off afterwards.
+NAMES = 300
+_NAME = "[A-Za-z][a-z_-]{2,}"
+_REST = rf"(?:(?=[A-Za-z_+/-]*[0-9])|(?=[A-Z_+/-]*[a-z][a-z_+/-]*[A-Z]))[{KEY}]{{16,}}={{0,2}}"
+_RUN = rf"(?<![{KEY}])((?>(?:/{{0,2}}(?:{_NAME}/){{1,{NAMES}}})?+)){_REST}"
 CANDIDATE = f"{_ASSIGNED}|{_RUN}"
 _WORDS = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
 
 
+#: Matches whose places are summed up at a time.
+_CHUNK = 512
+
+
+def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, also where a later lambda uses them for each element."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """For rows with a text t that has a match: gaps (text before each match and after the last) and parts (name, value of each); t goes."""
+    each = lambda group: F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(group))
+    found = _fixed(rows, found=each(0), heads=F.zip_with(each(1), each(2), lambda a, b: F.concat(a, b)), gaps=F.split("t", CANDIDATE, -1))
+    pairs = _fixed(found.drop("t").filter(F.size("found") > 0), pairs=F.zip_with("found", "heads", lambda m, h: F.struct(
+        h.alias("name"), F.substr(m, F.char_length(h) + 1).alias("value")))).drop("found", "heads")
+
+    def names(value: Column) -> Column:
+        steps = F.split(value, "/")
+        first = F.array_position(F.transform(steps, lambda x: x.rlike(f"^{_NAME}$")), F.lit(False))
+        n = F.when(first > 0, first - 1).otherwise(F.size(steps) - 1).cast("int")
+        return F.when(n > 0, F.concat(F.array_join(F.slice(steps, F.lit(1), n), "/"), F.lit("/"))).otherwise(F.lit(""))
+    more = lambda p: F.when(F.char_length(p["name"]) >= 4 * NAMES, names(p["value"])).otherwise(F.lit(""))
+    split = _fixed(pairs, split=F.transform("pairs", lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), more(p).alias("more")))).drop("pairs")
+    return _fixed(split, parts=F.transform("split", lambda p: F.struct(
+        F.concat(p["name"], p["more"]).alias("name"), F.substr(p["value"], F.char_length(p["more"]) + 1).alias("value")))).drop("split")
+
+
 def with_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row per candidate: doc_id, path, start (from 0), value, left, right."""
-    text = text_or_empty(text_col)
-    each = lambda group: F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(group))
-    rows = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text.alias("t"),
-                        each(0).alias("found"), F.zip_with(each(1), each(2), lambda a, b: F.concat(a, b)).alias("names")).filter(F.size("found") > 0)
-            .withColumn("gaps", F.split("t", CANDIDATE, -1)).drop("t"))
-    steps = F.transform("found", lambda m, i: F.struct(F.char_length(F.get("gaps", i)).alias("gap"), F.char_length(m).alias("size")))
-    before = F.aggregate(F.slice("steps", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["size"])
-    name = F.get("names", F.col("i"))
-    return (rows.withColumn("steps", steps).select("*", F.posexplode("found").alias("i", "whole"))
-            .select("doc_id", "path", (before + F.get("steps", F.col("i"))["gap"] + F.char_length(name)).alias("start"),
-                    F.substr("whole", F.char_length(name) + 1).alias("value"),
-                    F.right(F.concat(F.get("gaps", F.col("i")), name), F.lit(LEFT)).alias("left"),
-                    F.left(F.concat(F.get("gaps", F.col("i") + 1), F.coalesce(F.get("names", F.col("i") + 1), F.lit(""))), F.lit(RIGHT)).alias("right")))
+    """One row per candidate: doc_id, path, start (from 0), value, left, right, nth (number of the match in its text).
+
+    Places are sums over the matches before, taken in chunks, and a match leaves its text's arrays with its own part only.
+    """
+    rows = _parts(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text_or_empty(text_col).alias("t")))
+    size = lambda p, i: (F.char_length(F.get("gaps", i)) + F.char_length(p["name"]) + F.char_length(p["value"])).cast("long")
+    sums = lambda items, of: F.aggregate(items, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + of(x))))
+    rows = _fixed(rows, sizes=F.transform("parts", size))
+    rows = _fixed(rows, inner=F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / _CHUNK)), lambda c: sums(
+        F.slice("sizes", (c * _CHUNK + 1).cast("int"), F.lit(_CHUNK)), lambda x: x))).drop("sizes")
+    rows = _fixed(rows, bases=sums(F.col("inner"), lambda x: F.element_at(x, -1)))
+
+    def one(p: Column, i: Column) -> Column:
+        chunk = F.floor(i / _CHUNK).cast("int")
+        before = F.get("bases", chunk) + F.get(F.get("inner", chunk), (i - chunk * _CHUNK).cast("int"))
+        return F.struct((before + F.char_length(F.get("gaps", i)) + F.char_length(p["name"])).alias("start"), p["value"].alias("value"),
+                        F.right(F.concat(F.get("gaps", i), p["name"]), F.lit(LEFT)).alias("left"),
+                        F.left(F.concat(F.get("gaps", i + 1), F.coalesce(F.get("parts", i + 1)["name"], F.lit(""))), F.lit(RIGHT)).alias("right"),
+                        i.cast("int").alias("nth"), (F.char_length(p["name"]) < 4 * NAMES).alias("plain"))
+    found = rows.select("doc_id", "path", F.inline(F.transform("parts", one)))
+    return found.filter(F.col("plain") | F.col("value").rlike(f"^{_REST}$")).drop("plain")
 
 
 def features() -> dict[str, Column]:
@@ -115,14 +152,14 @@ def fit(labelled: DataFrame):
 
 
 def scan(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """Findings: doc_id, start, value, score, secret. The score is the forest's share of votes for a secret."""
+    """Findings: doc_id, start, value, score, secret, nth. The score is the forest's share of votes for a secret."""
     from pyspark.ml.functions import vector_to_array
     found = with_candidates(docs, id_col, text_col, path_col)
     if forest is None:
-        return found.select("doc_id", "start", "value", F.lit(0.0).alias("score"), F.lit(False).alias("secret"))
+        return found.select("doc_id", "start", "value", F.lit(0.0).alias("score"), F.lit(False).alias("secret"), "nth")
     judged = forest.transform(_assembled(found))
     score = vector_to_array("probability")[1]
-    return judged.select("doc_id", "start", "value", score.alias("score"), (score >= THRESHOLD).alias("secret"))
+    return judged.select("doc_id", "start", "value", score.alias("score"), (score >= THRESHOLD).alias("secret"), "nth")
 
 
 def redact(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -132,24 +169,30 @@ def redact(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "tex
     candidate are shuffled.
     """
     has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    # rows may share an id: positions belong to a text
-    key = F.struct(F.col(id_col), F.sha2(F.col(text_col), 256), F.col(path_col))
-    suspects = docs.filter(has).withColumn("_key", F.to_json(key))
+    # rows may share an id: matches belong to a text; columns travel under numbers, so that no name can clash
+    key = F.to_json(F.struct(F.col(id_col), F.sha2(F.col(text_col), 256), F.col(path_col)))
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    back = lambda rows, **changed: rows.select(*[changed.get(c, F.col(n)).alias(c) for c, n in own.items()])
+    suspects = docs.filter(has).select(key.alias("key"), *[F.col(c).alias(n) for c, n in own.items()])
+    texts = suspects.select("key", F.col(own[text_col]).alias("text"), F.col(own[path_col]).alias("source"))
     size = F.char_length("value")
-    found = (scan(suspects, forest, "_key", text_col, path_col).filter("secret").groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + size).alias("b")))).alias("_places"),
-                  F.array_sort(F.collect_set(F.when(size >= EVERYWHERE, F.col("value"))), lambda a, b: F.length(b) - F.length(a)).alias("_values")))
-    joined = suspects.join(found, F.col("_key") == F.col("_id"), "left")
-    text = F.col(text_col)
-    cut = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_places", lambda x: x["b"]))
-    kept = F.concat(F.transform("_places", lambda x, i: cut(F.get(ends, i), x["a"])), F.array(cut(F.element_at(ends, -1), F.char_length(text))))
-    clean = F.aggregate("_values", F.array_join(kept, MASK), lambda t, v: F.replace(t, v, F.lit(MASK)))
-    changed = {text_col: F.when(F.col("_places").isNotNull(), clean).otherwise(text)}
-    out = joined.withColumns(changed)
+    found = (scan(texts, forest, "key", "text", "source").filter("secret").groupBy(F.col("doc_id").alias("of"))
+             .agg(F.array_sort(F.collect_set("nth")).alias("nths"),
+                  F.array_sort(F.collect_set(F.when(size >= EVERYWHERE, F.col("value"))), lambda a, b: F.length(b) - F.length(a)).alias("values")))
+    clear = back(suspects.join(found, F.col("key") == F.col("of"), "left_anti"))
+    hit = _parts(suspects.join(found, F.col("key") == F.col("of")).drop("key", "of").withColumn("t", F.col(own[text_col])))
+    # name and value of each match behind the text before it, then the text that is left
+    pieces = F.concat(F.flatten(F.transform("parts", lambda p, i: F.array(F.concat(F.get("gaps", i), p["name"]), p["value"]))), F.array(F.element_at("gaps", -1)))
+    hit = _fixed(hit, pieces=pieces).drop("parts", "gaps")
+    after = lambda i: F.coalesce(2 * F.get("nths", i - 1) + 2, F.lit(0))  # noqa: E731 - first piece behind the secret before
+    kept = F.concat(F.transform("nths", lambda n, i: F.array_join(F.slice("pieces", after(i) + 1, 2 * n + 1 - after(i)), "")),
+                    F.array(F.array_join(F.slice("pieces", 2 * F.element_at("nths", -1) + 3, F.size("pieces")), "")))
+    clean = _fixed(hit, clean=F.aggregate("values", F.array_join(kept, MASK), lambda t, v: F.replace(t, v, F.lit(MASK))))
+    changed = {text_col: F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_places").isNotNull(), F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.filter(~has).unionByName(out.select(docs.columns))
+        changed["n_chars"] = F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+    masked = back(clean, **changed)
+    return docs.filter(~has).unionByName(clear).unionByName(masked)
 
 
 #: Surroundings of planted findings: label, path, kinds of value, text before, text after (fixed values). Formats of

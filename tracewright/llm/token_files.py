@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import checkpoint_root, text_or_empty
-from tracewright.llm.tokens import LibraryEncoder, slices
+from tracewright.llm.tokens import TextEncoder, arrow_slices
 
 
 def _files(folder: str):
@@ -34,24 +34,23 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _shard_writer(folder: str, vocab_path: str, end_id: int, dtype: str):
+def _shard_writer(folder: str, vocab_path: str, end_id: int, dtype: str, as_loaded: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         shard = TaskContext.get().partitionId()
         store, base = _files(folder)
-        encode, end = LibraryEncoder.cached(vocab_path, dtype), np.array([end_id], dtype).tobytes()
+        encode, end = TextEncoder(vocab_path, dtype, as_loaded), np.array([end_id], dtype).tobytes()
         ids, nulls, lengths, out, own = [], [], [], None, f"{base}/.{shard}-{uuid.uuid4().hex}"
         width = np.dtype(dtype).itemsize
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys = batch.column(0)
+            texts, keys = batch.column(1), batch.column(0)
             ids.append(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             nulls.append(keys.is_null().to_numpy(zero_copy_only=False))
-            if texts and out is None:
+            if len(texts) and out is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(own + ".bin")
-            for a, b in slices(texts):
-                made = encode(texts[a:b])
+            for a, b in arrow_slices(texts):
+                made = encode(texts.slice(a, b - a))
                 lengths.extend(len(x) // width + 1 for x in made)
                 out.write(end.join(made) + end)
         if out is None:
@@ -67,13 +66,14 @@ def _shard_writer(folder: str, vocab_path: str, end_id: int, dtype: str):
     return write
 
 
-def write_tokens(docs: DataFrame, vocab_path: str, end_id: int, folder: str | None = None, dtype: str = "<u2") -> tuple[str, DataFrame]:
-    """Write doc_id, text as shards below `folder`; the folder and the manifest (shard, n_docs, n_tokens, base)."""
+def write_tokens(docs: DataFrame, vocab_path: str, end_id: int, folder: str | None = None, dtype: str = "<u2",
+                 as_loaded: bool = False) -> tuple[str, DataFrame]:
+    """Write doc_id, text as shards below `folder`; the folder and the manifest (shard, n_docs, n_tokens, base). as_loaded: see TextEncoder."""
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = sorted(map(tuple, rows.mapInArrow(_shard_writer(folder, vocab_path, end_id, dtype), "shard long, n_docs long, n_tokens long").collect()))
+    shards = sorted(map(tuple, rows.mapInArrow(_shard_writer(folder, vocab_path, end_id, dtype, as_loaded), "shard long, n_docs long, n_tokens long").collect()))
     bases = np.concatenate([[0], np.cumsum([s[2] for s in shards])]).astype(int).tolist()
     manifest = spark.createDataFrame([(*s, b) for s, b in zip(shards, bases)], "shard long, n_docs long, n_tokens long, base long")
     return folder, manifest
