@@ -11,7 +11,8 @@ their input.
     packing       documents are cut into pieces and packed into sequences
 
 Nulls, empty texts, ties, repeated rows, empty tables and further columns are
-treated as the operators say.
+treated as the operators say; a further column may have any name, and none is
+changed but text and n_chars where a secret is masked.
 """
 from __future__ import annotations
 
@@ -21,17 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import dedup_index, language_id, ngram_join, packing, secret_scan
-from tracewright.llm.common import table, written
+from tracewright.llm.common import free_names, table, written
 from tracewright.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents that are not held out; a cosine of 0 or less is no language."""
     known = language_id.learn(docs.filter(~language_id.held_out()))
-    judged = language_id.identify(docs, known, lang_pred="_lang", score="_score")
+    lang, score = free_names(docs, "_lang", "_score")
+    judged = language_id.identify(docs, known, lang_pred=lang, score=score)
     if not known:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return judged.filter((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") > 0)).select(docs.columns)
+    return judged.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) > 0)).select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), as_loaded=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
