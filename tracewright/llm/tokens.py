@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Words of each of a cache's two generations, about 200 bytes each.
 CACHE_WORDS = 300_000
 #: The same of an encoder that ends with its task.
-TASK_WORDS = 150_000
+TASK_WORDS = 250_000
 #: A space that is no border between words: before white space or at the end.
 _UNUSUAL = re.compile(r" (?=\s|$|[\x1c-\x1f])")
 _BORDER = re.compile(r" (?=\S)")
