@@ -35,7 +35,7 @@ MOST_WORDS, SUPPORT, TOP, SHARE, UNKNOWN = 5, 100, 2000, 100, "und"
 #: Bytes of text of a shard, and the local support to keep while the tables are small.
 SHARD_BYTES, LEAST_LOCAL = 24 << 20, 4
 #: Bits of a packed hash, and local counts of all shards that one task merges at a time.
-HASH, MERGED = 40, 1 << 20
+HASH, MERGED = 40, 1 << 22
 #: Bits of the candidate filter at most (16 MB).
 FILTER_BITS = 1 << 27
 #: A-Z to small letters; marks and line ends to a line end, tabs to blanks.
@@ -146,7 +146,9 @@ def word_counts(rows: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def local_support(support: int, n: int, total: int) -> int:
-    return max(1, -(-support * n // max(1, total)))
+    """Half the shard's share of the support: what shards that do not report a phrase may add to it is then small, and few
+    candidates are there in vain."""
+    return max(1, -(-support * n // max(1, 2 * total)))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -265,7 +267,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, most: int = MOST_WORDS, te
     own = written(word_counts(rows, shard_bytes), "phrases-words")
     totals = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
     whole = F.sum("n").over(Window.partitionBy("lang"))
-    least = F.greatest(F.lit(1), F.ceil(F.lit(support) * F.col("n") / F.greatest(whole, F.lit(1))))
+    least = F.greatest(F.lit(1), F.ceil(F.lit(support) * F.col("n") / F.greatest(2 * whole, F.lit(1))))
     slack = own.withColumn("t", least).groupBy("lang").agg(F.sum(F.col("t")).alias("t"), F.count("*").alias("k")).agg(F.max(F.col("t") - F.col("k"))).first()[0] or 0
     bits = min(24, max(8, (sum(totals.values()) * most // MERGED).bit_length()))
     local = mined(rows, totals, support, bits, shard_bytes, most)
