@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import dedup_index, language_id, ngram_join, packing, secret_scan
-from tracewright.llm.common import free_names, table, written
+from tracewright.llm.common import free_names, small_batches, table, written
 from tracewright.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents that are not held out; a cosine of 0 or less is no language."""
+    small_batches(spark)  # the result is lazy and holds whole texts: stays so in this session
     known = language_id.learn(docs.filter(~language_id.held_out()))
     lang, score = free_names(docs, "_lang", "_score")
     judged = language_id.identify(docs, known, lang_pred=lang, score=score)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import releasing
 from tracewright.llm.tokens import slices
 
 DIMENSIONS, SEED, UNKNOWN = 1024, 20_17, "und"
@@ -101,7 +102,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([names[i]] * len(found), pa.string()),
                                                   "code": pa.array(found, pa.int64()), "n": pa.array(counts[found], pa.int64())})
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(releasing(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     lang, code, n = (found.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "code", "n"))
     out = {}
@@ -157,4 +158,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                                                  [*batch.schema.names, lang_pred, score])
     from pyspark.sql.types import DoubleType, StringType, StructType
     schema = StructType(list(docs.schema.fields)).add(lang_pred, StringType()).add(score, DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)

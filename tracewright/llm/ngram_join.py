@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow_rows, binom_floor, text_or_empty, written
+from tracewright.llm.common import arrow_rows, binom_floor, releasing, text_or_empty, written
 from tracewright.llm.components import Joined, components
 from tracewright.llm.tokens import slices
 from tracewright.llm.url_cascade import bit_words, has
@@ -52,6 +52,8 @@ CHUNK_DOCS, CHUNK_SHINGLES = 64, 1 << 16
 BATCH_ROWS = 200
 #: Bits of the filter that keeps documents without partners out of a shuffle, 2 MB.
 FILTER_BITS = 1 << 24
+#: Powers of a base that a worker keeps, 8 MB.
+KEPT_POWERS = 1 << 20
 #: Members of a component in one hot key from which they are chunked apart from the rest.
 APART = 8
 
@@ -71,9 +73,11 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, KEPT_POWERS), base, np.uint64)
         steps[0] = 1
-        _powers[base] = have = np.cumprod(steps)
+        have = np.cumprod(steps)
+        if n <= KEPT_POWERS:  # a longer one, for a very long text, ends with its slice
+            _powers[base] = have
     return have
 
 
@@ -206,7 +210,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    sketches = written(rows.mapInArrow(_sketches, "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
+    sketches = written(rows.mapInArrow(releasing(_sketches), "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
     named = sketches.filter("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = written(named.join(classes, ["n", "f1", "f2"])
@@ -214,7 +218,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     reps = members.filter("sketch IS NOT NULL").dropDuplicates(["rep", "n", "f1"]).select("rep", "n", "sketch")
     near = written(_sharing(reps, "sketch", SKETCH).select(F.col("rep").alias("doc_id")).distinct(), "near")
-    sets = written(_likely(rows, near).join(near, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(_full_sets, "rep long, n long, tokens binary, wide array<long>"), "sets")
+    sets = written(_likely(rows, near).join(near, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(releasing(_full_sets), "rep long, n long, tokens binary, wide array<long>"), "sets")
     linkable = written(_sharing(sets, "wide", WIDE_SKETCH), "linkable")
     sets = sets.select("rep", "n", "tokens")
 
@@ -226,10 +230,10 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     keyed = written(_chunked(linkable.select("rep", "n", "key"), ["key"], "chunk"), "keyed")
     groups = packed(keyed.withColumn("comp", F.col("rep")), ["key", "chunk", "chunks"], "groups")
-    inside = groups.filter(F.size("members") > 1).select("members").mapInArrow(_opened, "a long, b long")
+    inside = groups.filter(F.size("members") > 1).select("members").mapInArrow(releasing(_opened), "a long, b long")
     star = (groups.filter("chunk > 0").select("key", "members")
             .join(groups.filter("chunk = 0").select("key", F.col("members").alias("first")), "key")
-            .select("members", "first").mapInArrow(_opened, "a long, b long"))
+            .select("members", "first").mapInArrow(releasing(_opened), "a long, b long"))
     links = written(inside.unionByName(star), "links")
     found = components(links, rounds=2)
 
@@ -252,7 +256,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     member = F.struct("rep", "comp", "tokens")
     opened = (asked.select("ga", "gb", "m.rep", "m.side").join(placed.select("rep", "comp").join(sets, "rep").select("rep", "comp", "tokens"), "rep").groupBy("ga", "gb")
               .agg(F.collect_list(F.when(F.col("side") == "left", member)).alias("left"), F.collect_list(F.when(F.col("side") == "right", member)).alias("right")))
-    across = opened.select("left", F.when(F.col("ga") != F.col("gb"), F.col("right")).alias("right")).mapInArrow(_opened, "a long, b long")
+    across = opened.select("left", F.when(F.col("ga") != F.col("gb"), F.col("right")).alias("right")).mapInArrow(releasing(_opened), "a long, b long")
     copies = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(written(across, "links")).unionByName(copies))
     return (sketches.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")

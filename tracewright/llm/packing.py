@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import text_or_empty, written
+from tracewright.llm.common import releasing, text_or_empty, written
 from tracewright.llm.tokens import TextEncoder, arrow_slices
 
 SIZE = 1024
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, size: int = SIZE,
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names[:len(kinds)])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(make, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(releasing(make), PIECES + (", ids binary" if with_ids else ""))
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def pack(found: DataFrame, size: int = SIZE, group_pieces: int = GROUP_PIECES) -
         mixed = F.xxhash64("doc_id", "piece")
         order = [mixed] if turn % 2 else [F.col("length").desc(), mixed]
         dealt = rows.repartition(n, "doc_id", "piece").sortWithinPartitions(*order, "doc_id", "piece", "ids_crc32")
-        return written(dealt.mapInArrow(_packer(size, turn), schema), "packed")
+        return written(dealt.mapInArrow(releasing(_packer(size, turn)), schema), "packed")
 
     full, left = None, found
     for turn in range(ROUNDS):
