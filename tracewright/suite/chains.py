@@ -13,7 +13,7 @@ from tracewright.functions.times import format_time
 from tracewright.plans.seal import number_and_clamp, seal
 from tracewright.schemas import CONTEXT_KEY, STREAM_KEY
 from tracewright.suite import data
-from tracewright.suite.registry import query
+from tracewright.suite.registry import ORACLES, query
 from tracewright.suite.sql import CHAIN, HEADS, KEY_OF, PRESENT, STAMP, WITH_AV
 
 # A small bucket makes even the small test tables cross bucket borders.
@@ -328,6 +328,24 @@ def a18(spark, sf):
         F.col("code").isin("payload_hash_mismatch", "payload_missing", "signature_invalid", "sequence_gap"))
 
 
+_OWN_CODES = [sql for name, sql in ORACLES.items() if name[:3] in {f"c{i:02d}" for i in range(1, 24)} - {"c18"} and name != "c15_gap_values"]
+
+
+@query("a18_all_findings_by_code", """WITH named(code, "check") AS (VALUES ('unsupported_schema_version', 'hashChain'), ('malformed_record', 'hashChain'),
+    ('context_mismatch', 'hashChain'), ('event_hash_mismatch', 'hashChain'), ('previous_hash_mismatch', 'hashChain'),
+    ('payload_missing', 'payloadHashes'), ('payload_invalid', 'payloadHashes'), ('payload_not_canonical', 'payloadHashes'),
+    ('payload_hash_mismatch', 'payloadHashes'), ('indexed_field_mismatch', 'payloadHashes'),
+    ('unknown_signing_key', 'signatures'), ('signature_invalid', 'signatures'), ('signing_key_invalid', 'signatures'),
+    ('signing_key_revoked', 'signatures'), ('signing_key_outside_validity', 'signatures'),
+    ('sequence_gap', 'ordering'), ('sequence_out_of_order', 'ordering'), ('timestamp_regression', 'ordering'), ('head_mismatch', 'streamHead'),
+    ('checkpoint_invalid', 'checkpoints'), ('checkpoint_mismatch', 'checkpoints'), ('checkpoint_beyond_head', 'checkpoints'))
+  SELECT code, "check", count(*) AS findings FROM (""" + " UNION ALL ".join(f"(SELECT code FROM ({sql}))" for sql in _OWN_CODES) + """)
+  LEFT JOIN named USING (code) GROUP BY ALL""")
+def a18_all(spark, sf):
+    # Every code of every category over the whole tampered chain, warnings included.
+    return plan.findings_by_code(data.findings(spark, sf))
+
+
 @query("w06_failure_cap", "WITH " + _COUNTS + """, t AS (SELECT stream, count(*) AS n FROM found GROUP BY stream),
   w AS (SELECT stream, count(*) AS n FROM present WHERE r = 13 OR (key_id = '""" + data.KEY["a"] + "' AND " + _LATE + """
     AND recorded_at > '2024-01-10T00:05:00.000000Z') GROUP BY stream)
