@@ -2,9 +2,9 @@
 import pyarrow as pa
 import pytest
 
-from tracewright.llm.common import releasing, small_batches
+from tracewright.llm.common import BATCH_BYTES, arrow_rows, releasing, small_batches
 
-NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
+NAME, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def test_releasing_gives_the_same_batches_and_passes_errors_on(spark):
@@ -24,10 +24,33 @@ def test_releasing_gives_the_same_batches_and_passes_errors_on(spark):
 
 @pytest.mark.parametrize("before, after", [("10000", "1000"), ("0", "1000"), ("7", "7")])
 def test_small_batches(spark, before, after):
-    was = spark.conf.get(NAME)
+    was = spark.conf.get(NAME), spark.conf.get(BYTES)
     try:
         spark.conf.set(NAME, before)
         small_batches(spark)
         assert spark.conf.get(NAME) == after
     finally:
-        spark.conf.set(NAME, was)
+        spark.conf.set(NAME, was[0])
+        spark.conf.set(BYTES, was[1])
+
+
+@pytest.mark.parametrize("before, after", [("64MB", str(BATCH_BYTES)), ("67108864b", str(BATCH_BYTES)), ("1000b", "1000b"), ("2m", "2m")])
+def test_bytes_of_a_batch_are_bounded_and_restored(spark, before, after):
+    was = spark.conf.get(BYTES)
+    try:
+        spark.conf.set(BYTES, before)
+        with arrow_rows(spark, 10):
+            assert spark.conf.get(BYTES) == after
+        assert spark.conf.get(BYTES) == before
+    finally:
+        spark.conf.set(BYTES, was)
+
+
+def test_large_rows_travel_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]})
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('a', 1000000) AS text")
+    with arrow_rows(spark, 200):
+        found = rows.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in found) == 40 and max(r["size"] for r in found) <= BATCH_BYTES + 1_100_000

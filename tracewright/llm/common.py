@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -19,24 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that goes to Python; only a single row may be larger.
+BATCH_BYTES = 4 << 20
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of a batch that goes to Python, for the actions inside; rows can be large here."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Rows of a batch that goes to Python, for the actions inside, and BATCH_BYTES at most; rows can be large here."""
+    before = {name: spark.conf.get(name) for name in (_ROWS, _BYTES)}
+    spark.conf.set(_ROWS, str(rows))
+    _bound(spark, _BYTES, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _bound(spark: SparkSession, name: str, most: int) -> None:
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(name).lower()).groups()
+    now = int(number) << 10 * "_kmgtp".index(unit or "_")
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in a batch that goes to Python, from now on in this session: for lazy results with whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = BATCH_BYTES) -> None:
+    """At most so many rows and bytes in a batch that goes to Python, from now on in this session: for lazy results with whole texts."""
+    _bound(spark, _ROWS, rows)
+    _bound(spark, _BYTES, size)
 
 
 def _release() -> None:
