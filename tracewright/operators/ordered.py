@@ -119,6 +119,27 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, nam
     return df.withColumn(name, F.row_number().over(place)).where(F.col(name) <= n)
 
 
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, n: int, name: str = "position") -> DataFrame:
+    """First n rows per key, for any n, without a task that holds a key or its first n rows.
+
+    ``bucket`` must not decrease in the order given. Counts per bucket tell where each bucket starts; rows of buckets
+    that start behind the n-th row are dropped before anything is ordered, the others are numbered bucket by bucket.
+    ``df`` is read twice. Rows with a null key are one key.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    by_key = Window.partitionBy(*keys).orderBy("_bucket")
+    starts = counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(by_key.rowsBetween(*_BEFORE)), F.lit(0))) \
+        .where(F.col("_offset") < n).select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)],
+                                            F.col("_bucket").alias("_at"), "_offset")
+    same = F.col("_bucket").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{i}"))
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    return rows.join(starts.hint("shuffle_hash"), same) \
+        .withColumn(name, F.row_number().over(local) + F.col("_offset")).where(F.col(name) <= n).select(*df.columns, name)
+
+
 def newest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest order values per key, by a partial aggregate."""
     columns = [c for c in df.columns if c not in keys]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracewright.config import ZERO_HASH, VerifyOptions
 from tracewright.operators import guards, keys as key_ops, listing
 from tracewright.operators.joins import lookup_join
-from tracewright.operators.ordered import number_rows, running_max, spread_bucket, with_previous
+from tracewright.operators.ordered import first_per_key, number_rows, running_max, spread_bucket, with_previous
 from tracewright.plans import verify as plan
 from tracewright.plans.checkpointing import checkpoint_streams
 from tracewright.functions.times import format_time
@@ -201,14 +201,16 @@ def k04(spark, sf):
         F.col("ctx_stream").alias("stream"), "events_checked", "first_sequence", "last_sequence", "failure_count", "valid")
 
 
-_COUNTS = PRESENT + f""", found AS (
+#: Findings that belong to one record.
+_OF_RECORDS = f"""
   SELECT stream, sequence, 1 AS n FROM present WHERE r IN (3, 7, 11, 19, 23, 29, 31, 41, 47, 59)
   UNION ALL SELECT stream, sequence, 1 FROM present WHERE r IN (13, 17, 23, 47, 59) OR swapped
   UNION ALL SELECT stream, sequence, 1 FROM present WHERE key_id = '{data.KEY["b"]}' AND {_LATE}
     AND recorded_at > '2024-01-25T00:05:00.000000Z'
   UNION ALL SELECT stream, sequence, 1 FROM present WHERE r = 38 OR copy = 2
   UNION ALL SELECT stream, sequence, 1 FROM present WHERE r IN (17, 38) OR copy = 2 OR swapped OR r = 45
-  UNION ALL SELECT stream, sequence, 1 FROM present WHERE r = 13 OR (swapped AND old % 100 = 43)
+  UNION ALL SELECT stream, sequence, 1 FROM present WHERE r = 13 OR (swapped AND old % 100 = 43)"""
+_COUNTS = PRESENT + f""", found AS ({_OF_RECORDS}
   UNION ALL SELECT stream, tail + 1, 1 FROM tails
   UNION ALL SELECT stream, 0, 1 FROM heads
   UNION ALL SELECT c.stream, c.sequence, 1 FROM (SELECT a.stream, a.sequence, t.tail FROM av a JOIN tails t USING (stream)
@@ -296,6 +298,14 @@ def a15(spark, sf):
     return listed.select(F.col("ctx_stream").alias("stream"), F.explode("failure_sequences").alias("sequence"))
 
 
+@query("a15_listed_sequences", "WITH " + PRESENT + """, s AS (SELECT DISTINCT stream, sequence FROM present
+  WHERE r IN (3, 7, 11, 13, 17, 19, 23, 29, 31, 38, 41, 45, 47, 59) OR copy = 2 OR swapped)
+  SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY sequence) AS position, sequence FROM s""")
+def a15_listed(spark, sf):
+    out = plan.verify_streams(data.tampered(spark, sf), data.keys(spark), options=VerifyOptions(max_failures=1_000_000))
+    return plan.listed_sequences(out).select(F.col("ctx_stream").alias("stream"), "position", "sequence")
+
+
 @query("a16_project_rollup", "WITH " + _COUNTS + f""" SELECT '{data.PROJECT}' AS project_id, (SELECT count(*) FROM heads) AS streams_checked,
   (SELECT count(*) FROM present) AS events_checked, (SELECT count(*) FROM found) AS failure_count, false AS valid, 'invalid' AS result""")
 def a16(spark, sf):
@@ -361,6 +371,16 @@ def w06(spark, sf):
                                                          (F.col("n") > 10).alias("truncated"))
 
 
+@query("w06_listed_findings", "WITH " + PRESENT + ", of_records AS (" + _OF_RECORDS + """), listed AS (
+  SELECT stream, sequence, row_number() OVER (PARTITION BY stream ORDER BY sequence) AS position FROM of_records)
+  SELECT stream, position, sequence FROM listed WHERE position <= 25""")
+def w06_listed(spark, sf):
+    # Which errors of records a report of 25 lists; findings of one record share its number.
+    own = data.findings(spark, sf).where("severity = 'error' AND sequence > 0 AND check NOT IN ('checkpoints', 'streamHead')")
+    return first_per_key(own, ["ctx_stream"], [F.col("emission")], plan.emission_bucket(50), 25) \
+        .select(F.col("ctx_stream").alias("stream"), "position", "sequence")
+
+
 @query("u01_findings_union", "WITH " + _COUNTS + " SELECT stream, sequence, count(*) AS findings FROM found GROUP BY ALL")
 def u01(spark, sf):
     return data.findings(spark, sf).where("severity = 'error'").groupBy(F.col("ctx_stream").alias("stream"), "sequence") \
