@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tracewright.llm import phrases
@@ -97,3 +98,13 @@ def test_rows_in_another_order_lose_no_candidate(spark, monkeypatch):
     # a slack that is too small by far, as if the shards had been others when it was computed
     monkeypatch.setattr(phrases, "word_counts", lambda rows, limit=0: plain_words(rows, 40))
     assert mine(spark, rows, 12, shard_bytes=1 << 20) == plain(rows, 12, 2000)
+
+
+def test_counts_of_shards_travel_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(" ".join(f"w{i % 400} v{i % 397}" for i in range(4000)), "en")] * 12, "text string, lang string").repartition(6)
+    sent, plain_map = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda *a, **k: sent.append(plain_map(*a, **k)) or sent[-1])
+    found = phrases.counted(rows, np.full(1, 2 ** 64 - 1, np.uint64))  # a full filter: every phrase of every shard passes
+    phrases_of_shards = 6 * found.count()
+    assert sent[-1].count() <= 6 * 5 * 256 < phrases_of_shards
+    assert found.groupBy().sum("n").first()[0] == 12 * sum(8000 - k for k in range(5))

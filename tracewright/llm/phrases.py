@@ -9,8 +9,8 @@ in all shards exactly. A shard is a run of texts of one task, of bounded size.
 
 Local counts travel as sorted, packed hashes of HASH bits, a few bytes a
 phrase, and candidates in a Bloom filter of bounded size; a phrase that passes
-is counted in every shard, so neither a collision nor a full filter changes a
-count. With more shards than the support every phrase is frequent in its shard:
+is counted in every shard, by its text, so neither a collision nor a full
+filter changes a count. These counts travel in blocks as well. With more shards than the support every phrase is frequent in its shard:
 local counts are then complete and leave hardly a candidate too many, and the
 work stays linear.
 
@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -232,10 +233,16 @@ def candidate_filter(hashes: DataFrame, most_bits: int = FILTER_BITS) -> np.ndar
     return words.view(np.uint64)
 
 
-def counted(rows: DataFrame, words_of_filter: np.ndarray, limit: int = SHARD_BYTES, most: int = MOST_WORDS) -> DataFrame:
-    """lang, phrase (words joined by blanks), words, n: exact counts of all phrases that pass the filter."""
+def counted(rows: DataFrame, words_of_filter: np.ndarray, limit: int = SHARD_BYTES, most: int = MOST_WORDS, entries: int = 0) -> DataFrame:
+    """lang, phrase (words joined by blanks), words, n: exact counts of all phrases that pass the filter.
+
+    Shards send their counts in blocks by hash, a row for each block and length, not one for each phrase; a block is
+    added up by the phrases themselves. entries: an upper bound of the counts of all shards, so that a task merges
+    about MERGED of them at a time.
+    """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(words_of_filter)  # at most FILTER_BITS
+    block_bits = min(24, max(8, (entries // MERGED).bit_length()))
 
     def count(batches):
         bloom = shared.value
@@ -247,12 +254,33 @@ def counted(rows: DataFrame, words_of_filter: np.ndarray, limit: int = SHARD_BYT
             return ((bloom[a >> np.uint64(6)] >> (a & np.uint64(63))) & (bloom[b >> np.uint64(6)] >> (b & np.uint64(63))) & one).astype(bool)
         for shard in shards(batches, limit):
             for lang, text in shard:
-                for k, _, counts, at, words, ids in levels(text, lang, keep, most):
-                    for a in range(0, len(at), 100_000):
-                        own = [b" ".join([words[w] for w in p]).decode("utf-8", "replace") for p in ids[at[a:a + 100_000, None] + np.arange(k)].tolist()]
-                        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "phrase": pa.array(own, pa.string()),
-                                                          "words": pa.array([k] * len(own), pa.int32()), "n": pa.array(counts[a:a + 100_000], pa.int64())})
-    return rows.mapInArrow(count, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+                for k, hashes, counts, at, words, ids in levels(text, lang, keep, most):
+                    block = (hashes >> np.uint64(64 - block_bits)).astype(np.int64)
+                    order = np.argsort(block, kind="stable")
+                    block, counts, at = block[order], counts[order], at[order]
+                    cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+                    parts = list(zip(cuts[:-1], cuts[1:]))
+                    for i in range(0, len(parts), 64):
+                        some = parts[i:i + 64]
+                        # pieces end at line ends, so no phrase holds one
+                        own = [b"\n".join([b" ".join([words[w] for w in p]) for p in ids[at[a:b, None] + np.arange(k)].tolist()]).decode("utf-8", "replace")
+                               for a, b in some]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([int(block[a]) for a, _ in some], pa.int32()), pa.array([lang] * len(some), pa.string()),
+                            pa.array(own, pa.string()), pa.array([_packed(counts[a:b]) for a, b in some], pa.binary())], ["block", "lang", "phrases", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = []
+        for lang in dict.fromkeys(table.column("lang").to_pylist()):
+            own = table.filter(pc.equal(table.column("lang"), lang))
+            lists = [pc.split_pattern(c, "\n") for c in own.column("phrases").chunks]
+            phrases = pa.chunked_array([x.flatten() for x in lists], pa.string()).combine_chunks().dictionary_encode()
+            n = np.bincount(phrases.indices.to_numpy(), np.concatenate([_unpacked(x) for x in own.column("counts").to_pylist()]), len(phrases.dictionary))
+            out.append(pa.table({"lang": pa.array([lang] * len(n), pa.string()), "phrase": phrases.dictionary,
+                                 "words": pc.add(pc.count_substring(phrases.dictionary, " "), 1).cast(pa.int32()), "n": pa.array(n.astype(np.int64))}))
+        return pa.concat_tables(out)
+    return (rows.mapInArrow(count, "block int, lang string, phrases string, counts binary").groupBy("block")
+            .applyInArrow(merge, "lang string, phrase string, words int, n long"))
 
 
 def frequent(docs: DataFrame, support: int = SUPPORT, most: int = MOST_WORDS, text_col: str = "text", lang_col: str = "lang",
@@ -263,7 +291,8 @@ def frequent(docs: DataFrame, support: int = SUPPORT, most: int = MOST_WORDS, te
     # few large shards while the support allows it; beyond that shards of a bounded size
     rows = rows.coalesce(max(1, support // LEAST_LOCAL, -(-size // shard_bytes)))
     own = written(word_counts(rows, shard_bytes), "phrases-words")
-    totals = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
+    of_langs = own.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()  # one row per language
+    totals = {r.lang: r.n for r in of_langs}
     whole = F.sum("n").over(Window.partitionBy("lang"))
     least = F.greatest(F.lit(1), F.ceil(F.lit(support) * F.col("n") / F.greatest(whole, F.lit(1))))
     slack = own.withColumn("t", least).groupBy("lang").agg(F.sum(F.col("t")).alias("t"), F.count("*").alias("k")).agg(F.max(F.col("t") - F.col("k"))).first()[0] or 0
@@ -273,8 +302,10 @@ def frequent(docs: DataFrame, support: int = SUPPORT, most: int = MOST_WORDS, te
     if (found.filter("h is null").groupBy("lang").agg(F.sum("slack").alias("slack")).agg(F.max("slack")).first()[0] or 0) > slack:
         # rows came in another order than before, and so did the shards: nothing may be ruled out
         found = written(candidates(local, support, support, bits), "phrases-candidates")
-    bloom = candidate_filter(found.filter("h is not null"))
-    return written(counted(rows, bloom, shard_bytes, most).filter(F.col("n") >= support), "phrases"), totals
+    hashes = found.filter("h is not null")
+    bloom = candidate_filter(hashes)
+    entries = hashes.count() * max((r.k for r in of_langs), default=0)  # a hash is of one language
+    return written(counted(rows, bloom, shard_bytes, most, entries).filter(F.col("n") >= support), "phrases"), totals
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, share: int = SHARE, most: int = MOST_WORDS, text_col: str = "text",
