@@ -107,3 +107,31 @@ def test_addresses():
 def test_mask_of_long_text(spark):
     row = spark.createDataFrame([("éééééééé",), ("ééééééééé",)], "t string").select(states.mask(F.col("t")).alias("m")).collect()
     assert [r.m for r in row] == ["********", "*****éééé"]
+
+
+@pytest.mark.skipif(crypto._fast() is None, reason="libsodium is not installed")
+def test_the_faster_library_signs_and_accepts_alike(monkeypatch):
+    import os
+    calls = []
+    for i in range(20):
+        seed, message = os.urandom(32), os.urandom(i * 7)
+        fast, plain = crypto._sign_fast(seed, message), crypto._sign_plain(seed, message)
+        assert fast == plain == crypto.sign(seed, message)
+    # what needs no second judgement does not reach libcrypto
+    public = crypto.public_key(seed)
+    monkeypatch.setattr(crypto, "_library", lambda: calls.append(1))
+    assert crypto.verify(public, message, plain) and crypto.sign(seed, message) == plain and not calls
+
+
+def test_verdicts_are_those_of_libcrypto(monkeypatch):
+    seed, message = bytes(range(32)), b"message"
+    public, good = crypto.public_key(seed), crypto.sign(bytes(range(32)), b"message")
+    order = 2 ** 252 + 27742317777372353535851937790883648493
+    identity, zero = b"\1" + bytes(31), bytes(32)
+    cases = [(public, good), (public, good[:32] + (int.from_bytes(good[32:], "little") + order).to_bytes(32, "little")),
+             (identity, identity + zero), (bytes(32), good), (public, bytes(64)), (b"\xff" * 32, good), (public, identity + zero)]
+    cases += [(public, bytes(x ^ (1 << j) if k == i else x for k, x in enumerate(good))) for i in range(0, 64, 9) for j in (0, 7)]
+    now = [crypto.verify(k, message, s) for k, s in cases]
+    monkeypatch.setattr(crypto, "_fast", lambda: None)
+    assert now == [crypto.verify(k, message, s) for k, s in cases]
+    assert now[0] and not now[1]
