@@ -95,6 +95,39 @@ def test_joins_odd_rows(spark):
     assert ngram_join.components_of(docs.limit(0)).count() == 0
 
 
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("bits", [ngram_join.FILTER_BITS, 64])
+def test_only_rows_that_may_go_are_shuffled_at_the_end(spark, bits, monkeypatch, tmp_path):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)  # 64: the filter is full
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(500)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i] + " end") for i in range(100)]
+    rows += [(1000, "of a repeated id"), (7, "again 7"), (None, texts[0]), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("own")).write.parquet(f"{tmp_path}/docs")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more ids than are broadcast
+    try:
+        kept = ngram_join.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+        out = kept.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    of = brute(rows)
+    assert kept.columns == ["doc_id", "text", "component_id"]
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(((k, t) for k, t in rows if k is None or of[k] == k), key=str)
+    if bits > 64:  # 100 ids go; before, the 604 rows were shuffled
+        assert 200 <= shuffled_rows(kept._jdf.queryExecution().executedPlan()) < 300
+
+
 def test_shingle_hashes_are_as_many_as_shingles():
     rng = random.Random(8)
     texts = ["".join(rng.choice("aB c\t\n漢.") for _ in range(rng.randrange(80))) for _ in range(400)]

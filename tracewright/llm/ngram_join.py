@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import arrow_rows, binom_floor, releasing, text_or_empty, written
@@ -193,13 +193,13 @@ def _sharing(rows: DataFrame, sketch: str, size: int) -> DataFrame:
             .select("rep", "n", F.element_at("ts", -1)["token"].alias("key"), F.slice("ts", 1, (F.size("ts") - need + 1).cast("int"))["token"].alias("prefix")))
 
 
-def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows that may be among the ids, by a Bloom filter of at most FILTER_BITS; a join decides. Where the ids are too
-    many for it, it lets all rows through."""
-    keys = ids.select(F.col("doc_id").alias("key"))
+def _likely(keys: DataFrame, key: Column) -> Column:
+    """Whether `key`, a long, may be among the keys (one column), by a Bloom filter of at most FILTER_BITS; a join decides.
+    Where the keys are too many for it, it lets all through."""
+    keys = keys.toDF("key")
     bits = -(-min(max(64, 16 * keys.count()), FILTER_BITS) // 64) * 64
     words = written(bit_words(keys, 0, 2, bits), "filter").select("words").scalar()
-    return rows.filter(has(words, F.col("doc_id"), 0, 2, bits))
+    return has(words, key, 0, 2, bits)
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,13 +212,12 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     sketches = written(rows.mapInArrow(releasing(_sketches), "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
     named = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = written(named.join(classes, ["n", "f1", "f2"])
-                      .select("doc_id", "rep", "n", "f1", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
+    # one set, one sketch: each class sends its sketch once
+    classes = written(named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    members = written(named.select("doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select("doc_id", "rep"), "members")
 
-    reps = members.filter("sketch IS NOT NULL").dropDuplicates(["rep", "n", "f1"]).select("rep", "n", "sketch")
-    near = written(_sharing(reps, "sketch", SKETCH).select(F.col("rep").alias("doc_id")).distinct(), "near")
-    sets = written(_likely(rows, near).join(near, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(releasing(_full_sets), "rep long, n long, tokens binary, wide array<long>"), "sets")
+    near = written(_sharing(classes.select("rep", "n", "sketch"), "sketch", SKETCH).select(F.col("rep").alias("doc_id")).distinct(), "near")
+    sets = written(rows.filter(_likely(near, F.col("doc_id"))).join(near, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(releasing(_full_sets), "rep long, n long, tokens binary, wide array<long>"), "sets")
     linkable = written(_sharing(sets, "wide", WIDE_SKETCH), "linkable")
     sets = sets.select("rep", "n", "tokens")
 
@@ -266,5 +265,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that of the least id; rows without an id stay; all columns as they are."""
     found = written(components_of(docs, id_col, text_col), "components")
-    drop = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    drop = written(found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "drop")
+    likely = _likely(drop, F.col(id_col).cast("long"))
+    # whole texts are shuffled only of rows that may go
+    return docs.filter(~likely).unionByName(docs.filter(likely).join(drop, id_col, "left_anti").select(docs.columns))
