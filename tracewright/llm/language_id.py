@@ -30,8 +30,10 @@ DIMENSIONS, SEED, UNKNOWN = 1024, 20_17, "und"
 SYMBOLS = 64
 _OWN = 27
 CODES = SYMBOLS ** 3
-#: Trigrams, and rows, whose vectors are held at a time.
-BLOCK = 4096
+#: Rows whose vectors are held at a time, trigrams the same, and cells of a block of their counts.
+BLOCK, WIDTH, CELLS = 4096, 1024, 1 << 19
+#: Characters that are counted or judged at a time.
+SLICE_CHARS = 1 << 19
 _table: list[np.ndarray] = []
 
 
@@ -51,9 +53,9 @@ def _symbols() -> np.ndarray:
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Row and code of each letter trigram; runs of other characters are one border symbol, also at both ends."""
     points = np.frombuffer(("\0" + "\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
-    rows = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
     symbols = _symbols()[points]
-    rows = np.concatenate([[0], rows])
+    rows = np.concatenate([np.zeros(1, np.int32), rows])
     keep = symbols > 0
     keep[1:] |= symbols[:-1] > 0
     keep[0] = True
@@ -74,7 +76,7 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
 
 def _row_slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Slices of bounded characters and rows."""
-    for a, b in slices(texts, 1 << 19):
+    for a, b in slices(texts, SLICE_CHARS):
         for x in range(a, b, BLOCK):
             yield x, min(x + BLOCK, b)
 
@@ -92,7 +94,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
             number = {n: i for i, n in enumerate(names)}
             of = np.array([number[x] for x in langs])
             total: dict[int, np.ndarray] = {}
-            for a, b in slices(texts, 1 << 21):
+            for a, b in slices(texts, SLICE_CHARS):
                 row, code = trigrams(texts[a:b])
                 lang = of[a:b][row]
                 for i in np.unique(lang).tolist():
@@ -136,13 +138,13 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 best, cosine = [UNKNOWN] * (b - a), np.zeros(b - a)
                 # blocks of trigrams and of rows, so that neither many letters nor many rows need more memory
                 bundles = np.zeros((b - a, DIMENSIONS), np.float32) if names and len(used) else None
-                for u in range(0, len(used), BLOCK) if bundles is not None else ():
-                    width = min(BLOCK, len(used) - u)
+                for u in range(0, len(used), WIDTH) if bundles is not None else ():
+                    width = min(WIDTH, len(used) - u)
                     vectors = trigram_vectors(used[u:u + width]).astype(np.float32)
                     spots = place[code] - u
-                    inside = np.flatnonzero((spots >= 0) & (spots < width)) if len(used) > BLOCK else slice(None)
+                    inside = np.flatnonzero((spots >= 0) & (spots < width)) if len(used) > WIDTH else slice(None)
                     rows_in, spots = row[inside], spots[inside]
-                    step = max(1, (1 << 20) // width)
+                    step = max(1, CELLS // width)
                     edges = np.searchsorted(rows_in, np.arange(0, b - a + step, step))
                     for x, lo, hi in zip(range(0, b - a, step), edges[:-1].tolist(), edges[1:].tolist()):
                         y = min(x + step, b - a)

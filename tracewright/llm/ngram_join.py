@@ -52,8 +52,8 @@ CHUNK_DOCS, CHUNK_SHINGLES = 64, 1 << 16
 BATCH_ROWS = 200
 #: Bits of the filter that keeps documents without partners out of a shuffle, 2 MB.
 FILTER_BITS = 1 << 24
-#: Powers of a base that a worker keeps, 8 MB.
-KEPT_POWERS = 1 << 20
+#: Characters whose shingles are taken at a time, and powers of a base that a worker keeps, 4 MB.
+SLICE_CHARS, KEPT_POWERS = 1 << 18, 1 << 19
 #: Members of a component in one hot key from which they are chunked apart from the rest.
 APART = 8
 
@@ -116,7 +116,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for a, b in slices(texts, 1 << 19):
+        for a, b in slices(texts, SLICE_CHARS):
             sets = shingle_sets(texts[a:b])
             heads = [s[:SKETCH].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -129,7 +129,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for a, b in slices(texts, 1 << 19):
+        for a, b in slices(texts, SLICE_CHARS):
             sets = shingle_sets(texts[a:b])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),

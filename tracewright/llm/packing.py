@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import releasing, text_or_empty, written
-from tracewright.llm.tokens import TextEncoder, arrow_slices
+from tracewright.llm.tokens import TASK_WORDS, TextEncoder, arrow_slices
 
 SIZE = 1024
 #: Pieces that one task packs.
@@ -37,13 +37,16 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(s, size) for s in range(first, n, size)]
 
 
-def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, size: int = SIZE, with_ids: bool = False, as_loaded: bool = False) -> DataFrame:
-    """One row per piece of every document; with_ids adds the ids (binary, unsigned 32-bit little-endian). as_loaded: see TextEncoder."""
+def pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, size: int = SIZE, with_ids: bool = False, as_loaded: bool = False,
+           slice_bytes: int = 2 << 20, cache_words: int = TASK_WORDS) -> DataFrame:
+    """One row per piece of every document; with_ids adds the ids (binary, unsigned 32-bit little-endian). as_loaded: see TextEncoder.
+
+    Smaller slices of texts and caches of words need less memory and more time; the rows are the same."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextEncoder(vocab_path, "<u2", as_loaded)
+        encode = TextEncoder(vocab_path, "<u2", as_loaded, cache_words)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in arrow_slices(texts):
+            for a, b in arrow_slices(texts, slice_bytes):
                 rows = []
                 for key, made in zip(keys[a:b], encode(texts.slice(a, b - a))):
                     ids = np.append(np.frombuffer(made, "<u2").astype("<u4"), np.uint32(end_id))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import text_or_empty, written
+from tracewright.llm.common import local_table, text_or_empty, written
 
 #: Characters kept on either side.
 LEFT, RIGHT = 60, 30
@@ -225,7 +225,7 @@ def planted_findings(docs: DataFrame, rows: int = LABELLED_ROWS, surroundings: l
     carriers = (docs.select(F.xxhash64("doc_id").alias("h"), F.substring(text_or_empty(), 1, 200).alias("t"))
                 .orderBy("h").limit(max(1, rows // len(surroundings))))
     spark = docs.sparkSession
-    around = F.broadcast(spark.createDataFrame([(i, *s) for i, s in enumerate(surroundings)], "k int, label int, path string, own string, before string, after string"))
+    around = F.broadcast(local_table(spark, [(i, *s) for i, s in enumerate(surroundings)], "k int, label int, path string, own string, before string, after string"))
     each = carriers.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(surroundings) - 1)))).join(around, "k")
     own = F.split("own", " ")
     each = each.withColumn("kind", F.element_at(own, (F.pmod(F.xxhash64("h", "k"), F.size(own)) + 1).cast("int")))
